@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, url_rules, vafile, warc
+from . import bpe, line_crf, near_dup, url_rules, vafile, warc
 from .common import read
 
 
@@ -24,7 +24,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op4_url_rules, op6_warc, op7_bpe)}
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op4_url_rules, op6_warc, op7_bpe, op9_line_crf, op10_near_dup)}
 
 ORACLE_SQL = {
     "op1_topk": """
@@ -38,6 +46,20 @@ s as (
   from v q join v on len(q.c) = len(v.c) and q.vec_id <> v.vec_id where q.vec_id % 50 = 0)
 select query_id, cast(rank as int) rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 5""",
+    "op10_near_dup": """
+with recursive w as (
+  select doc_id, string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '[\\x20\\x09-\\x0D]+') a from documents),
+sh as (
+  select doc_id, unnest(case when a[1] = '' then [] when len(a) < 3 then [array_to_string(a, ' ')]
+    else list_distinct(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) end) s from w),
+n as (select doc_id, count(*) n from sh group by doc_id),
+common as (select x.doc_id a, y.doc_id b, count(*) c from sh x join sh y on x.s = y.s and x.doc_id < y.doc_id group by all),
+link as (select a, b from common join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 85 * (p.n + q.n - c)),
+edge as (select a, b from link union all select b, a from link),
+reach as (select doc_id, doc_id other from w union select reach.doc_id, edge.b from reach join edge on reach.other = edge.a)
+select w.doc_id, coalesce(n.n, 0) n_shingles, r.component_id, w.doc_id = r.component_id kept
+from w left join n using (doc_id) join (select doc_id, min(other) component_id from reach group by doc_id) r using (doc_id)""",
     "op6_warc": """
 with p as (select page_id, sha256(coalesce(html, '')) payload_digest, cast(octet_length(encode(coalesce(html, ''))) as bigint) payload_bytes from pages),
 f as (select payload_digest, min(page_id) first_id from p group by payload_digest)
