@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_crf, near_dup, url_rules, vafile, warc
+from . import bpe, decontam, line_crf, line_dedup, near_dup, url_rules, vafile, warc
 from .common import read
 
 
@@ -12,6 +12,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read(spark, sf_dir, "pages"))
 
@@ -24,6 +28,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc.doc_id", "new_text", "removed_words")
+
+
 def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -32,7 +40,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op4_url_rules, op6_warc, op7_bpe, op9_line_crf, op10_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_decontam, op4_url_rules, op6_warc, op7_bpe, op8_line_dedup, op9_line_crf, op10_near_dup)}
 
 ORACLE_SQL = {
     "op1_topk": """
