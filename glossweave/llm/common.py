@@ -16,16 +16,30 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the shared folder of spark.checkpoint.dir; only where that is unset, in a folder of our own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where that is unset, one of our own, deleted at exit."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named
+    if not sc.getCheckpointDir():
         own = tempfile.mkdtemp(prefix="glossweave-")
         atexit.register(shutil.rmtree, own, True)
         sc.setCheckpointDir(own)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint df in the shared folder. Spark deletes the files with the last frame that reads them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df, written as Parquet and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

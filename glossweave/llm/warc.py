@@ -6,10 +6,12 @@ by a join of headers to payloads. Everything is DataFrame expressions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import shared_folder, stored
 
 #: Payloads shorter than this always stay responses of their own.
 MIN_REVISIT_BYTES = 100
@@ -45,8 +47,8 @@ def _header(kind: Column, page: Column, url: Column, digest: Column, size: Colum
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF))
 
 
-def write_archive(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(headers, payloads) of pages (page_id, url, html), checkpointed in the shared folder.
+def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(headers, payloads) of pages (page_id, url, html), written as tables under path.
 
     A null html is an empty payload, a null url an empty target. Rows of equal page_id and html are records of one type; a
     null page_id sorts after all others, so it answers only where no other page has its payload. No pages: empty tables.
@@ -54,12 +56,11 @@ def write_archive(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> tuple
     records = _records(pages, min_bytes)
     refers = F.when(F.col("record_type") == "revisit", F.col("first_id"))
     header = _header(F.col("record_type"), F.col("page_id"), F.col("url"), F.col("digest"), F.col("bytes"), refers)
-    headers = cut(records.select("page_id", "url", "digest", header.alias("header")))
-    owners = records.where(F.col("page_id").eqNullSafe(F.col("first_id"))).select(F.col("page_id").alias("owner"), "digest").distinct()
-    bodies = pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    bodies = bodies.join(owners, F.col("page_id").eqNullSafe(F.col("owner")) & (F.sha2(F.col("html").cast("binary"), 256) == F.col("digest")))
-    payloads = cut(bodies.select("digest", F.col("html").cast("binary").alias("payload")).dropDuplicates(["digest"]))
-    return headers, payloads
+    headers = stored(records.select("page_id", "url", "digest", header.alias("header")), f"{path}/headers")
+    # Tasks drop copies before the shuffle, so a payload that a third of all pages share moves once a task.
+    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    payloads = pages.select(F.sha2(body, 256).alias("digest"), body.alias("payload")).dropDuplicates(["digest"])
+    return headers, stored(payloads, f"{path}/payloads")
 
 
 def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -86,4 +87,5 @@ def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def warc_digest(pages: DataFrame) -> DataFrame:
-    return read_archive(*write_archive(pages))
+    """Write pages to an archive in a fresh folder beside the checkpoints, and read it back."""
+    return read_archive(*write_archive(pages, f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"))
