@@ -150,10 +150,33 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
-        low = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "low").alias("low"))
+        near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
+        low = labels.join(near.hint("merge"), "id").select("id", F.col("component").alias("was"), F.least("component", "low").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("component").alias("lower"))
-        found = cut(low.join(jump, "low").select("id", "was", F.least("low", "lower").alias("component")))
+        found = cut(low.join(jump.hint("merge"), "low").select("id", "was", F.least("low", "lower").alias("component")))
         labels = found.select("id", "component")
-        if found.where("was <> component").isEmpty():
+        if not found.agg(F.count_if(F.col("was") != F.col("component"))).first()[0]:
             return labels
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """(id, component) of a forest (id, parent), in which every parent is smaller than its child, by pointer jumping."""
+    labels = parents.select("id", F.col("parent").alias("component"))
+    while True:
+        up = labels.select(F.col("id").alias("component"), F.col("component").alias("higher"))
+        found = cut(labels.join(up.hint("merge"), "component", "left").select("id", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")))
+        labels = found.select("id", "component")
+        if not found.agg(F.count_if("moved")).first()[0]:
+            return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component) after further links (a, b) of ids, most of which lie within few components."""
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")).hint("merge")
+    pairs = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    pairs = cut(pairs.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct())
+    if pairs.isEmpty():
+        return labels
+    new = components(pairs)
+    ids = labels.union(new.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    return cut(ids.join(new.select(F.col("id").alias("component"), F.col("component").alias("low")).hint("merge"), "component", "left").select("id", F.coalesce("low", "component").alias("component")))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, distinct_sets, mix, shingle_hashes, utf8
+from .common import chunks, cut, distinct_sets, merged, mix, roots, shingle_hashes, utf8
 
 #: Words of a shingle; a link is 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 3, 85
@@ -27,8 +27,9 @@ SHINGLE, PERCENT = 3, 85
 COORDINATES, AGREE = 48, 27
 #: For any other percentage: standard deviations below the mean at which a pair may still be found.
 DEVIATIONS = 5.6
-#: Rounds of meeting a posting's smallest document, before all pairs of different components meet.
-STAR_ROUNDS = 6
+#: Rounds of meeting one document of each posting, before all pairs of different components meet; after the first round they
+#: end as soon as those pairs number at most so many times the posts.
+STAR_ROUNDS, PAIRS = 6, 8
 
 
 def needed(percent: int) -> int:
@@ -82,69 +83,59 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                 yield part.loc[good, ["a", "b"]]
 
     left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(t)) for k, t in (("a", "left"), ("b", "right")))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(run, "a long, b long")
+    return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right").mapInPandas(run, "a long, b long")
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     """(a, b, agree) of distinct pairs whose signatures agree in at least `least` coordinates."""
     left, right = (reps.select(F.col("doc_id").alias(k), F.col("sig").alias(s)) for k, s in (("a", "x"), ("b", "y")))
     agree = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e))
-    return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", agree.alias("agree")).where(F.col("agree") >= least)
+    return pairs.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", agree.alias("agree")).where(F.col("agree") >= least)
 
 
-def _links(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between class representatives: enough of them to give every component."""
+def _joined(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, component) of the class representatives that have links."""
     least = needed(percent)
     token = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long")
     posts = reps.select("doc_id", F.posexplode("sig")).select("doc_id", token.alias("token"))
     often = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = posts.join(often, "token")
+    shared = posts.join(often.hint("merge"), "token")
     of_doc = Window.partitionBy("doc_id")
     # Of a document's pairs in the order of rarity the first COORDINATES - least + 1 are posted; those of one document only come
     # first and meet nobody.
     shared = shared.withColumn("n", F.count("*").over(of_doc)).withColumn("r", F.row_number().over(of_doc.orderBy("df", "token")))
     posts = cut(shared.where(F.col("r") <= F.col("n") - least + 1).select("token", "doc_id"))
-    texts = cut(docs.select("doc_id", "text").join(posts.select("doc_id").distinct(), "doc_id"))
-    n = posts.count()
+    texts = cut(docs.select("doc_id", "text").join(posts.select("doc_id").distinct().hint("merge"), "doc_id"))
 
-    links = None
-    label = posts.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("component"))
-    left = posts
-    for turn in range(STAR_ROUNDS + 1):
-        marked = cut(left.join(label, "doc_id"))
-        open_ = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("hub")).where("low <> high")
-        marked = cut(marked.join(open_.select("token", "hub"), "token"))
-        if marked.isEmpty():
+    # Everyone meets the smallest document of each posting, and is joined by the likeliest of these.
+    hubs = posts.groupBy("token").agg(F.min("doc_id").alias("a"))
+    pairs = posts.join(hubs.hint("merge"), "token").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    best = _agreeing(pairs, reps, least).groupBy("b").agg(F.max_by("a", F.struct("agree", F.negative("a"))).alias("a"))
+    label = roots(cut(_confirm(best, texts, shingle, percent)).select(F.col("b").alias("id"), F.col("a").alias("parent")))
+    n = posts.count()
+    for turn in range(STAR_ROUNDS):
+        marked = posts.join(label.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        groups = cut(marked.groupBy("token", "component").agg(F.count("*").alias("k"), F.min("doc_id").alias("low")))
+        main = groups.groupBy("token").agg(F.sum("k").alias("s"), F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("c")).where("c > 1")
+        main = cut(main.select("token", "s", F.col("most.k").alias("k"), F.col("most.component").alias("main")))
+        cross = main.agg(F.sum(F.expr("(s - k) * s"))).first()[0]
+        if not cross:
             break
-        groups = marked.groupBy("token", "component").agg(F.count("*").alias("k"))
-        main = groups.groupBy("token").agg(F.sum("k").alias("s"), F.max(F.struct("k", "component")).alias("most"))
-        cross = main.agg(F.sum(F.expr("(s - most.k) * s"))).first()[0]
-        if turn < STAR_ROUNDS and cross > 4 * n:
-            hub = marked.where("doc_id = hub").select("token", F.col("component").alias("hub_component")).distinct()
-            pairs = marked.join(hub, "token").where("doc_id <> hub and component <> hub_component").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-            left = marked.where("doc_id <> hub").select("token", "doc_id")
-        else:
-            inner = marked.join(main.select("token", F.col("most.component").alias("main")), "token")
+        inner = marked.join(main.select("token", "main").hint("merge"), "token")
+        last = turn == STAR_ROUNDS - 1 or cross <= PAIRS * n
+        if last:
             few = inner.where("component <> main").select("token", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-            all_ = inner.select("token", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main")
-            pairs = few.join(all_, "token").where("ca <> cb and (cb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            left = None
-        agreeing = cut(_agreeing(pairs, reps, least))
-        found = agreeing
-        if left is not None:
-            # One confirmation a document and round is enough to join it; others follow only for what stays apart.
-            best = agreeing.groupBy("b").agg(F.max_by("a", F.struct("agree", F.negative("a"))).alias("a"))
-            sure = cut(_confirm(best, texts, shingle, percent))
-            rest = agreeing.join(best, ["a", "b"], "left_anti").join(sure.select("b"), "b", "left_anti")
-            found = sure.union(_confirm(rest, texts, shingle, percent))
+            other = inner.select("token", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main")
+            pairs = few.join(other.hint("merge"), "token").where("ca <> cb and (cb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
-            found = _confirm(agreeing, texts, shingle, percent)
-        links = cut(found if links is None else links.union(found))
-        if left is None:
+            hubs = groups.join(main.select("token", "main").hint("merge"), "token").where("component <> main").groupBy("token").agg(F.min_by(F.struct("low", "component"), "low").alias("hub"))
+            hubs = cut(hubs.select("token", F.col("hub.low").alias("hub"), F.col("hub.component").alias("hub_component")))
+            pairs = marked.join(hubs.hint("merge"), "token").where("component <> hub_component").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
+            posts = cut(posts.join(hubs.select("token", F.col("hub").alias("doc_id")).hint("merge"), ["token", "doc_id"], "left_anti"))
+        label = merged(label, cut(_confirm(_agreeing(pairs, reps, least), texts, shingle, percent)))
+        if last:
             break
-        part = components(links).withColumnRenamed("id", "doc_id")
-        label = cut(posts.select("doc_id").distinct().join(part, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
-    return links if links is not None else posts.sparkSession.createDataFrame([], "a long, b long")
+    return label
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -155,12 +146,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """
     sigs = cut(_signatures(docs, shingle))
     whole = sigs.where("n > 0 and doc_id is not null")
-    classes = whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    members = cut(whole.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep").distinct())
-    reps = cut(whole.join(classes, ["n", "d1", "d2"]).where("doc_id = rep").select("doc_id", "n", "sig").dropDuplicates(["doc_id", "sig"]))
-    links = _links(reps, docs, shingle, percent)
-    links = links.union(members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    part = components(links).withColumnRenamed("id", "doc_id")
-    rows = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(part, "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classes = cut(whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
+    # A doc_id of several rows may be in several classes; its smallest representative links them.
+    owned = whole.join(classes.select("n", "d1", "d2", "rep").hint("merge"), ["n", "d1", "d2"])
+    reps = cut(owned.where("doc_id = rep").select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]))
+    label = _joined(reps, docs, shingle, percent)
+    several = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    several = owned.join(several.select("doc_id", "a").hint("merge"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    label = merged(label, several)
+    rows = sigs.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep").hint("merge"), ["n", "d1", "d2"], "left")
+    rows = rows.join(label.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
