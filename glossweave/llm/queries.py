@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, licenses, line_crf, line_dedup, near_dup, url_rules, vafile, warc
+from . import attention_lm, bpe, decontam, licenses, line_crf, line_dedup, near_dup, url_rules, vafile, warc
 from .common import read
 
 
@@ -24,6 +24,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read(spark, sf_dir, "pages"))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_digest(read(spark, sf_dir, "pages"))
 
@@ -44,7 +48,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_decontam, op3_licenses, op4_url_rules, op6_warc, op7_bpe, op8_line_dedup, op9_line_crf, op10_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_decontam, op3_licenses, op4_url_rules, op5_attention_lm, op6_warc, op7_bpe, op8_line_dedup, op9_line_crf, op10_near_dup)}
 
 ORACLE_SQL = {
     "op1_topk": """
