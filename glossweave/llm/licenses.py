@@ -137,6 +137,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             raw = utf8(b.text)
             for lo, hi in chunks(raw):
                 rows = scanner.scan(raw[lo:hi])
+                if not rows:
+                    continue
                 ids = b.doc_id.iloc[lo:hi].array
                 yield pd.DataFrame({"doc_id": ids[[r[0] for r in rows]], "license": [scanner.names[r[1]] for r in rows], "first_word": [r[2] for r in rows], "end_word": [r[3] for r in rows], "containment": [r[4] for r in rows]})
 

@@ -134,7 +134,8 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 marked[[s["i"] for s in seen_at]] = True
                 long = _runs(marked, np.asarray(words), min_words)
                 out += [(d, key, e) for e in {s["earlier"] for s in seen_at if long[s["i"]]}]
-            yield pd.DataFrame(out, columns=["doc_id", "text_key", "earlier"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "text_key", "earlier"])
 
     pairs = seqs.select("doc_id", "text_key", "words").join(seen, ["doc_id", "text_key"]).mapInPandas(partners, f"{_KEY}, earlier long")
     pairs = cut(pairs.distinct())
