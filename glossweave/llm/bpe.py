@@ -153,10 +153,10 @@ def decode(tokens: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInPandas(run, "doc_id long, data binary")
 
 
-def digests(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def digests(docs: DataFrame, path: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded, in one pass.
 
-    The digests stand in for ids and bytes, which encode() and decode() return whole.
+    The digests stand in for ids and bytes, which encode() and decode() return whole; with_ids adds `ids` here.
     """
     ranks = _Broadcast(docs.sparkSession, path)
 
@@ -164,12 +164,18 @@ def digests(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
         codec = Codec.of(ranks)
         name = codec.names.__getitem__
         for b in batches:
-            n, told, back = [], [], []
-            for text in b.text:
-                ids = codec.encode(text or "")
-                n.append(len(ids))
-                told.append(hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": n, "ids_sha256": told, "decoded_sha256": back})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for k in range(0, len(b), 512):
+                part = b.iloc[k : k + 512]
+                n, told, back, kept = [], [], [], []
+                for text in part.text:
+                    ids = codec.encode(text or "")
+                    n.append(len(ids))
+                    told.append(hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest())
+                    back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                    if with_ids:
+                        kept.append(np.array(ids, np.int32))
+                out = {"doc_id": part.doc_id, "n_tokens": n, "ids_sha256": told, "decoded_sha256": back}
+                yield pd.DataFrame(out | {"ids": kept} if with_ids else out)
+
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, kinds + ", ids array<int>" * with_ids)

@@ -216,3 +216,17 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     rows = docs.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), "text")
     scored = rows.mapInPandas(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= KEEP_FROM).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """The rows of docs whose text scores KEEP_FROM or more, all columns as they are; only texts go through Python."""
+    field = train(docs, labels, folds)
+
+    @F.pandas_udf("double")
+    def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            raw = utf8(texts)
+            scores = [score_texts(field, raw[lo:hi]) for lo, hi in chunks(raw)]
+            yield pd.Series(np.concatenate(scores) if scores else np.zeros(0))
+
+    return docs.where(quality("text") >= KEEP_FROM)

@@ -181,3 +181,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     left = F.filter(F.split("doc.text", "\n"), lambda x, i: F.col("keep")[i])
     text = F.when(F.col("keep").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n"))
     return joined.select("doc", text.alias("new_text"), F.coalesce("removed_words", F.lit(0).cast("long")).alias("removed_words"))
+
+
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with repeated lines deleted from `text`, and `n_chars`, where there is one, counted anew.
+
+    A document that loses all its words goes; one that had none before stays.
+    """
+    found = dedup_lines(docs, min_words)
+    found = found.where((F.col("removed_words") == 0) | F.col("new_text").rlike(r"\S"))
+    doc = F.col("doc").withField("text", F.col("new_text"))
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("removed_words") > 0, F.length("new_text")).otherwise(F.col("doc.n_chars"))
+        doc = doc.withField("n_chars", size.cast(docs.schema["n_chars"].dataType))
+    return found.select(doc.alias("doc")).select("doc.*")
