@@ -27,9 +27,11 @@ SHINGLE, PERCENT = 3, 85
 COORDINATES, AGREE = 48, 27
 #: For any other percentage: standard deviations below the mean at which a pair may still be found.
 DEVIATIONS = 5.6
-#: Rounds of meeting one document of each posting, before all pairs of different components meet; after the first round they
-#: end as soon as those pairs number at most so many times the posts.
-STAR_ROUNDS, PAIRS = 6, 8
+#: After the first round, rounds of meeting one more document of each posting are run while pairs of different components,
+#: counted once for each shared posting, number more than so many times the posts; then all of them meet.
+STAR_ROUNDS, PAIRS = 6, 64
+#: Documents and bytes of a tile. Texts of two tiles are compared in one place, so a text moves once for each tile it meets.
+TILE, TILE_BYTES = 256, 4_000_000
 
 
 def needed(percent: int) -> int:
@@ -86,6 +88,37 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right").mapInPandas(run, "a long, b long")
 
 
+def _confirm_tiled(pairs: DataFrame, texts: DataFrame, homes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """As _confirm, for many pairs among few documents. homes: (doc_id, home), the family by which documents are tiled."""
+    rows = texts.join(homes.hint("merge"), "doc_id")
+    sizes = rows.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.length("text")) / TILE_BYTES)).alias("tiles"))
+    tiles = rows.select("doc_id", "home").join(sizes.hint("merge"), "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "tiles")).alias("tile")).distinct()
+    tiles = cut(tiles)
+    of = lambda side: tiles.select(F.col("doc_id").alias(side), F.col("tile").alias(f"t{side}")).hint("merge")
+    placed = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    placed = cut(placed.select("a", "b", F.least("ta", "tb").alias("t1"), F.greatest("ta", "tb").alias("t2")))
+    each = F.explode(F.array("a", "b")).alias("doc_id")
+    sent = placed.select(F.col("t1").alias("s1"), F.col("t2").alias("s2"), each).distinct()
+    sent = sent.join(texts.hint("merge"), "doc_id").select("s1", "s2", "doc_id", "text")
+
+    def run(wanted: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        raw = utf8(rows.text)
+        sets: dict[int, list[np.ndarray]] = {}
+        for lo, hi in chunks(raw):
+            for i, s in enumerate(distinct_sets(*shingle_hashes(raw[lo:hi], shingle)), lo):
+                sets.setdefault(int(rows.doc_id.iloc[i]), []).append(s)
+
+        def alike(x: np.ndarray, y: np.ndarray) -> bool:
+            at = np.searchsorted(y, x)
+            common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+            return 100 * common >= percent * (len(x) + len(y) - common)
+
+        good = [any(alike(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())) for a, b in zip(wanted.a, wanted.b, strict=True)]
+        return wanted.loc[good, ["a", "b"]]
+
+    return placed.groupBy("t1", "t2").cogroup(sent.groupBy("s1", "s2")).applyInPandas(run, "a long, b long")
+
+
 def _agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     """(a, b, agree) of distinct pairs whose signatures agree in at least `least` coordinates."""
     left, right = (reps.select(F.col("doc_id").alias(k), F.col("sig").alias(s)) for k, s in (("a", "x"), ("b", "y")))
@@ -104,7 +137,7 @@ def _joined(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     # Of a document's pairs in the order of rarity the first COORDINATES - least + 1 are posted; those of one document only come
     # first and meet nobody.
     shared = shared.withColumn("n", F.count("*").over(of_doc)).withColumn("r", F.row_number().over(of_doc.orderBy("df", "token")))
-    posts = cut(shared.where(F.col("r") <= F.col("n") - least + 1).select("token", "doc_id"))
+    posts = cut(shared.where(F.col("r") <= F.col("n") - least + 1).select("token", "doc_id", "df"))
     texts = cut(docs.select("doc_id", "text").join(posts.select("doc_id").distinct().hint("merge"), "doc_id"))
 
     # Everyone meets the smallest document of each posting, and is joined by the likeliest of these.
@@ -121,23 +154,38 @@ def _joined(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
         cross = main.agg(F.sum(F.expr("(s - k) * s"))).first()[0]
         if not cross:
             break
-        inner = marked.join(main.select("token", "main").hint("merge"), "token")
-        last = turn == STAR_ROUNDS - 1 or cross <= PAIRS * n
-        if last:
-            few = inner.where("component <> main").select("token", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-            other = inner.select("token", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main")
-            pairs = few.join(other.hint("merge"), "token").where("ca <> cb and (cb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            hubs = groups.join(main.select("token", "main").hint("merge"), "token").where("component <> main").groupBy("token").agg(F.min_by(F.struct("low", "component"), "low").alias("hub"))
-            hubs = cut(hubs.select("token", F.col("hub.low").alias("hub"), F.col("hub.component").alias("hub_component")))
-            pairs = marked.join(hubs.hint("merge"), "token").where("component <> hub_component").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
-            posts = cut(posts.join(hubs.select("token", F.col("hub").alias("doc_id")).hint("merge"), ["token", "doc_id"], "left_anti"))
-        label = merged(label, cut(_confirm(_agreeing(pairs, reps, least), texts, shingle, percent)))
-        if last:
+        if turn == STAR_ROUNDS - 1 or cross <= PAIRS * n:
+            label = merged(label, cut(_confirm_tiled(_cross_pairs(marked, main, reps, least, percent), texts, _homes(marked, main), shingle, percent)))
             break
+        hubs = groups.join(main.select("token", "main").hint("merge"), "token").where("component <> main").groupBy("token").agg(F.min_by(F.struct("low", "component"), "low").alias("hub"))
+        hubs = cut(hubs.select("token", F.col("hub.low").alias("hub"), F.col("hub.component").alias("hub_component")))
+        pairs = marked.join(hubs.hint("merge"), "token").where("component <> hub_component").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
+        posts = cut(posts.join(hubs.select("token", F.col("hub").alias("doc_id")).hint("merge"), ["token", "doc_id"], "left_anti"))
+        label = merged(label, cut(_confirm_tiled(_agreeing(pairs, reps, least), texts, _homes(marked, main), shingle, percent)))
     return label
 
 
+def _homes(marked: DataFrame, main: DataFrame) -> DataFrame:
+    """(doc_id, home): the smallest of the leading components in a document's postings."""
+    return marked.join(main.select("token", "main").hint("merge"), "token").groupBy("doc_id").agg(F.min("main").alias("home"))
+
+
+def _cross_pairs(marked: DataFrame, main: DataFrame, reps: DataFrame, least: int, percent: int) -> DataFrame:
+    """Agreeing pairs (a, b) of different components that share a posting, one of them outside its leading component.
+
+    A pair is made in the first posting that both are in, so once, and only if its sets' sizes allow the similarity.
+    """
+    prefix = marked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda s: s["token"]).alias("own"))
+    rows = marked.join(main.select("token", "main").hint("merge"), "token").select("token", "doc_id", "component", "main")
+    rows = rows.join(prefix.hint("merge"), "doc_id").join(reps.groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high")).hint("merge"), "doc_id")
+    few = rows.where("component <> main").select("token", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("own").alias("oa"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    other = rows.select("token", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main", F.col("own").alias("ob"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    first = F.get(F.array_intersect("oa", "ob"), F.lit(0)) == F.col("token")
+    apart = F.expr(f"ca <> cb and (cb = main or a < b) and 100 * ha >= {percent} * lb and 100 * hb >= {percent} * la")
+    pairs = few.join(other.hint("merge"), "token").where(apart & first)
+    return _agreeing(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), reps, least)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
@@ -149,7 +197,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = cut(whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     # A doc_id of several rows may be in several classes; its smallest representative links them.
     owned = whole.join(classes.select("n", "d1", "d2", "rep").hint("merge"), ["n", "d1", "d2"])
-    reps = cut(owned.where("doc_id = rep").select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]))
+    reps = cut(owned.where("doc_id = rep").select("doc_id", "n", "sig").dropDuplicates(["doc_id", "sig"]))
     label = _joined(reps, docs, shingle, percent)
     several = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     several = owned.join(several.select("doc_id", "a").hint("merge"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
