@@ -103,7 +103,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = ~_SPACE[raw]
     edge = np.diff(word.view(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, back = _powers(max(22, int(len(raw)).bit_length()))
+    up, back = _powers(max(21, int(len(raw)).bit_length()))
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_byte_values()[raw] * up[: len(raw)], out=total[1:])
