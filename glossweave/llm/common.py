@@ -141,6 +141,15 @@ def distinct_sets(h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+#: Rows of a small table that one partition holds.
+PART_ROWS = 200_000
+
+
+def gathered(df: DataFrame, n: int) -> DataFrame:
+    """A checkpointed table of n rows in as few partitions as they need, so that later stages don't run a task for each empty one."""
+    return df.coalesce(1 + n // PART_ROWS)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest id that each linked id reaches: (id, component) of links (a, b), longs.
 
@@ -148,14 +157,16 @@ def components(links: DataFrame) -> DataFrame:
     over a checkpointed table, so nothing is gathered and a lost executor costs one round at most.
     """
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
+    both = gathered(both, both.count())
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component"))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
         low = labels.join(near.hint("merge"), "id").select("id", F.col("component").alias("was"), F.least("component", "low").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("component").alias("lower"))
         found = cut(low.join(jump.hint("merge"), "low").select("id", "was", F.least("low", "lower").alias("component")))
-        labels = found.select("id", "component")
-        if not found.agg(F.count_if(F.col("was") != F.col("component"))).first()[0]:
+        n, moved = found.agg(F.count("*"), F.count_if(F.col("was") != F.col("component"))).first()
+        labels = gathered(found.select("id", "component"), n)
+        if not moved:
             return labels
 
 
@@ -165,18 +176,21 @@ def roots(parents: DataFrame) -> DataFrame:
     while True:
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("higher"))
         found = cut(labels.join(up.hint("merge"), "component", "left").select("id", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")))
-        labels = found.select("id", "component")
-        if not found.agg(F.count_if("moved")).first()[0]:
+        n, moved = found.agg(F.count("*"), F.count_if("moved")).first()
+        labels = gathered(found.select("id", "component"), n)
+        if not moved:
             return labels
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (id, component) after further links (a, b) of ids, most of which lie within few components."""
+    """labels (id, component) after further links (a, b) between ids; an id without a label is its own component."""
     of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")).hint("merge")
     pairs = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
     pairs = cut(pairs.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct())
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return labels
-    new = components(pairs)
+    new = components(gathered(pairs, n))
     ids = labels.union(new.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
-    return cut(ids.join(new.select(F.col("id").alias("component"), F.col("component").alias("low")).hint("merge"), "component", "left").select("id", F.coalesce("low", "component").alias("component")))
+    found = cut(ids.join(new.select(F.col("id").alias("component"), F.col("component").alias("low")).hint("merge"), "component", "left").select("id", F.coalesce("low", "component").alias("component")))
+    return gathered(found, found.count())

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, distinct_sets, merged, mix, roots, shingle_hashes, utf8
+from .common import chunks, cut, distinct_sets, gathered, merged, mix, roots, shingle_hashes, utf8
 
 #: Words of a shingle; a link is 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 3, 85
@@ -30,8 +30,8 @@ DEVIATIONS = 5.6
 #: After the first round, rounds of meeting one more document of each posting are run while pairs of different components,
 #: counted once for each shared posting, number more than so many times the posts; then all of them meet.
 STAR_ROUNDS, PAIRS = 6, 64
-#: Documents and bytes of a tile. Texts of two tiles are compared in one place, so a text moves once for each tile it meets.
-TILE, TILE_BYTES = 256, 4_000_000
+#: Documents and shingles of a tile. Texts of two tiles are compared in one place, so a text moves once for each tile it meets.
+TILE, TILE_SHINGLES = 256, 600_000
 
 
 def needed(percent: int) -> int:
@@ -88,12 +88,11 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right").mapInPandas(run, "a long, b long")
 
 
-def _confirm_tiled(pairs: DataFrame, texts: DataFrame, homes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """As _confirm, for many pairs among few documents. homes: (doc_id, home), the family by which documents are tiled."""
-    rows = texts.join(homes.hint("merge"), "doc_id")
-    sizes = rows.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.length("text")) / TILE_BYTES)).alias("tiles"))
-    tiles = rows.select("doc_id", "home").join(sizes.hint("merge"), "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "tiles")).alias("tile")).distinct()
-    tiles = cut(tiles)
+def _confirm_tiled(pairs: DataFrame, texts: DataFrame, about: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """As _confirm, for many pairs among few documents. about: (doc_id, home, high), a document's family and set size, by which tiles are cut."""
+    order = Window.partitionBy("home").orderBy(F.xxhash64("doc_id"), "doc_id")
+    place = F.floor((F.row_number().over(order) - 1) / TILE + (F.sum("high").over(order) - F.col("high")) / TILE_SHINGLES)
+    tiles = about.select("doc_id", F.xxhash64("home", place).alias("tile"))
     of = lambda side: tiles.select(F.col("doc_id").alias(side), F.col("tile").alias(f"t{side}")).hint("merge")
     placed = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
     placed = cut(placed.select("a", "b", F.least("ta", "tb").alias("t1"), F.greatest("ta", "tb").alias("t2")))
@@ -145,45 +144,49 @@ def _joined(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     pairs = posts.join(hubs.hint("merge"), "token").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     best = _agreeing(pairs, reps, least).groupBy("b").agg(F.max_by("a", F.struct("agree", F.negative("a"))).alias("a"))
     label = roots(cut(_confirm(best, texts, shingle, percent)).select(F.col("b").alias("id"), F.col("a").alias("parent")))
-    n = posts.count()
-    for turn in range(STAR_ROUNDS):
-        marked = posts.join(label.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = reps.groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda s: s["token"]).alias("own")
+    about = cut(posts.groupBy("doc_id").agg(own, F.count("*").alias("k")).join(sizes.hint("merge"), "doc_id"))
+    docs_n, n = about.agg(F.count("*"), F.sum("k")).first()
+    about = gathered(about.drop("k"), docs_n)
+    for turn in range(STAR_ROUNDS if n else 0):
+        known = about.join(label.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        marked = cut(posts.select("token", "doc_id").join(known.hint("merge"), "doc_id"))
         groups = cut(marked.groupBy("token", "component").agg(F.count("*").alias("k"), F.min("doc_id").alias("low")))
         main = groups.groupBy("token").agg(F.sum("k").alias("s"), F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("c")).where("c > 1")
         main = cut(main.select("token", "s", F.col("most.k").alias("k"), F.col("most.component").alias("main")))
-        cross = main.agg(F.sum(F.expr("(s - k) * s"))).first()[0]
+        m, cross = main.agg(F.count("*"), F.sum(F.expr("(s - k) * s"))).first()
         if not cross:
             break
-        if turn == STAR_ROUNDS - 1 or cross <= PAIRS * n:
-            label = merged(label, cut(_confirm_tiled(_cross_pairs(marked, main, reps, least, percent), texts, _homes(marked, main), shingle, percent)))
+        main = gathered(main, m)
+        last = turn == STAR_ROUNDS - 1 or cross <= PAIRS * n
+        inner = marked.join(main.select("token", "main").hint("merge"), "token")
+        homes = inner.groupBy("doc_id").agg(F.min("main").alias("home"), F.max("high").alias("high"))
+        if last:
+            pairs = _cross_pairs(inner, percent)
+        else:
+            hubs = groups.join(main.select("token", "main").hint("merge"), "token").where("component <> main").groupBy("token").agg(F.min_by(F.struct("low", "component"), "low").alias("hub"))
+            hubs = cut(hubs.select("token", F.col("hub.low").alias("hub"), F.col("hub.component").alias("hub_component")))
+            pairs = marked.join(hubs.hint("merge"), "token").where("component <> hub_component").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
+            posts = cut(posts.join(hubs.select("token", F.col("hub").alias("doc_id")).hint("merge"), ["token", "doc_id"], "left_anti"))
+        links = cut(_confirm_tiled(_agreeing(pairs, reps, least), texts, homes, shingle, percent))
+        label = merged(label, gathered(links, links.count()))
+        if last:
             break
-        hubs = groups.join(main.select("token", "main").hint("merge"), "token").where("component <> main").groupBy("token").agg(F.min_by(F.struct("low", "component"), "low").alias("hub"))
-        hubs = cut(hubs.select("token", F.col("hub.low").alias("hub"), F.col("hub.component").alias("hub_component")))
-        pairs = marked.join(hubs.hint("merge"), "token").where("component <> hub_component").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
-        posts = cut(posts.join(hubs.select("token", F.col("hub").alias("doc_id")).hint("merge"), ["token", "doc_id"], "left_anti"))
-        label = merged(label, cut(_confirm_tiled(_agreeing(pairs, reps, least), texts, _homes(marked, main), shingle, percent)))
     return label
 
 
-def _homes(marked: DataFrame, main: DataFrame) -> DataFrame:
-    """(doc_id, home): the smallest of the leading components in a document's postings."""
-    return marked.join(main.select("token", "main").hint("merge"), "token").groupBy("doc_id").agg(F.min("main").alias("home"))
+def _cross_pairs(inner: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a posting, one of them outside its leading component.
 
-
-def _cross_pairs(marked: DataFrame, main: DataFrame, reps: DataFrame, least: int, percent: int) -> DataFrame:
-    """Agreeing pairs (a, b) of different components that share a posting, one of them outside its leading component.
-
-    A pair is made in the first posting that both are in, so once, and only if its sets' sizes allow the similarity.
+    inner: posts (token, doc_id, component, main, own, low, high). A pair is made in the first posting that both are in, so once, and only if
+    its sets' sizes allow the similarity.
     """
-    prefix = marked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda s: s["token"]).alias("own"))
-    rows = marked.join(main.select("token", "main").hint("merge"), "token").select("token", "doc_id", "component", "main")
-    rows = rows.join(prefix.hint("merge"), "doc_id").join(reps.groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high")).hint("merge"), "doc_id")
-    few = rows.where("component <> main").select("token", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("own").alias("oa"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    other = rows.select("token", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main", F.col("own").alias("ob"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    few = inner.where("component <> main").select("token", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("own").alias("oa"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    other = inner.select("token", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main", F.col("own").alias("ob"), F.col("low").alias("lb"), F.col("high").alias("hb"))
     first = F.get(F.array_intersect("oa", "ob"), F.lit(0)) == F.col("token")
     apart = F.expr(f"ca <> cb and (cb = main or a < b) and 100 * ha >= {percent} * lb and 100 * hb >= {percent} * la")
-    pairs = few.join(other.hint("merge"), "token").where(apart & first)
-    return _agreeing(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), reps, least)
+    return few.join(other.hint("merge"), "token").where(apart & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -194,14 +197,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """
     sigs = cut(_signatures(docs, shingle))
     whole = sigs.where("n > 0 and doc_id is not null")
-    classes = cut(whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     # A doc_id of several rows may be in several classes; its smallest representative links them.
+    classes = cut(whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     owned = whole.join(classes.select("n", "d1", "d2", "rep").hint("merge"), ["n", "d1", "d2"])
     reps = cut(owned.where("doc_id = rep").select("doc_id", "n", "sig").dropDuplicates(["doc_id", "sig"]))
     label = _joined(reps, docs, shingle, percent)
-    several = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    several = owned.join(several.select("doc_id", "a").hint("merge"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    label = merged(label, several)
+    if whole.count() > whole.select("doc_id").distinct().count():
+        several = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+        several = owned.join(several.select("doc_id", "a").hint("merge"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+        label = merged(label, several)
     rows = sigs.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep").hint("merge"), ["n", "d1", "d2"], "left")
     rows = rows.join(label.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
