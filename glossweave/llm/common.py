@@ -150,6 +150,22 @@ def gathered(df: DataFrame, n: int) -> DataFrame:
     return df.coalesce(1 + n // PART_ROWS)
 
 
+#: A key is hot when it has more than one in so many of the rows that are to meet; so fewer keys than this are hot.
+HOT_KEYS = 1000
+
+
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of big with small, one checkpointed row a key; column n of small tells how many rows of big the key has.
+
+    Hot keys, fewer than HOT_KEYS rows, are broadcast, so no task gets all rows of one; the others are met by a shuffle.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    hot = small.where(F.col(n) * HOT_KEYS > total)
+    met = big.join(F.broadcast(hot), keys)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(n) * HOT_KEYS <= total).hint("merge"), keys)
+    return met.unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest id that each linked id reaches: (id, component) of links (a, b), longs.
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import cut, join_counted, utf8
 
 #: Words of a run of aligned lines from which on it is deleted.
 MIN_WORDS = 30
@@ -122,8 +122,9 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     double = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.struct(i.cast("int").alias("i"), F.xxhash64(F.col("h")[i], F.col("h")[i + 1]).alias("t"), F.xxhash64(F.col("g")[i], F.col("g")[i + 1]).alias("u")))
     tokens = seqs.select("doc_id", "text_key", F.explode(F.concat(single, F.when(F.size("h") > 1, double).otherwise(F.array()))).alias("x"))
     tokens = tokens.select("doc_id", "text_key", "x.i", "x.t", "x.u")
-    first = tokens.groupBy("t", "u").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).where("earlier < last").drop("last")
-    seen = tokens.join(first, ["t", "u"]).where("earlier < doc_id")
+    first = tokens.groupBy("t", "u").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
+    first = cut(first.where("earlier < last").drop("last"))
+    seen = join_counted(tokens, first, ["t", "u"], "df").where("earlier < doc_id")
     seen = seen.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("i", "earlier")).alias("seen"))
 
     def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
