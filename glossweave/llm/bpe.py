@@ -19,6 +19,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters of a leaf, and of the first window on either side of a border.
@@ -138,7 +140,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
                 part = b.iloc[k : k + 512]
                 yield pd.DataFrame({"doc_id": part.doc_id, "ids": [codec.encode(t or "") for t in part.text]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -150,7 +152,7 @@ def decode(tokens: DataFrame, path: str = TOKENIZER) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "data": [codec.decode([] if i is None else list(i)) for i in b.ids]})
 
-    return tokens.select("doc_id", "ids").mapInPandas(run, "doc_id long, data binary")
+    return small_batches(tokens).select("doc_id", "ids").mapInPandas(run, "doc_id long, data binary")
 
 
 def digests(docs: DataFrame, path: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
@@ -178,4 +180,4 @@ def digests(docs: DataFrame, path: str = TOKENIZER, with_ids: bool = False) -> D
                 yield pd.DataFrame(out | {"ids": kept} if with_ids else out)
 
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, kinds + ", ids array<int>" * with_ids)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, kinds + ", ids array<int>" * with_ids)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import mix
+from .common import mix, small_batches
 
 #: Characters of a q-gram and of a segment, the step between segments, and edits a character of a segment.
 Q, SEGMENT, STEP, EDITS = 10, 120, 60, 0.08
@@ -195,7 +195,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null or empty texts hold none; null or short items are not searched. Repeated rows each give their matches; equal item
     rows count once. Without items the result is empty.
     """
-    found = None
+    found, docs = None, small_batches(docs)
     for items in _indexes(benchmark):
         find = _finder(docs.sparkSession, items)
         part = docs.select("doc_id", find("text").alias("found")).where(F.size("found") > 0).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
@@ -205,7 +205,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no benchmark passage, all columns as they are."""
-    kept = docs.select(F.struct("*").alias("doc"))
+    kept = small_batches(docs).select(F.struct("*").alias("doc"))
     for items in _indexes(benchmark):
         kept = kept.where(F.size(_finder(docs.sparkSession, items)("doc.text")) == 0)
     return kept.select("doc.*")

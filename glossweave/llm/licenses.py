@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, utf8, word_hashes
+from .common import chunks, mix, small_batches, utf8, word_hashes
 
 #: Wordings of public licenses and notices.
 TEMPLATES = {
@@ -142,4 +142,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                 ids = b.doc_id.iloc[lo:hi].array
                 yield pd.DataFrame({"doc_id": ids[[r[0] for r in rows]], "license": [scanner.names[r[1]] for r in rows], "first_word": [r[2] for r in rows], "end_word": [r[3] for r in rows], "containment": [r[4] for r in rows]})
 
-    return docs.select("doc_id", "text").where(F.length("text") > 0).mapInPandas(run, "doc_id long, license string, first_word int, end_word int, containment double")
+    return small_batches(docs).select("doc_id", "text").where(F.length("text") > 0).mapInPandas(run, "doc_id long, license string, first_word int, end_word int, containment double")

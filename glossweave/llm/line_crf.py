@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_bucket, utf8, word_hashes
+from .common import chunks, crc_bucket, small_batches, utf8, word_hashes
 
 #: Labelled rows that the field is fitted on at most, and the longest text among them.
 FIT_ROWS, FIT_CHARS = 2000, 100_000
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = FIT_RO
     """
     wanted = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), folds) != 0))
     wanted = wanted.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, FIT_CHARS))
+    texts = small_batches(docs).select("doc_id", "text").where(F.length("text").between(1, FIT_CHARS))
     sample = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "quality", "text")
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

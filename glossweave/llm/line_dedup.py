@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, utf8
+from .common import cut, join_counted, small_batches, utf8
 
 #: Words of a run of aligned lines from which on it is deleted.
 MIN_WORDS = 30
@@ -40,7 +40,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 n.append(len(lines))
             yield pd.DataFrame({"doc_id": b.doc_id, "text_key": b.text_key, "at": at, "h": h, "g": g, "words": words, "n_lines": n})
 
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = small_batches(docs).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     return rows.mapInPandas(run, f"{_KEY}, at array<int>, h array<long>, g array<long>, words array<int>, n_lines int")
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, distinct_sets, gathered, merged, mix, roots, shingle_hashes, utf8
+from .common import chunks, cut, distinct_sets, gathered, merged, mix, roots, shingle_hashes, small_batches, utf8
 
 #: Words of a shingle; a link is 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 3, 85
@@ -65,7 +65,7 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     d2[full] = np.add.reduceat(mix(u ^ np.uint64(0x5BF03635DCF7A1F9)), starts).view(np.int64)
                 yield pd.DataFrame({"doc_id": b.doc_id.iloc[lo:hi], "n": sizes, "d1": d1, "d2": d2, "sig": list(sig)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, sig array<int>")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, sig array<int>")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
