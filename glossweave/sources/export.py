@@ -67,3 +67,20 @@ def assets(files: DataFrame, kept: DataFrame | None = None) -> DataFrame:
         return rows
     other = kept.where(~F.col("path").startswith("translation/")).join(rows.select("path"), "path", "left_anti")
     return rows.unionByName(other.select("path", "body", "etag"))
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Each row's body as a file under root, a folder that all executors share; every file is whole or as it was. Number of files."""
+    import os
+
+    def write(rows) -> None:
+        for r in rows:
+            path = f"{root}/{r.path}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            part = f"{path}.{os.getpid()}.part"
+            with open(part, "w", encoding="utf-8", newline="") as out:
+                out.write(r.body)
+            os.replace(part, path)  # a task that runs again replaces its own file
+
+    files.select("path", "body").foreachPartition(write)
+    return files.count()

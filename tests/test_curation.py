@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossweave import model
 from glossweave.operators import entries as entry_ops
 from glossweave.operators import extract, fill, merge, rollup, search_index, story, verify
-from glossweave.plans import sync
+from glossweave.plans import gaps, sync
 from glossweave.sources import export, fetch, readers
 from glossweave.sources.snapshot import SnapshotTable
 from glossweave.streaming import refresh
@@ -318,3 +318,36 @@ def test_fetch(tmp_path):
     (tmp_path / "a/f").write_text("x")
     fetch.unpack(fetch.pack(str(tmp_path / "a")), str(tmp_path / "b"))
     assert (tmp_path / "b/f").read_text() == "x"
+
+
+def test_gap_jobs(spark, tmp_path):
+    table = SnapshotTable(spark, f"{tmp_path}/e", model.ENTRIES, "category")
+    table.write(entries(spark, ("a", "", "unknown", []), ("b", "", "llm", []), ("c", "x", "human", [])))
+    assert gaps.fill_entries(table, lambda t: [x.upper() for x in t], 5) == {"translated": 2, "skipped": 0, "errors": ""}
+    assert {r.jp_key: (r.cn_text, r.source) for r in table.read().collect()} == {"a": ("A", "llm"), "b": ("B", "llm"), "c": ("x", "human")}
+    table.write(entries(spark, ("a", "", "unknown", [])))
+    assert gaps.fill_entries(table, lambda t: [""], 5, tries=1, wait=0)["errors"] == "0 of 1 texts came back"
+
+    heads, eps, lines = (SnapshotTable(spark, f"{tmp_path}/{n}", schema) for n, schema in (("s", model.STORIES), ("p", model.EPISODES), ("l", model.LINES)))
+    heads.write(spark.createDataFrame([(99, "jp_pending", "1.0", 1)], model.STORIES))
+    eps.write(spark.createDataFrame([(99, "1", "s", "", "", 0)], model.EPISODES))
+    lines.write(spark.createDataFrame([(99, "1", f"k{i}", "", "unknown", "", i) for i in range(4)], model.LINES))
+    calls = []
+
+    def translate(texts):
+        calls.append(texts)
+        if len(calls) == 2:
+            raise OSError("down")
+        return [t.upper() for t in texts]
+
+    with pytest.raises(OSError):
+        gaps.fill_story(heads, eps, lines, 99, translate, 2, size=2)
+    assert lines.read().where("cn_text = ''").count() == 2
+    assert gaps.fill_story(heads, eps, lines, 99, translate, 3, size=2) == 2
+    assert heads.read().first().source == "llm" and lines.read().where("cn_text = ''").count() == 0
+
+
+def test_files_on_disk(spark, tmp_path):
+    files = spark.createDataFrame([("a/b.json", "{}"), ("c.json", "é")], "path string, body string")
+    assert export.write_files(files, str(tmp_path)) == 2
+    assert (tmp_path / "c.json").read_text() == "é" and sorted(p.name for p in tmp_path.rglob("*.json")) == ["b.json", "c.json"]
