@@ -9,6 +9,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,15 +154,6 @@ def distinct_sets(h: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-#: Rows of a small table that one partition holds.
-PART_ROWS = 200_000
-
-
-def gathered(df: DataFrame, n: int) -> DataFrame:
-    """A checkpointed table of n rows in as few partitions as they need, so that later stages don't run a task for each empty one."""
-    return df.coalesce(1 + n // PART_ROWS)
-
-
 #: A key is hot when it has more than one in so many of the rows that are to meet; so fewer keys than this are hot.
 HOT_KEYS = 1000
 
@@ -178,47 +170,45 @@ def join_counted(big: DataFrame, small: DataFrame, keys: list[str], n: str) -> D
     return met.unionByName(rest)
 
 
+#: Links that one task joins. More of them are joined by rounds of shuffles.
+TASK_LINKS = 200_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest id that each linked id reaches: (id, component) of links (a, b), longs.
 
-    Labels take the least label among neighbours, then their label's label, until none changes; every round is a few joins
-    over a checkpointed table, so nothing is gathered and a lost executor costs one round at most.
+    Up to TASK_LINKS links are joined by one task. More are joined in rounds: labels take the least label among neighbours, then
+    their label's label, until none changes; every round is a few joins over a checkpointed table, so nothing is gathered and a
+    lost executor costs one round at most.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    both = gathered(both, both.count())
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component"))
+    links = cut(links.select("a", "b"))
+    if links.count() <= TASK_LINKS:
+        return cut(links.coalesce(1).mapInPandas(_join_links, "id long, component long"))
+    both = cut(links.union(links.select("b", "a")).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
         low = labels.join(near.hint("merge"), "id").select("id", F.col("component").alias("was"), F.least("component", "low").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("component").alias("lower"))
         found = cut(low.join(jump.hint("merge"), "low").select("id", "was", F.least("low", "lower").alias("component")))
-        n, moved = found.agg(F.count("*"), F.count_if(F.col("was") != F.col("component"))).first()
-        labels = gathered(found.select("id", "component"), n)
-        if not moved:
+        labels = found.select("id", "component")
+        if not found.agg(F.count_if(F.col("was") != F.col("component"))).first()[0]:
             return labels
 
 
-def roots(parents: DataFrame) -> DataFrame:
-    """(id, component) of a forest (id, parent), in which every parent is smaller than its child, by pointer jumping."""
-    labels = parents.select("id", F.col("parent").alias("component"))
-    while True:
-        up = labels.select(F.col("id").alias("component"), F.col("component").alias("higher"))
-        found = cut(labels.join(up.hint("merge"), "component", "left").select("id", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")))
-        n, moved = found.agg(F.count("*"), F.count_if("moved")).first()
-        labels = gathered(found.select("id", "component"), n)
-        if not moved:
-            return labels
+def _join_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    root: dict[int, int] = {}
 
+    def find(x: int) -> int:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (id, component) after further links (a, b) between ids; an id without a label is its own component."""
-    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")).hint("merge")
-    pairs = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    pairs = cut(pairs.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct())
-    n = pairs.count()
-    if not n:
-        return labels
-    new = components(gathered(pairs, n))
-    ids = labels.union(new.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
-    found = cut(ids.join(new.select(F.col("id").alias("component"), F.col("component").alias("low")).hint("merge"), "component", "left").select("id", F.coalesce("low", "component").alias("component")))
-    return gathered(found, found.count())
+    for batch in batches:
+        for a, b in zip(batch.a.tolist(), batch.b.tolist(), strict=True):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    yield pd.DataFrame({"id": list(root), "component": [find(x) for x in list(root)]}, dtype="int64")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, distinct_sets, gathered, merged, mix, roots, shingle_hashes, small_batches, utf8
+from .common import chunks, components, cut, distinct_sets, mix, shingle_hashes, small_batches, utf8
 
 #: Words of a shingle; a link is 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 3, 85
@@ -125,55 +125,51 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     return pairs.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", agree.alias("agree")).where(F.col("agree") >= least)
 
 
-def _joined(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(id, component) of the class representatives that have links."""
+def _linked(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between class representatives: enough of them to give every component."""
     least = needed(percent)
     token = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long")
-    posts = reps.select("doc_id", F.posexplode("sig")).select("doc_id", token.alias("token"))
+    posts = reps.select("doc_id", F.col("n").alias("size"), F.posexplode("sig")).select("doc_id", "size", token.alias("token"))
     often = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = posts.join(often.hint("merge"), "token")
     of_doc = Window.partitionBy("doc_id")
     # Of a document's pairs in the order of rarity the first COORDINATES - least + 1 are posted; those of one document only come
     # first and meet nobody.
-    shared = shared.withColumn("n", F.count("*").over(of_doc)).withColumn("r", F.row_number().over(of_doc.orderBy("df", "token")))
-    posts = cut(shared.where(F.col("r") <= F.col("n") - least + 1).select("token", "doc_id", "df"))
+    shared = shared.withColumn("n", F.count("*").over(of_doc)).withColumn("r", F.row_number().over(of_doc.orderBy("df", "token"))).where(F.col("r") <= F.col("n") - least + 1)
+    own = F.transform(F.array_sort(F.collect_list(F.struct("df", "token")).over(of_doc)), lambda s: s["token"])
+    posts = cut(shared.select("token", "doc_id", own.alias("own"), F.min("size").over(of_doc).alias("low"), F.max("size").over(of_doc).alias("high")))
     texts = cut(docs.select("doc_id", "text").join(posts.select("doc_id").distinct().hint("merge"), "doc_id"))
 
     # Everyone meets the smallest document of each posting, and is joined by the likeliest of these.
     hubs = posts.groupBy("token").agg(F.min("doc_id").alias("a"))
     pairs = posts.join(hubs.hint("merge"), "token").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     best = _agreeing(pairs, reps, least).groupBy("b").agg(F.max_by("a", F.struct("agree", F.negative("a"))).alias("a"))
-    label = roots(cut(_confirm(best, texts, shingle, percent)).select(F.col("b").alias("id"), F.col("a").alias("parent")))
-    sizes = reps.groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    own = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda s: s["token"]).alias("own")
-    about = cut(posts.groupBy("doc_id").agg(own, F.count("*").alias("k")).join(sizes.hint("merge"), "doc_id"))
-    docs_n, n = about.agg(F.count("*"), F.sum("k")).first()
-    about = gathered(about.drop("k"), docs_n)
+    links = cut(_confirm(best, texts, shingle, percent))
+    n = posts.count()
     for turn in range(STAR_ROUNDS if n else 0):
-        known = about.join(label.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        marked = cut(posts.select("token", "doc_id").join(known.hint("merge"), "doc_id"))
-        groups = cut(marked.groupBy("token", "component").agg(F.count("*").alias("k"), F.min("doc_id").alias("low")))
+        label = components(links).withColumnRenamed("id", "doc_id")
+        marked = cut(posts.join(label.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        groups = marked.groupBy("token", "component").agg(F.count("*").alias("k"), F.min("doc_id").alias("low"))
         main = groups.groupBy("token").agg(F.sum("k").alias("s"), F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("c")).where("c > 1")
         main = cut(main.select("token", "s", F.col("most.k").alias("k"), F.col("most.component").alias("main")))
-        m, cross = main.agg(F.count("*"), F.sum(F.expr("(s - k) * s"))).first()
+        cross = main.agg(F.sum(F.expr("(s - k) * s"))).first()[0]
         if not cross:
             break
-        main = gathered(main, m)
         last = turn == STAR_ROUNDS - 1 or cross <= PAIRS * n
         inner = marked.join(main.select("token", "main").hint("merge"), "token")
-        homes = inner.groupBy("doc_id").agg(F.min("main").alias("home"), F.max("high").alias("high"))
         if last:
+            inner = cut(inner)
             pairs = _cross_pairs(inner, percent)
         else:
             hubs = groups.join(main.select("token", "main").hint("merge"), "token").where("component <> main").groupBy("token").agg(F.min_by(F.struct("low", "component"), "low").alias("hub"))
             hubs = cut(hubs.select("token", F.col("hub.low").alias("hub"), F.col("hub.component").alias("hub_component")))
             pairs = marked.join(hubs.hint("merge"), "token").where("component <> hub_component").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
             posts = cut(posts.join(hubs.select("token", F.col("hub").alias("doc_id")).hint("merge"), ["token", "doc_id"], "left_anti"))
-        links = cut(_confirm_tiled(_agreeing(pairs, reps, least), texts, homes, shingle, percent))
-        label = merged(label, gathered(links, links.count()))
+        homes = inner.groupBy("doc_id").agg(F.min("main").alias("home"), F.max("high").alias("high"))
+        links = cut(links.union(_confirm_tiled(_agreeing(pairs, reps, least), texts, homes, shingle, percent)))
         if last:
             break
-    return label
+    return links
 
 
 def _cross_pairs(inner: DataFrame, percent: int) -> DataFrame:
@@ -201,11 +197,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = cut(whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     owned = whole.join(classes.select("n", "d1", "d2", "rep").hint("merge"), ["n", "d1", "d2"])
     reps = cut(owned.where("doc_id = rep").select("doc_id", "n", "sig").dropDuplicates(["doc_id", "sig"]))
-    label = _joined(reps, docs, shingle, percent)
-    if whole.count() > whole.select("doc_id").distinct().count():
+    links = _linked(reps, docs, shingle, percent)
+    if whole.groupBy("doc_id").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1)).first()[0]:
         several = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
         several = owned.join(several.select("doc_id", "a").hint("merge"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-        label = merged(label, several)
+        links = links.union(several)
+    label = components(links)
     rows = sigs.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep").hint("merge"), ["n", "d1", "d2"], "left")
     rows = rows.join(label.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

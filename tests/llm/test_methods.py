@@ -252,7 +252,9 @@ def test_near_duplicates_of_five_words_against_brute_force(spark):
     assert got == {i: (find(i), find(i) == i) for i in sets}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [0, 1_000_000])
+def test_components(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(common, "TASK_LINKS", in_one_task)
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)]
     root = {}
