@@ -175,15 +175,15 @@ TASK_LINKS = 200_000
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Smallest id that each linked id reaches: (id, component) of links (a, b), longs.
+    """Smallest id that each linked id reaches: (id, component) of checkpointed links (a, b), longs.
 
     Up to TASK_LINKS links are joined by one task. More are joined in rounds: labels take the least label among neighbours, then
     their label's label, until none changes; every round is a few joins over a checkpointed table, so nothing is gathered and a
     lost executor costs one round at most.
     """
-    links = cut(links.select("a", "b"))
+    links = links.select("a", "b")
     if links.count() <= TASK_LINKS:
-        return cut(links.coalesce(1).mapInPandas(_join_links, "id long, component long"))
+        return links.coalesce(1).mapInPandas(_join_links, "id long, component long")
     both = cut(links.union(links.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:

@@ -28,8 +28,8 @@ COORDINATES, AGREE = 48, 27
 #: For any other percentage: standard deviations below the mean at which a pair may still be found.
 DEVIATIONS = 5.6
 #: After the first round, rounds of meeting one more document of each posting are run while pairs of different components,
-#: counted once for each shared posting, number more than so many times the posts; then all of them meet.
-STAR_ROUNDS, PAIRS = 6, 64
+#: counted once for each shared posting, number more than so many times the documents; then all of them meet.
+STAR_ROUNDS, PAIRS = 6, 256
 #: Documents and shingles of a tile. Texts of two tiles are compared in one place, so a text moves once for each tile it meets.
 TILE, TILE_SHINGLES = 256, 600_000
 
@@ -125,7 +125,15 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     return pairs.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", agree.alias("agree")).where(F.col("agree") >= least)
 
 
-def _linked(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _marked(posts: DataFrame, label: DataFrame) -> DataFrame:
+    """posts with the `component` of each document, its own id where it has none; both meet in a document's window."""
+    others = [F.lit(None).cast(posts.schema[c].dataType).alias(c) for c in posts.columns if c != "doc_id"]
+    both = posts.withColumn("component", F.lit(None).cast("long")).unionByName(label.select(F.col("id").alias("doc_id"), *others, "component"))
+    found = F.max("component").over(Window.partitionBy("doc_id"))
+    return both.withColumn("component", F.coalesce(found, "doc_id")).where("token is not null")
+
+
+def _linked(reps: DataFrame, docs: DataFrame, n_docs: int, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between class representatives: enough of them to give every component."""
     least = needed(percent)
     token = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long")
@@ -145,17 +153,15 @@ def _linked(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     pairs = posts.join(hubs.hint("merge"), "token").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     best = _agreeing(pairs, reps, least).groupBy("b").agg(F.max_by("a", F.struct("agree", F.negative("a"))).alias("a"))
     links = cut(_confirm(best, texts, shingle, percent))
-    n = posts.count()
-    for turn in range(STAR_ROUNDS if n else 0):
-        label = components(links).withColumnRenamed("id", "doc_id")
-        marked = cut(posts.join(label.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    for turn in range(STAR_ROUNDS):
+        marked = cut(_marked(posts, components(links)))
         groups = marked.groupBy("token", "component").agg(F.count("*").alias("k"), F.min("doc_id").alias("low"))
         main = groups.groupBy("token").agg(F.sum("k").alias("s"), F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("c")).where("c > 1")
         main = cut(main.select("token", "s", F.col("most.k").alias("k"), F.col("most.component").alias("main")))
         cross = main.agg(F.sum(F.expr("(s - k) * s"))).first()[0]
         if not cross:
             break
-        last = turn == STAR_ROUNDS - 1 or cross <= PAIRS * n
+        last = turn == STAR_ROUNDS - 1 or cross <= PAIRS * n_docs
         inner = marked.join(main.select("token", "main").hint("merge"), "token")
         if last:
             inner = cut(inner)
@@ -193,17 +199,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """
     sigs = cut(_signatures(docs, shingle))
     whole = sigs.where("n > 0 and doc_id is not null")
-    # A doc_id of several rows may be in several classes; its smallest representative links them.
     classes = cut(whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    owned = whole.join(classes.select("n", "d1", "d2", "rep").hint("merge"), ["n", "d1", "d2"])
-    reps = cut(owned.where("doc_id = rep").select("doc_id", "n", "sig").dropDuplicates(["doc_id", "sig"]))
-    links = _linked(reps, docs, shingle, percent)
-    if whole.groupBy("doc_id").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1)).first()[0]:
+    owned = whole.join(classes.hint("merge"), ["n", "d1", "d2"])
+    reps = cut(owned.where("doc_id = rep").dropDuplicates(["n", "d1", "d2", "doc_id"]).select("doc_id", "n", "sig"))
+    n_docs, repeated = whole.groupBy("doc_id").agg(F.count("*").alias("k")).agg(F.count("*"), F.count_if(F.col("k") > 1)).first()
+    links = _linked(reps, docs, n_docs, shingle, percent)
+    if repeated:  # a doc_id of several rows may be in several classes; its smallest representative links them
         several = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
         several = owned.join(several.select("doc_id", "a").hint("merge"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-        links = links.union(several)
+        links = cut(links.union(several))
     label = components(links)
-    rows = sigs.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep").hint("merge"), ["n", "d1", "d2"], "left")
+    rows = sigs.select("doc_id", "n", "d1", "d2").join(classes.hint("merge"), ["n", "d1", "d2"], "left")
     rows = rows.join(label.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
