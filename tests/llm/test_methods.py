@@ -225,7 +225,9 @@ def test_repeated_passages_go_from_later_documents(spark):
     assert got[5] == ("intro of 5\nclosing words of 5", 60)
 
 
-def test_near_duplicates_of_five_words_against_brute_force(spark):
+@pytest.mark.parametrize("tile", [4, near_dup.TILE])
+def test_near_duplicates_of_five_words_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_dup, "TILE", tile)
     rng = random.Random(5)
     base = [[f"w{rng.randrange(400)}" for _ in range(80)] for _ in range(12)]
     rows = []
@@ -251,6 +253,15 @@ def test_near_duplicates_of_five_words_against_brute_force(spark):
     got = {r.doc_id: (r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
     assert got == {i: (find(i), find(i) == i) for i in sets}
 
+    # One family, its smallest documents leading: all links come from the tiles.
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    leading = [i for i in sets if find(i) == 0]
+    members = spark.createDataFrame([(i, 0, 0 if i in leading else i, 76) for i in sets], "doc_id long, family long, component long, high long")
+    links = near_dup._within_families(members, texts, 5, 80).collect()
+    linked = [(r.a, r.b) for r in links] + [(0, i) for i in leading]
+    found = {r.id: r.component for r in near_dup.components(spark.createDataFrame(linked, "a long, b long")).collect()}
+    assert {i: found.get(i, i) for i in sets} == {i: find(i) for i in sets}
+
 
 @pytest.mark.parametrize("in_one_task", [0, 1_000_000])
 def test_components(spark, monkeypatch, in_one_task):
