@@ -1,8 +1,10 @@
 """Repeated passages, found as lines that an earlier document holds too, and deleted from the later one.
 
-Every line, and every pair of neighbouring lines, knows the smallest doc_id that holds it. A document whose repeated lines make
-up a long enough run is aligned with those earlier documents by patience diff; aligned blocks are deleted. A line that
-thousands of documents share so links each of them to one other only, and no cap is needed; a line of one document alone links none.
+Every line, and every pair of neighbouring lines, knows the smallest doc_id that holds it. Inside runs of repeated lines, so do
+the shortest runs of enough words from each line on and up to each line: they cover every run of enough words that any earlier
+document holds, however often either text holds it, and are deleted. A document whose repeated lines make up a long enough run
+is also aligned with those earlier documents by patience diff; aligned blocks are deleted. A line that thousands of documents
+share so links each of them to one other only, and no cap is needed; a line of one document alone links none.
 """
 
 from __future__ import annotations
@@ -56,6 +58,24 @@ def _runs(marked: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def _windows(marked: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Of the marked lines' runs (first, last + 1) of at least so many words the shortest that begin, and that end, at each line.
+
+    A run of as many words holds the one from its first line on, the one up to its last line, and between them all its lines.
+    """
+    out: set[tuple[int, int]] = set()
+    edge = np.diff(marked.astype(np.int8), prepend=0, append=0)
+    total = np.concatenate(([0], np.cumsum(words)))
+    least = max(least, 1)
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        own = total[a : b + 1]
+        first = np.arange(np.searchsorted(own, own[-1] - least, "right"))
+        out.update(zip((first + a).tolist(), (np.searchsorted(own, own[first] + least) + a).tolist(), strict=True))
+        end = np.arange(np.searchsorted(own, own[0] + least), len(own))
+        out.update(zip((np.searchsorted(own, own[end] - least, "right") - 1 + a).tolist(), (end + a).tolist(), strict=True))
+    return sorted(out)
+
+
 def _anchors(a: list, b: list) -> list[tuple[int, int]]:
     """The longest rising chain of lines that are unique in both."""
     seen: dict = {}
@@ -115,6 +135,12 @@ def aligned_lines(later: list, earlier: list) -> np.ndarray:
     return out
 
 
+def _shared(tokens: DataFrame) -> DataFrame:
+    """The tokens (t, u, doc_id, ...) that more than one doc_id holds, with the smallest of these as `earlier`."""
+    first = tokens.groupBy("t", "u").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
+    return join_counted(tokens, cut(first.where("earlier < last").drop("last")), ["t", "u"], "df")
+
+
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, keep array<boolean>, removed_words): for each text that loses lines, which of its lines stay."""
     seqs = cut(_lines(docs))
@@ -122,24 +148,33 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     double = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.struct(i.cast("int").alias("i"), F.xxhash64(F.col("h")[i], F.col("h")[i + 1]).alias("t"), F.xxhash64(F.col("g")[i], F.col("g")[i + 1]).alias("u")))
     tokens = seqs.select("doc_id", "text_key", F.explode(F.concat(single, F.when(F.size("h") > 1, double).otherwise(F.array()))).alias("x"))
     tokens = tokens.select("doc_id", "text_key", "x.i", "x.t", "x.u")
-    first = tokens.groupBy("t", "u").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
-    first = cut(first.where("earlier < last").drop("last"))
-    seen = join_counted(tokens, first, ["t", "u"], "df").where("earlier < doc_id")
-    seen = seen.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("i", "earlier")).alias("seen"))
+    seen = _shared(tokens).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("i", "earlier")).alias("seen"))
 
     def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for d, key, words, seen_at in zip(b.doc_id, b.text_key, b.words, b.seen, strict=True):
-                marked = np.zeros(len(words), bool)
-                marked[[s["i"] for s in seen_at]] = True
-                long = _runs(marked, np.asarray(words), min_words)
-                out += [(d, key, e) for e in {s["earlier"] for s in seen_at if long[s["i"]]}]
+            out, runs = [], []
+            for d, key, words, h, g, seen_at in zip(b.doc_id, b.text_key, b.words, b.h, b.g, b.seen, strict=True):
+                shared, later = np.zeros(len(words), bool), np.zeros(len(words), bool)
+                shared[[s["i"] for s in seen_at]] = True
+                later[[s["i"] for s in seen_at if s["earlier"] < d]] = True
+                long = _runs(later, np.asarray(words), min_words)
+                out += [(d, key, e, None, None) for e in {s["earlier"] for s in seen_at if s["earlier"] < d and long[s["i"]]}]
+                runs += [b""] * (len(out) - len(runs))
+                both = np.stack((h, g), axis=1).tobytes()
+                for a, z in _windows(shared, np.asarray(words), min_words):
+                    out.append((d, key, None, a, z))
+                    runs.append(both[16 * a : 16 * z])
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "text_key", "earlier"])
-
-    pairs = seqs.select("doc_id", "text_key", "words").join(seen, ["doc_id", "text_key"]).mapInPandas(partners, f"{_KEY}, earlier long")
-    pairs = cut(pairs.distinct())
+                rows = pd.DataFrame(out, columns=["doc_id", "text_key", "earlier", "a", "z"]).astype({"earlier": "Int64", "a": "Int32", "z": "Int32"})
+                rows[["t", "u"]] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, runs)), "<i8").reshape(-1, 2)
+                yield rows
+
+    # Of each text its partners, and the windows of its shared lines, also where it is the earliest to hold them.
+    met = seqs.select("doc_id", "text_key", "words", "h", "g").join(seen, ["doc_id", "text_key"])
+    met = cut(met.mapInPandas(partners, f"{_KEY}, earlier long, a int, z int, t long, u long"))
+    pairs = cut(met.where("earlier is not null").select("doc_id", "text_key", "earlier").distinct())
+    windows = _shared(met.where("earlier is null").select("doc_id", "text_key", "a", "z", "t", "u")).where("earlier < doc_id")
+    windows = windows.select("doc_id", "text_key", F.sequence("a", F.col("z") - 1).alias("hit"))
     before = seqs.select(F.col("doc_id").alias("earlier"), F.col("h").alias("eh"), F.col("g").alias("eg"))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,8 +184,8 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     own = seqs.select("doc_id", "text_key", "h", "g").dropDuplicates(["doc_id", "text_key"])
     hits = pairs.join(own, ["doc_id", "text_key"]).join(before, "earlier").select("doc_id", "text_key", "h", "g", "eh", "eg").mapInPandas(align, f"{_KEY}, hit array<int>")
-    # At most as many rows as the text has lines and line pairs.
-    hits = hits.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"))
+    # At most as many rows as the text has lines and line pairs, and windows from and up to each line.
+    hits = hits.union(windows).groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

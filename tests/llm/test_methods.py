@@ -225,6 +225,36 @@ def test_repeated_passages_go_from_later_documents(spark):
     assert got[5] == ("intro of 5\nclosing words of 5", 60)
 
 
+def test_passages_repeated_inside_one_document_go_too(spark):
+    line = lambda name, n: " ".join(f"{name}w{i}" for i in range(n))
+    p, r = [line("p0", 20), line("p1", 3), line("p2", 20)], [line("r0", 12), line("r1", 12), line("r2", 12)]
+    texts = {
+        1: ["u1", *p, "v1", *p, "w1"],
+        2: ["u2", r[0], "x2", r[0], "y2", r[1], "v2", r[1], "w2"],
+        3: ["u3", r[1], "x3", r[2], "v3", r[1], "z3", r[2], "w3", r[0], "q3"],
+        4: ["u4", *r, "v4", *r, "w4"],
+        5: ["u5", *p, "v5"],
+        6: ["u6", *p, "v6", *p, "w6", *p, "x6"],
+        7: ["u7", *r, "v7"],
+        8: ["u8", p[0], "v8", p[2], "w8"],
+    }
+    rng = random.Random(8)
+    for d in range(10, 40):
+        texts[d] = [x for k in range(rng.randint(1, 4)) for x in (f"o{d} {k}", *(p if rng.random() < 0.5 else r)[rng.randint(0, 1) : rng.randint(2, 3)])] + [f"end {d}"]
+    want = {}
+    for d, lines in texts.items():
+        held = {tuple(e[a:z]) for o, e in texts.items() if o < d for a in range(len(e)) for z in range(a + 1, len(e) + 1)}
+        gone = set()
+        for a in range(len(lines)):
+            for z in range(a + 1, len(lines) + 1):
+                if tuple(lines[a:z]) in held and sum(len(x.split()) for x in lines[a:z]) >= line_dedup.MIN_WORDS:
+                    gone.update(range(a, z))
+        want[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    assert want[5] == "u5\nv5" and want[6] == "u6\nv6\nw6\nx6" and want[7] == "u7\nv7" and "r0w1" in want[4]
+    rows = spark.createDataFrame([(d, "\n".join(x)) for d, x in texts.items()], "doc_id long, text string")
+    assert {r.doc.doc_id: r.new_text for r in line_dedup.dedup_lines(rows).collect()} == want
+
+
 @pytest.mark.parametrize("tile", [4, near_dup.TILE])
 def test_near_duplicates_of_five_words_against_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(near_dup, "TILE", tile)
