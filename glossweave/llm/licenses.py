@@ -7,6 +7,7 @@ BANDS). Each pair found is verified by the share of the template's shingles that
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,8 +119,13 @@ class Scanner:
                             o = int(starts[part[i, 0]])
                             found.append((int(part[i, 0]), t, a + int(at_[0]) - o, a + int(at_[-1]) + k - o, share))
         kept: list = []
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}  # kept places by text and template, in their order
         for m in sorted(set(found), key=lambda m: (m[0], m[1], -m[4], m[2], m[3])):
-            if not any(m[:2] == o[:2] and m[2] < o[3] and o[2] < m[3] for o in kept[-64:]):
+            own = spans.setdefault(m[:2], [])
+            # Kept places don't overlap, so only the last one that starts before this one's end can overlap it.
+            at = bisect_left(own, (m[3],))
+            if not at or own[at - 1][1] <= m[2]:
+                own.insert(at, (m[2], m[3]))
                 kept.append(m)
         return kept
 

@@ -108,6 +108,16 @@ def test_edited_license_is_found():
     assert found[0][2] == 90
 
 
+def test_of_many_copies_of_a_license_none_overlaps_another():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    notice, name = licenses.TEMPLATES["gpl-3.0-notice"], scanner.names.index("gpl-3.0-notice")
+    size = len(notice.replace("-", " ").split())
+    text = "first " + " ".join(f"{notice} {' '.join(f'n{i}x{j}' for j in range(i % 5))}" for i in range(200))
+    found = sorted(f[2:] for f in scanner.scan([text.encode()]) if f[1] == name)
+    assert len(found) == 200 and all(f[2] == 1 and f[1] - f[0] == size for f in found)
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_mined_rules_against_counts(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     from pyspark.sql import functions as F
