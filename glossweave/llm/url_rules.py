@@ -18,8 +18,6 @@ STATED = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.8
 #: Tokens of more than this share of the labelled URLs tell nothing and only double every itemset.
 COMMON = 0.9
-#: A basket for mining holds at most so many tokens, the most frequent ones first; matching uses every token of a URL.
-BASKET = 10
 _BLOCK, _ALLOW = "=block", "=allow"
 
 
@@ -51,9 +49,10 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, basket: int = BASKET) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (rule_id, items, verdict, confidence, support) of labelled URLs (url, block boolean).
 
+    Baskets are mined whole: only min_support bounds the work, so k tokens that enough URLs hold together make up to 2^k sets.
     Null urls or labels take no part; without any labelled URL there are no rules.
     """
     rows = labelled.where("url is not null and block is not null").select(tokens(F.col("url")).alias("items"), "block")
@@ -65,8 +64,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     frequent = cut(frequent.where((F.col("count") >= min_support * n) & (F.col("count") <= COMMON * n)))
     rows = cut(rows.withColumn("key", F.monotonically_increasing_id()))
     kept = rows.select("key", F.explode("items").alias("token")).join(frequent, "token")
-    kept = kept.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.negative("count").alias("n"), "token"))), 1, basket).alias("top"))
-    baskets = rows.join(kept, "key", "left").select(F.concat(F.coalesce(F.col("top.token"), F.array()), F.array(F.when(F.col("block"), _BLOCK).otherwise(_ALLOW))).alias("items"))
+    kept = kept.groupBy("key").agg(F.collect_list("token").alias("kept"))
+    baskets = rows.join(kept, "key", "left").select(F.concat(F.coalesce("kept", F.array()), F.array(F.when(F.col("block"), _BLOCK).otherwise(_ALLOW))).alias("items"))
     # Each partition grows the trees of some items, from its own copy of the baskets: no more partitions than items can fill.
     parts = 1 + frequent.count() // 4
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=parts).fit(cut(baskets))

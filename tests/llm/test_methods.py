@@ -118,6 +118,14 @@ def test_of_many_copies_of_a_license_none_overlaps_another():
     assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
 
 
+def test_rules_are_mined_from_whole_baskets(spark):
+    names = "&".join(f"name{chr(97 + i)}=1" for i in range(11))
+    urls = [(f"http://a.org/?{names}{'&bad=1' if i < 40 else ''}", i < 40) for i in range(80)] + [(f"http://a.org/?z{i % 2}", False) for i in range(20)]
+    rules = {tuple(r["items"]): (r.verdict, r.confidence, r.support) for r in url_rules.mine(spark.createDataFrame(urls, "url string, block boolean")).collect()}
+    verdict, confidence, support = rules["q:bad",]
+    assert (verdict, confidence) == ("block", 1) and support == pytest.approx(0.4)
+
+
 def test_mined_rules_against_counts(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     from pyspark.sql import functions as F
