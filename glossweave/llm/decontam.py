@@ -1,6 +1,7 @@
 """Benchmark passages inside documents, found through the q-gram lemma.
 
-Benchmark items are cut into overlapping segments. A segment with at most e edits in a text shares L - q + 1 - q * e of its
+Benchmark items are cut into overlapping segments of two lengths; the short ones lie so close that every verbatim stretch of
+FINE + FINE_STEP - 1 characters holds a whole one. Items under MIN_CHARS are looked up whole and exactly. A segment with at most e edits in a text shares L - q + 1 - q * e of its
 q-grams with it, all within a band of e + 1 diagonals. Shared q-grams are counted in overlapping bands twice that wide; bands
 with enough of them are verified by banded alignment. A text is searched as a whole within its own row, so no data moves.
 """
@@ -19,7 +20,9 @@ from .common import mix, small_batches
 
 #: Characters of a q-gram and of a segment, the step between segments, and edits a character of a segment.
 Q, SEGMENT, STEP, EDITS = 10, 120, 60, 0.08
-#: Shorter items prove nothing and are not searched for.
+#: Characters of the short segments beside these, and their step.
+FINE, FINE_STEP = 60, 10
+#: Shorter items must be there whole, without edits, and not as parts of longer words.
 MIN_CHARS = 40
 #: Characters of benchmark items whose index is broadcast at once; a larger benchmark is searched in several passes.
 PASS_CHARS = 4_000_000
@@ -51,16 +54,37 @@ def grams(code: np.ndarray) -> np.ndarray:
     return eight[:-2] * power(2) + two[8:]
 
 
+def _short_grams(code: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k code points, Q at most."""
+    if k == Q:
+        return grams(code)
+    h = np.zeros(max(0, len(code) - k + 1), np.uint64)
+    for i in range(k):
+        h = mix(h + code[i : i + len(h)] + np.uint64(1))
+    return h
+
+
 class Index:
-    """Segments of the items and where their q-grams are."""
+    """Segments of the items and where their q-grams are; short items by their first characters."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.code, gram, segment, offset = [], [], [], [], []
+        self.short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
         for item, text in items:
             code = plain(text)
-            last = max(0, len(code) - SEGMENT)
-            for at in sorted({*range(0, last, STEP), last}):
-                part = code[at : at + SEGMENT]
+            if len(code) < MIN_CHARS:
+                own = np.flatnonzero(code != 32)
+                code = code[own[0] : own[-1] + 1] if len(own) else code[:0]
+                if len(code):
+                    k = min(Q, len(code))
+                    self.short.setdefault(k, {}).setdefault(int(_short_grams(code[:k], k)[0]), []).append((item, code))
+                continue
+            parts = {}
+            for length, step in ((SEGMENT, STEP), (FINE, FINE_STEP)):
+                last = max(0, len(code) - length)
+                parts |= {(at, len(code[at : at + length])): None for at in (*range(0, last, step), last)}
+            for at, length in parts:
+                part = code[at : at + length]
                 g = grams(part)
                 segment.append(np.full(len(g), len(self.item)))
                 offset.append(np.arange(len(g)))
@@ -130,11 +154,22 @@ class Index:
                 best[r], end[r] = cost[np.arange(len(r)), j], low[r] + j + size
         return best, end
 
+    def whole(self, code: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the short items; an end that is a letter or digit has none beside it in the text."""
+        free = lambda a, b: not (0 <= a and b < len(code) and chr(code[a]).isalnum() and chr(code[b]).isalnum())
+        for k, table in self.short.items():
+            g = _short_grams(code, k)
+            for at in np.flatnonzero(np.isin(g, np.array(list(table), np.uint64))).tolist():
+                for item, part in table[int(g[at])]:
+                    end = at + len(part)
+                    if free(at - 1, at) and free(end - 1, end) and np.array_equal(code[at:end], part):
+                        yield item, at, end
+
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text its (item, start, end, edits), one for each item: of its matches the one with fewest edits, then the first."""
+        """For each text its (item, start, end, edits), one for each item: of its matches the one with fewest edits, then the first, then the longest."""
         out: list[list] = [[] for _ in texts]
         first = 0
-        while first < len(texts) and len(self.key):
+        while first < len(texts) and (len(self.key) or self.short):
             codes, total, last = [], 0, first
             while last < len(texts) and (not codes or total < _CHUNK):
                 codes.append(plain(texts[last] or ""))
@@ -143,7 +178,10 @@ class Index:
             gap = np.full(SEGMENT, _GAP, np.uint32)
             code = np.concatenate([x for c in codes for x in (c, gap)])
             starts = np.concatenate(([0], np.cumsum([len(c) + SEGMENT for c in codes])[:-1]))
-            segment, low = self.regions(code)
+            for item, a, z in self.whole(code):
+                t = int(np.searchsorted(starts, a, side="right")) - 1
+                out[first + t].append((0, int(a - starts[t]), int(z - starts[t]), item))
+            segment, low = self.regions(code) if len(self.key) else ((), ())
             if len(segment):
                 edits, end = self.align(code, segment, low)
                 for s, e, n in zip(segment, end, edits, strict=True):
@@ -155,7 +193,7 @@ class Index:
         kept = []
         for found in out:
             best: dict[int, tuple] = {}
-            for n, a, z, item in sorted(found):
+            for n, a, z, item in sorted(found, key=lambda f: (f[0], f[1], -f[2], f[3])):
                 best.setdefault(item, (item, a, z, n))
             kept.append(sorted(best.values()))
         return kept
@@ -163,7 +201,7 @@ class Index:
 
 def _indexes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in passes of about PASS_CHARS characters, the most that the driver holds at once."""
-    items = benchmark.where(F.col("item_id").isNotNull() & (F.length("text") >= MIN_CHARS)).select("item_id", "text").distinct()
+    items = benchmark.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).select("item_id", "text").distinct()
     passes = 1 + int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // PASS_CHARS
     for p in range(passes):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == p) if passes > 1 else items
@@ -192,7 +230,7 @@ def _finder(spark: SparkSession, items: list[tuple[int, str]]):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, edits): benchmark items of which a document holds a segment, with its place in the text.
 
-    Null or empty texts hold none; null or short items are not searched. Repeated rows each give their matches; equal item
+    Null or empty texts hold none; null or blank items are not searched, and items under MIN_CHARS are found whole only. Repeated rows each give their matches; equal item
     rows count once. Without items the result is empty.
     """
     found, docs = None, small_batches(docs)

@@ -78,6 +78,23 @@ def test_leaks_within_the_edit_budget_are_all_found():
         assert found[1:] == [[], [], []]
 
 
+def test_partial_leaks_are_found_at_every_offset():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    text, noise = " ".join(word() for _ in range(60))[:233], " ".join(word() for _ in range(30))
+    index = decontam.Index([(7, text)])
+    for size in (decontam.FINE + decontam.FINE_STEP - 1, 100, 120, 160):
+        parts = [f"{noise} {text[a : a + size]} {noise}" for a in range(len(text) - size + 1)]
+        assert all([f[0] for f in found] == [7] for found in index.search(parts)), size
+
+
+def test_short_items_are_found_whole_and_exactly():
+    index = decontam.Index([(1, "Who wrote it?"), (2, "forty-two"), (3, " \n"), (4, "x"), (5, "a question of thirty-nine characters ok")])
+    found = index.search(["They asked: who\nwrote it? No.", "who wrote at?", "FORTY-TWO, forty-twos", "forty-twos", "ox x", "a question of thirty-nine characters ok", "a question of thirty-nine characters o", None, ""])
+    assert [[f[0] for f in t] for t in found] == [[1], [], [2], [], [4], [5], [], [], []]
+    assert found[0] == [(1, 12, 25, 0)]
+
+
 def test_leaks_query_holds_every_whole_item(spark, sf_dir, duck):
     want = set(map(tuple, duck.execute("select doc_id, item_id from documents d join benchmark b on contains(replace(lower(d.text), chr(10), ' '), replace(lower(b.text), chr(10), ' '))").fetchall()))
     got = {(r.doc_id, r.item_id) for r in queries.op2_decontam(spark, sf_dir).collect()}
