@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
+import hashlib
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -18,19 +17,37 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where that is unset, one of our own, deleted at exit."""
+    """The folder that spark.checkpoint.dir names, which all executors share.
+
+    Only a local session, whose executors are this process, gets one of its own where that is unset; a cluster must name it.
+    """
     sc = spark.sparkContext
     if named := sc.getConf().get("spark.checkpoint.dir"):
         return named
     if not sc.getCheckpointDir():
-        own = tempfile.mkdtemp(prefix="glossweave-")
-        atexit.register(shutil.rmtree, own, True)
-        sc.setCheckpointDir(own)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.TemporaryDirectory(prefix="glossweave-")
+        _own_folders.append(own)  # deleted at exit
+        sc.setCheckpointDir(own.name)
     return sc.getCheckpointDir()
 
 
+_own_folders: list = []
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that an operator wrote beside the checkpoints."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the shared folder. Spark deletes the files with the last frame that reads them."""
+    """Checkpoint df in the shared folder.
+
+    Spark deletes the files with the last frame that reads them if spark.cleaner.referenceTracking.cleanCheckpoints is true; a
+    cluster where it isn't keeps them until the folder is cleared.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -89,39 +106,58 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of a text that are split at once, and of a word that is hashed in numpy.
+SLICE, WORD_BYTES = 1 << 22, 128
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-@functools.cache
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+def _slices(text: bytes) -> Iterator[bytes]:
+    """text in pieces of about SLICE bytes, each cut before a blank."""
+    a = 0
+    while len(text) - a > SLICE and (m := _BLANK.search(text, a + SLICE)):
+        yield text[a : m.start()]
+        a = m.start()
+    yield text[a:] if a else text
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n, base = 1 << bits, int(_BASE)
-    step = np.full(n, base, np.uint64)
-    back = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    step[0] = back[0] = 1
-    return np.cumprod(step, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    ends_at = np.cumsum([len(t) + 1 for t in texts])
+    text = b"\n".join(texts) + b"\n" + bytes(8)
+    raw = _LOWER[np.frombuffer(text, np.uint8)]
+    word = ~_SPACE[raw[:-8]]
+    edge = np.diff(word.view(np.int8), prepend=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    # Eight bytes go in by steps that can be undone, the length first: words of up to eight bytes of one length never collide.
+    h = mix(size.astype(np.uint64) * _BASE)
+    live = np.flatnonzero(size <= WORD_BYTES)
+    for k in range(0, WORD_BYTES, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        h[live] = mix(h[live] * _BASE ^ (eight[start[live] + k] & _FIRST[np.minimum(size[live] - k, 8)]))
+    for i in np.flatnonzero(size > WORD_BYTES):
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, np.searchsorted(start, ends_at)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of all words `[^\\x20\\x09-\\x0D]+` of the texts, A-Z lower-cased: 64-bit hashes, and each text's end in them.
 
-    A word's hash is a polynomial of its bytes modulo 2^64, taken from running sums, then scattered with its length.
+    Words of the same length of up to eight bytes have different hashes. Of any other n words two share one with a chance of
+    about n^2 / 2^65, whatever pattern they have; those of over WORD_BYTES bytes take a cryptographic hash.
     """
-    ends_at = np.cumsum([len(t) + 1 for t in texts])
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    raw = _LOWER[raw]
-    word = ~_SPACE[raw]
-    edge = np.diff(word.view(np.int8), prepend=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, back = _powers(max(21, int(len(raw)).bit_length()))
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_byte_values()[raw] * up[: len(raw)], out=total[1:])
-    h = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
-    return h, np.searchsorted(start, ends_at)
+    if not any(len(t) > SLICE for t in texts):
+        return _word_hashes(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    out, ends, n = [], [], 0
+    for text in texts:
+        for part in _slices(text):
+            out.append(_word_hashes([part])[0])
+            n += len(out[-1])
+        ends.append(n)
+    return np.concatenate(out), np.array(ends, np.int64)
 
 
 def shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
