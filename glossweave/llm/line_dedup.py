@@ -1,10 +1,11 @@
-"""Repeated passages, found as lines that an earlier document holds too, and deleted from the later one.
-
-Every line, and every pair of neighbouring lines, knows the smallest doc_id that holds it. Inside runs of repeated lines, so do
-the shortest runs of enough words from each line on and up to each line: they cover every run of enough words that any earlier
-document holds, however often either text holds it, and are deleted. A document whose repeated lines make up a long enough run
-is also aligned with those earlier documents by patience diff; aligned blocks are deleted. A line that thousands of documents
-share so links each of them to one other only, and no cap is needed; a line of one document alone links none.
+"""Repeated passages: documents that share rare lines are aligned by patience diff, and common blocks go from the later one.
+
+Every rare line links its documents to the smallest doc_id that holds it. A linked pair is aligned once; a block of lines that
+follow each other in both, with enough words, is deleted from the later document. What one alignment of one pair can't see
+(moved or repeated blocks, passages of common lines only, a partner that no rare line names) is found exactly by windows: the
+shortest runs of enough words from each shared line on, and up to each one, cover every run of as many words, and of each the
+smallest document that holds it is known. So the lines that go are those in a run of lines with enough words that one
+earlier document holds as a run too, and no others. A line that thousands share makes no pairs, and each posting one row a document.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_counted, small_batches, utf8
 
-#: Words of a run of aligned lines from which on it is deleted.
+#: Words of a run of common lines from which on it is deleted.
 MIN_WORDS = 30
+#: Documents that may hold a line that is rare enough to make pairs. Windows find exactly what commoner lines make up.
+RARE = 64
+#: Ranges within ranges that an alignment goes into, so that none takes long; windows find what is deeper.
+DEPTH = 40
 _KEY = "doc_id long, text_key long"
 
 
@@ -100,38 +105,39 @@ def _anchors(a: list, b: list) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def patience(a: list, b: list) -> list[tuple[int, int]]:
+def patience(a: list, b: list, depth: int = DEPTH) -> list[tuple[int, int]]:
     """Aligned places of equal lines of a and b, both rising: common ends first, then between anchors, range by range."""
     found: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
+    todo = [(0, len(a), 0, len(b), depth)]
     while todo:
-        a0, a1, b0, b1 = todo.pop()
+        a0, a1, b0, b1, left = todo.pop()
         while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
             found.append((a0, b0))
             a0, b0 = a0 + 1, b0 + 1
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             found.append((a1, b1))
-        if a0 == a1 or b0 == b1:
+        if a0 == a1 or b0 == b1 or not left:
             continue
         at_a, at_b = a0, b0
         chain = [(a0 + i, b0 + j) for i, j in _anchors(a[a0:a1], b[b0:b1])]
         for i, j in [*chain, (a1, b1)] if chain else []:
-            todo.append((at_a, i, at_b, j))
+            todo.append((at_a, i, at_b, j, left - 1))
             at_a, at_b = i, j  # the anchor itself starts the next range
     return sorted(found)
 
 
-def aligned_lines(later: list, earlier: list) -> np.ndarray:
-    """Which lines of `later` align with `earlier`. What was aligned is left out and the rest aligned again, so moved blocks count."""
-    out = np.zeros(len(later), bool)
-    rest = list(range(len(later)))
-    while rest:
-        hit = [rest[i] for i, _ in patience([later[i] for i in rest], earlier)]
-        if not hit:
-            return out
-        out[hit] = True
-        rest = [i for i in rest if not out[i]]
+def common_blocks(later: list, earlier: list, words: np.ndarray, least: int) -> list[int]:
+    """The lines of `later` in aligned blocks, lines that follow each other in both texts, of at least so many words."""
+    out: list[int] = []
+    block: list[tuple[int, int]] = []
+    for i, j in [*patience(later, earlier), (-1, -1)]:
+        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+            lines = [k for k, _ in block]
+            if int(words[lines].sum()) >= least:
+                out += lines
+            block = []
+        block.append((i, j))
     return out
 
 
@@ -144,24 +150,22 @@ def _shared(tokens: DataFrame) -> DataFrame:
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, keep array<boolean>, removed_words): for each text that loses lines, which of its lines stay."""
     seqs = cut(_lines(docs))
-    single = F.transform("h", lambda x, i: F.struct(i.cast("int").alias("i"), F.xxhash64(x, F.col("g")[i], F.lit(1)).alias("t"), F.col("g")[i].alias("u")))
-    double = F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.struct(i.cast("int").alias("i"), F.xxhash64(F.col("h")[i], F.col("h")[i + 1]).alias("t"), F.xxhash64(F.col("g")[i], F.col("g")[i + 1]).alias("u")))
-    tokens = seqs.select("doc_id", "text_key", F.explode(F.concat(single, F.when(F.size("h") > 1, double).otherwise(F.array()))).alias("x"))
-    tokens = tokens.select("doc_id", "text_key", "x.i", "x.t", "x.u")
-    seen = _shared(tokens).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("i", "earlier")).alias("seen"))
+    tokens = seqs.select("doc_id", "text_key", F.posexplode(F.arrays_zip("h", "g")).alias("i", "x")).select("doc_id", "text_key", "i", F.col("x.h").alias("t"), F.col("x.g").alias("u"))
+    seen = _shared(tokens).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("i", "earlier", (F.col("df") <= RARE).alias("rare"))).alias("seen"))
 
     def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, runs = [], []
             for d, key, words, h, g, seen_at in zip(b.doc_id, b.text_key, b.words, b.h, b.g, b.seen, strict=True):
+                words = np.asarray(words)
                 shared, later = np.zeros(len(words), bool), np.zeros(len(words), bool)
                 shared[[s["i"] for s in seen_at]] = True
                 later[[s["i"] for s in seen_at if s["earlier"] < d]] = True
-                long = _runs(later, np.asarray(words), min_words)
-                out += [(d, key, e, None, None) for e in {s["earlier"] for s in seen_at if s["earlier"] < d and long[s["i"]]}]
+                long = _runs(later, words, min_words)
+                out += [(d, key, e, None, None) for e in {s["earlier"] for s in seen_at if s["rare"] and s["earlier"] < d and long[s["i"]]}]
                 runs += [b""] * (len(out) - len(runs))
                 both = np.stack((h, g), axis=1).tobytes()
-                for a, z in _windows(shared, np.asarray(words), min_words):
+                for a, z in _windows(shared, words, min_words):
                     out.append((d, key, None, a, z))
                     runs.append(both[16 * a : 16 * z])
             if out:
@@ -172,28 +176,27 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Of each text its partners, and the windows of its shared lines, also where it is the earliest to hold them.
     met = seqs.select("doc_id", "text_key", "words", "h", "g").join(seen, ["doc_id", "text_key"])
     met = cut(met.mapInPandas(partners, f"{_KEY}, earlier long, a int, z int, t long, u long"))
-    pairs = cut(met.where("earlier is not null").select("doc_id", "text_key", "earlier").distinct())
+    pairs = met.where("earlier is not null").select("doc_id", "text_key", "earlier").distinct()
     windows = _shared(met.where("earlier is null").select("doc_id", "text_key", "a", "z", "t", "u")).where("earlier < doc_id")
     windows = windows.select("doc_id", "text_key", F.sequence("a", F.col("z") - 1).alias("hit"))
     before = seqs.select(F.col("doc_id").alias("earlier"), F.col("h").alias("eh"), F.col("g").alias("eg"))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hit = [np.flatnonzero(aligned_lines(list(zip(h, g, strict=True)), list(zip(eh, eg, strict=True)))).astype(np.int32) for h, g, eh, eg in zip(b.h, b.g, b.eh, b.eg, strict=True)]
+            hit = [common_blocks(list(zip(h, g, strict=True)), list(zip(eh, eg, strict=True)), np.asarray(w), min_words) for h, g, w, eh, eg in zip(b.h, b.g, b.words, b.eh, b.eg, strict=True)]
             yield pd.DataFrame({"doc_id": b.doc_id, "text_key": b.text_key, "hit": hit})
 
-    own = seqs.select("doc_id", "text_key", "h", "g").dropDuplicates(["doc_id", "text_key"])
-    hits = pairs.join(own, ["doc_id", "text_key"]).join(before, "earlier").select("doc_id", "text_key", "h", "g", "eh", "eg").mapInPandas(align, f"{_KEY}, hit array<int>")
-    # At most as many rows as the text has lines and line pairs, and windows from and up to each line.
+    # A document is in at most RARE pairs as the earlier one for each of its lines.
+    own = seqs.select("doc_id", "text_key", "h", "g", "words").dropDuplicates(["doc_id", "text_key"])
+    hits = pairs.join(own, ["doc_id", "text_key"]).join(before, "earlier").select("doc_id", "text_key", "h", "g", "words", "eh", "eg").mapInPandas(align, f"{_KEY}, hit array<int>")
+    # At most as many rows as the text has lines, and windows from and up to each line.
     hits = hits.union(windows).groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep, lost = [], []
             for at, words, n, hit in zip(b["at"], b.words, b.n_lines, b.hit, strict=True):
-                marked = np.zeros(len(words), bool)
-                marked[np.asarray(hit, int)] = True
-                gone = _runs(marked, np.asarray(words), min_words)
+                gone = np.asarray(hit, int)
                 stays = np.ones(n, bool)
                 stays[np.asarray(at)[gone]] = False
                 keep.append(stays)
@@ -207,7 +210,8 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs (doc_id, text, any other columns) as a struct `doc`, with `new_text` and `removed_words`.
 
-    Of a passage of at least min_words words on lines of its own, the smallest doc_id keeps its lines. Null ids and texts
+    A line goes if it is in a run of lines with at least min_words words together that one document of smaller doc_id holds as a
+    run too; the smallest one so keeps its lines. Null ids and texts
     stay as they are; rows of one doc_id are never each other's earlier document, and each of its texts loses its own lines.
     Blank lines neither match nor break a run, and stay. An empty table gives an empty table.
     """

@@ -35,6 +35,40 @@ def test_word_hashes_tell_words_apart(texts):
     assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
 
 
+def test_no_pattern_makes_two_words_alike():
+    word = "a"
+    for _ in range(13):
+        other = word.translate(str.maketrans("ab", "ba"))
+        a, b = common.word_hashes([f"{word} {other}".encode()])[0]
+        assert a != b or word == other
+        word += other
+    short = [bytes((x, y)) * k for x in b"abyz" for y in b"abyz" for k in (1, 2, 4, 8, 16, 60, 64, 65, 70)]
+    h = common.word_hashes([b" ".join(short)])[0].tolist()
+    assert len(set(h)) == len(set(short))
+
+
+def test_words_of_a_text_in_slices(monkeypatch):
+    text = b"Word " * 50 + b"longer-than-a-slice" * 9 + b"\n\tlast one"
+    want = common.word_hashes([text, b"b"])
+    monkeypatch.setattr(common, "SLICE", 16)
+    got = common.word_hashes([text, b"b"])
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist() == [53, 54]
+
+
+def _turned_words(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [2048, 4096])
+def test_documents_of_different_words_stay_apart(spark, n):
+    one, two = _turned_words(n)
+    rows = spark.createDataFrame([(1, one), (2, two), (3, f"{one} x y z"), (4, f"{two} x y z")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(rows).collect()} == {(i, i) for i in (1, 2, 3, 4)}
+
+
 def test_bpe_query(spark, sf_dir):
     import hashlib
 
@@ -251,6 +285,57 @@ def test_patience_aligns_equal_lines_in_order(a, b):
         assert len(found) == len(a)
 
 
+def _without_repeats(texts, least):
+    """Brute force: lines with words in a run of as many words that one earlier document holds as a run."""
+    full = {d: [x.strip() for x in lines if x.strip()] for d, lines in texts.items()}
+    out = {}
+    for d, lines in full.items():
+        held = {tuple(e[a:z]) for o, e in full.items() if o < d for a in range(len(e)) for z in range(a + 1, len(e) + 1)}
+        gone = set()
+        for a in range(len(lines)):
+            for z in range(a + 1, len(lines) + 1):
+                if tuple(lines[a:z]) in held and sum(len(x.split()) for x in lines[a:z]) >= least:
+                    gone.update(range(a, z))
+        at = [i for i, x in enumerate(texts[d]) if x.strip()]
+        out[d] = "\n".join(x for i, x in enumerate(texts[d]) if i not in {at[k] for k in gone})
+    return out
+
+
+@pytest.mark.parametrize(("seed", "rare"), [(0, 64), (1, 64), (2, 2), (3, 0)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, seed, rare):
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    rng = random.Random(seed)
+    pool = [" ".join(f"l{k}w{i}" for i in range(rng.randint(1, 14))) for k in range(12)]
+    texts = {}
+    for d in range(60):
+        if d % 3 == 2:  # a copy of an earlier text, cut, turned or put together anew
+            e = list(texts[rng.choice(list(texts))])
+            a = rng.randrange(len(e) + 1)
+            texts[d] = rng.choice([e, e[a:] + e[:a], e[::-1], e + e, e[a:]]) or ["x"]
+        else:
+            texts[d] = [rng.choice([*pool, *pool, "", f"own {d} {k}"]) for k in range(rng.randint(1, 14))]
+    rows = spark.createDataFrame([(d, "\n".join(x)) for d, x in texts.items()], "doc_id long, text string")
+    assert {r.doc.doc_id: r.new_text for r in line_dedup.dedup_lines(rows).collect()} == _without_repeats(texts, line_dedup.MIN_WORDS)
+
+
+def test_lines_of_several_documents_make_no_common_block(spark):
+    line = lambda name: " ".join(f"{name}w{i}" for i in range(12))
+    turned = [line(f"t{k}") for k in range(6)]
+    texts = {1: [line("a")], 2: [line("b")], 3: [line("c")], 4: turned, 9: [line("a"), line("b"), line("c")], 10: [*turned[::-1]]}
+    rows = spark.createDataFrame([(d, "\n".join(x)) for d, x in texts.items()], "doc_id long, text string")
+    assert {r.removed_words for r in line_dedup.dedup_lines(rows).collect()} == {0}
+
+
+def test_alignment_of_turned_lines_takes_little_time():
+    import time
+
+    lines = list(range(40_000))
+    began = time.process_time()
+    assert line_dedup.common_blocks(lines[::-1], lines, np.full(len(lines), 12), 30) == []
+    assert time.process_time() - began < 5
+    assert line_dedup.common_blocks(["x", *lines], ["y", *lines], np.full(len(lines) + 1, 12), 30) == list(range(1, len(lines) + 1))
+
+
 def test_repeated_passages_go_from_later_documents(spark):
     passage = "\n".join(" ".join(f"p{k}w{i}" for i in range(20)) for k in range(3))
     own = lambda d: f"intro of {d}\n", lambda d: f"\nclosing words of {d}"
