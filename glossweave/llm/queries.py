@@ -53,13 +53,14 @@ QUERIES = {f.__name__: f for f in (op1_topk, op2_decontam, op3_licenses, op4_url
 ORACLE_SQL = {
     "op1_topk": """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) c
+  select distinct vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) c
   from embeddings
   where vec_id is not null and len(embedding) > 0
-    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(256 * cast(x as double)))) = 0),
+q as (select vec_id, min({'n': len(c), 'c': c}).c c from v where vec_id % 50 = 0 group by vec_id),
 s as (
   select q.vec_id query_id, v.vec_id, cast(list_inner_product(q.c, v.c) as bigint) score
-  from v q join v on len(q.c) = len(v.c) and q.vec_id <> v.vec_id where q.vec_id % 50 = 0)
+  from q join v on len(q.c) = len(v.c) and q.vec_id <> v.vec_id)
 select query_id, cast(rank as int) rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 5""",
     "op10_near_dup": """

@@ -1,6 +1,8 @@
 """Registered queries against their SQL, and what every operator does with odd input."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from glossweave.llm import attention_lm, bpe, decontam, licenses, line_crf, line_dedup, near_dup, queries, url_rules, vafile, warc
 
@@ -85,6 +87,69 @@ def test_records_come_back_byte_for_byte(spark, tmp_path):
     assert b"WARC-Type: revisit" in records[2] and b"WARC-Refers-To: <urn:page:1>" in records[2]
 
 
+def _nearest(rows, every=50, k=5, scale=256):
+    """Brute force in whole numbers of any size: a query id of several vectors searches for the least."""
+    from fractions import Fraction
+    from math import floor, isfinite
+
+    usable = {(i, tuple(floor(Fraction(x) * scale) for x in v)) for i, v in rows if i is not None and v and all(x is not None and isfinite(x) for x in v)}
+    out = []
+    for q in sorted({i for i, _ in usable if i % every == 0}):
+        own = min((len(v), v) for i, v in usable if i == q)[1]
+        best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in usable if i != q and len(v) == len(own))
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(best[:k], 1)]
+    return out
+
+
+def _found(spark, rows, kind="double"):
+    got = vafile.nearest(spark.createDataFrame([(i, v, "x", 1) for i, v in rows], f"vec_id long, embedding array<{kind}>, key string, r int"))
+    return [(r.query_id, r["rank"], r.vec_id, r.score) for r in got.orderBy("query_id", "rank").collect()]
+
+
+def test_large_components_take_part(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e7, 0.0]), (2, [0.5, 0.5]), (3, [-3e12, 1e3]), (4, [0.0, 2.0**44]), (50, [0.001, -1.0]), (6, [float("inf"), 1.0]), (7, [1e308, 1.0])]
+    small = [r for r in rows if r[0] != 7]
+    assert (0, 2, 1, 655_360_000_000) in _nearest(small)
+    with pytest.raises(Exception, match="fits no long"):
+        _found(spark, [*rows[:3], (8, [1e300, 0.0])])
+    # 256 * 1e308 is not finite; scores that are too small for a long do no harm where they are not among the best.
+    assert _found(spark, [(0, [1.0, 1.0]), (1, [-1e300, 0.0]), *[(i, [float(i), 1.0]) for i in range(2, 9)], (9, [1e308, 1.0])]) == _nearest([(0, [1.0, 1.0]), *[(i, [float(i), 1.0]) for i in range(2, 9)]])
+    assert _found(spark, small) == _nearest(small)
+
+
+def test_an_outlier_and_equal_vectors_leave_few_bounds(spark, monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    rows = [(i, (draw.standard_normal(16) / 4).tolist()) for i in range(2000)]
+    read = []
+    cut = vafile.cut
+    monkeypatch.setattr(vafile, "cut", lambda df: (lambda out: (read.append(out.count()) if "low" in out.columns else None, out)[1])(cut(df)))
+    for more in ([], [(2001, [8.0e6] + [0.0] * 15)], [(3000 + i, rows[7][1]) for i in range(1500)]):
+        read.clear()
+        assert _found(spark, rows + more) == _nearest(rows + more)
+        assert read[0] < 20 * 41 + 41 * 5 * (len(more) == 1500) * 2, more[:1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([-3.0, -1.0, 0.0, 1.0, 2.0, 1e6, -1e15, 2.0**54]), min_size=3, max_size=3), min_size=1, max_size=40), st.lists(st.sampled_from([-2.0, 0.0, 1.0, 1e9]), min_size=3, max_size=3))
+def test_bounds_hold(vectors, query):
+    import numpy as np
+
+    v, q = np.array(vectors), np.array([query])
+    marks, cell = vafile.approximate(v, 8)
+    low, high = vafile.bounds(q, marks[np.arange(3), cell], marks[np.arange(3), cell + np.int16(1)])
+    for i, x in enumerate(vectors):
+        exact = sum(int(a) * int(b) for a, b in zip(query, x, strict=True))
+        assert int(low[0, i]) <= exact <= int(high[0, i])
+
+
+def test_ids_of_several_vectors_ties_and_empty_tables(spark):
+    rows = [(0, [2.0, 1.0]), (0, [1.0, 3.0]), (0, [1.0, 3.0]), *[(i, [1.0, 1.0]) for i in range(1, 12)], (3, [5.0, 5.0]), (50, [-1.0, 0.5]), (100, [1.0])]
+    assert _found(spark, rows) == _nearest(rows)
+    assert _found(spark, [(1, [1.0])]) == [] and _found(spark, []) == []
+
+
 def test_vectors_of_odd_kinds(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (7, [1.0, 0.0, 0.0]), (8, [0.5, 0.5]), (None, [1.0, 1.0]), (50, [-1.0, 0.25])]
