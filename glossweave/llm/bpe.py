@@ -24,7 +24,7 @@ from .common import small_batches
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters of a leaf, and of the first window on either side of a border.
-LEAF, WINDOW = 8192, 64
+LEAF, WINDOW = 512, 64
 #: A letter or digit before a plain space: no match of PATTERN goes over that border, whatever surrounds the two.
 _SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?= )")
 
