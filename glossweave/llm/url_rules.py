@@ -10,14 +10,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted
 
 #: Rules as (verdict, host, path).
 STATED = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: A mined rule holds for at least this share of the labelled URLs, and is right for at least this share of those it fits.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.8
-#: Tokens of more than this share of the labelled URLs tell nothing and only double every itemset.
-COMMON = 0.9
 _BLOCK, _ALLOW = "=block", "=allow"
 
 
@@ -53,7 +51,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     """Rules (rule_id, items, verdict, confidence, support) of labelled URLs (url, block boolean).
 
     Baskets are mined whole: only min_support bounds the work, so k tokens that enough URLs hold together make up to 2^k sets.
-    Null urls or labels take no part; without any labelled URL there are no rules.
+    Tokens that all URLs hold are left out, as every rule with them is a rule without them. Null urls or labels take no part; without any labelled URL there are no rules.
     """
     rows = labelled.where("url is not null and block is not null").select(tokens(F.col("url")).alias("items"), "block")
     n = rows.count()
@@ -61,7 +59,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return labelled.sparkSession.createDataFrame([], "rule_id long, items array<string>, verdict string, confidence double, support double")
     # Tokens too rare to be in any frequent set are left out; there are at most 1/min_support times the URLs' mean length.
     frequent = rows.select(F.explode("items").alias("token")).groupBy("token").count()
-    frequent = cut(frequent.where((F.col("count") >= min_support * n) & (F.col("count") <= COMMON * n)))
+    frequent = cut(frequent.where((F.col("count") >= min_support * n) & (F.col("count") < n)))
     rows = cut(rows.withColumn("key", F.monotonically_increasing_id()))
     kept = rows.select("key", F.explode("items").alias("token")).join(frequent, "token")
     kept = kept.groupBy("key").agg(F.collect_list("token").alias("kept"))
@@ -75,17 +73,22 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return cut(found.select(F.xxhash64(items, F.col("consequent")[0]).alias("rule_id"), items.alias("items"), F.when(F.col("consequent")[0] == _BLOCK, "block").otherwise("allow").alias("verdict"), "confidence", "support"))
 
 
+def _key(url: Column) -> Column:
+    return F.sha2(url, 256)
+
+
 def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, mined, confidence) of distinct urls: the verdict of the rule that fits with the highest confidence, then support, then most items.
+    """(key, n, mined, confidence) of distinct urls, key being a URL's SHA-256 and n its rows: the verdict of the rule that fits with the highest confidence, then support, then most items; null where none fits.
 
     Each URL's tokens look up the rules that hold them; a rule fits when all its tokens were met.
     """
     index = rules.select("rule_id", F.size("items").alias("needs"), "verdict", "confidence", "support", F.explode("items").alias("token"))
-    urls = pages.where("url is not null").select("url").distinct()
-    met = urls.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(index, "token")
-    fits = met.groupBy("url", "rule_id").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("needs", "verdict", "confidence", "support"))).where("n = needs")
+    urls = pages.where("url is not null").groupBy("url").agg(F.count("*").alias("n")).select("url", _key(F.col("url")).alias("key"), "n")
+    met = urls.select("key", F.explode(tokens(F.col("url"))).alias("token")).join(index, "token")
+    fits = met.groupBy("key", "rule_id").agg(F.count("*").alias("met"), *(F.first(c).alias(c) for c in ("needs", "verdict", "confidence", "support"))).where("met = needs")
     best = F.max(F.struct("confidence", "support", "needs", "verdict", "rule_id"))
-    return fits.groupBy("url").agg(best.alias("best")).select("url", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence"))
+    found = fits.groupBy("key").agg(best.alias("best"))
+    return urls.select("key", "n").join(found, "key", "left").select("key", "n", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = STATED, labels: DataFrame | None = None) -> DataFrame:
@@ -98,8 +101,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = STATED, labels:
     rows = rows.withColumn("stated", stated_rule(F.col("host"), F.col("path"), rules))
     if labels is None:
         labels = rows.where("stated is not null").select("url", (F.col("stated.verdict") == "block").alias("block"))
-    rest = rows.where("stated is null")
-    mined = match(rest, mine(labels))
-    joined = rows.join(mined, "url", "left")
-    verdict = F.coalesce("stated.verdict", F.when(F.col("stated").isNull(), F.col("mined")), F.lit("allow"))
-    return joined.select("page_id", "host", "path", F.col("stated.rule").alias("rule"), verdict.alias("verdict"), "confidence")
+    rest = rows.where("stated is null and url is not null")
+    # Urls of many pages, fewer than HOT_KEYS keys, are met by a broadcast; pages that need no mined verdict are not joined.
+    mined = join_counted(rest.withColumn("key", _key(F.col("url"))), cut(match(rest, mine(labels))), ["key"], "n").drop("key", "n")
+    plain = rows.where("stated is not null or url is null").withColumns({"mined": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
+    verdict = F.coalesce("stated.verdict", "mined", F.lit("allow"))
+    return mined.unionByName(plain).select("page_id", "host", "path", F.col("stated.rule").alias("rule"), verdict.alias("verdict"), "confidence")

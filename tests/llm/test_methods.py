@@ -195,8 +195,35 @@ def test_mined_rules_against_counts(spark, sf_dir):
     for r in rows:
         fit = [(x.confidence, x.support, len(x["items"]), x.verdict) for x in found if set(x["items"]) <= set(r.t)]
         best[r.url] = max(fit)[3] if fit else None
-    for m in url_rules.match(pages, rules).collect():
-        assert m.mined == best[m.url]
+    import hashlib
+
+    got = {m.key: (m.mined, m.n) for m in url_rules.match(pages, rules).collect()}
+    urls = Counter(r.url for r in rows)
+    assert got == {hashlib.sha256(u.encode()).hexdigest(): (best[u], n) for u, n in urls.items()}
+
+
+def test_mined_rules_are_all_rules(spark):
+    from itertools import combinations
+
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    urls = []
+    for _ in range(200):  # tokens of nearly all URLs, of half and of few, and labels that follow some of them
+        own = [w for w, share in zip(words, (0.97, 0.93, 0.5, 0.3, 0.1), strict=True) if rng.random() < share]
+        urls.append((f"http://www.site.org/{'/'.join(own)}/x", "gamma" in own and rng.random() < 0.9 or "eps" in own))
+    urls += [(None, True), ("http://www.site.org/alpha", None)]
+    labelled = [(set(u.split("/")[3:]) & set(words), b) for u, b in urls if u is not None and b is not None]
+    want = {}
+    for k in range(1, 6):
+        for items in combinations(words, k):
+            fits = [b for t, b in labelled if set(items) <= t]
+            for block in (True, False):
+                hits = fits.count(block)
+                if hits >= 0.02 * len(labelled) and hits / len(fits) >= 0.8:
+                    want[tuple(sorted(f"p:{x}" for x in items)), "block" if block else "allow"] = (hits / len(labelled), hits / len(fits))
+    got = {(tuple(r["items"]), r.verdict): (r.support, r.confidence) for r in url_rules.mine(spark.createDataFrame(urls, "url string, block boolean")).collect()}
+    assert set(got) == set(want) and len(want) > 5
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_base_score_against_counts(spark, sf_dir):

@@ -76,15 +76,33 @@ def test_pages_of_odd_kinds(spark):
 
 
 def test_records_come_back_byte_for_byte(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://a/", "ü" * 80), (2, "http://b/", "ü" * 80), (3, "http://c/", "")], "page_id long, url string, html string")
-    archive = warc.write_archive(pages, f"{tmp_path}/warc")
+    pages = spark.createDataFrame([(1, "http://a/", "ü" * 80), (2, "http://b/", "ü" * 80), (3, "http://c/", ""), (1, "http://a/", "ü" * 80)], "page_id long, url string, html string")
+    archive = warc.write_archive(pages, f"{tmp_path}/warc", date="2024-01-31T12:00:00Z")
     assert archive[1].count() == 2
-    records = {r.page_id: bytes(r.record) for r in warc.reconstruct(*archive).collect()}
-    for page_id, html in ((1, "ü" * 80), (2, ""), (3, "")):
-        head, body = records[page_id].split(b"\r\n\r\n", 1)
-        assert body == html.encode() + b"\r\n\r\n"
-        assert f"Content-Length: {len(html.encode())}".encode() in head
-    assert b"WARC-Type: revisit" in records[2] and b"WARC-Refers-To: <urn:page:1>" in records[2]
+    rows = warc.reconstruct(*archive).collect()
+    fields = []
+    for r in rows:
+        head, body = bytes(r.record).split(b"\r\n\r\n", 1)
+        lines = head.decode().split("\r\n")
+        field = dict(x.split(": ", 1) for x in lines[1:])
+        html = "ü" * 80 if r.page_id == 1 else ""
+        assert lines[0] == "WARC/1.1" and body == html.encode() + b"\r\n\r\n" and field["Content-Length"] == str(len(html.encode()))
+        assert field["WARC-Date"] == "2024-01-31T12:00:00Z" and field["WARC-Type"] == ("revisit" if r.page_id == 2 else "response")
+        fields.append((r.page_id, field))
+    assert len({f["WARC-Record-ID"] for _, f in fields}) == 4
+    again = dict(fields)[2]
+    assert again["WARC-Profile"] == warc.PROFILE and again["WARC-Refers-To"] in {f["WARC-Record-ID"] for i, f in fields if i == 1}
+
+
+def test_a_damaged_archive_stops_the_job(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 200), (2, "http://b/", "y")], "page_id long, url string, html string")
+    headers, payloads = warc.write_archive(pages, f"{tmp_path}/warc")
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.read_archive(headers, payloads.withColumn("payload", F.concat("payload", F.lit(b"!")))).collect()
+    with pytest.raises(Exception, match="payload missing"):
+        warc.read_archive(headers, payloads.where("length(payload) > 1")).collect()
 
 
 def _nearest(rows, every=50, k=5, scale=256):
