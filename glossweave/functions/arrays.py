@@ -36,6 +36,18 @@ def digest(values: Column, shown: int = 3) -> Column:
     return F.when(more > 0, F.concat(head, F.lit("; "), more.cast("string"), F.lit(" more"))).otherwise(head)
 
 
+def error_digest(values: Column) -> Column:
+    """How many errors there are and digest() of them; null if there are none."""
+    return F.when(F.size(values) > 0, F.concat(F.size(values).cast("string"), F.lit(" failed: "), digest(values)))
+
+
+def skipped_digest(names: Column, details: Column, limit: int = 280) -> Column:
+    """Skipped categories with their details, of each at most `limit` characters; null if nothing was skipped. names and details: arrays of one length."""
+    short = lambda d: F.when(F.length(d) > limit, F.concat(F.substring(d, 1, limit), F.lit("…"))).otherwise(d)
+    part = lambda n, d: F.when(F.trim(d) != "", F.concat(n, F.lit(": "), short(F.trim(d)))).otherwise(n)
+    return F.when(F.size(names) > 0, F.concat(F.lit("data sync skipped: "), F.array_join(F.zip_with(names, F.transform(details, lambda d: F.coalesce(d, F.lit(""))), part), "; ")))
+
+
 def complete_enough(texts: Column) -> Column:
     """Whether at least half of the texts, rounded up, aren't blank."""
     from .text import trim

@@ -128,19 +128,20 @@ def _reduce(rows: DataFrame, category: str, order: str) -> tuple[DataFrame, Data
 def extract(category: str, source: dict[str, DataFrame], target: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(pairs, traces) of a category from its documents by file name in both editions.
 
-    Of equal keys the last text holds, also a blank one; ids are in order of first sight. A document that is missing on the
-    source side gives nothing; on the target side, nothing meets it.
+    Of equal keys the last text holds, also a blank one; ids are in order of first sight. LookupError if a document is missing, on
+    the target side only where the two editions meet: half of the documents would make known texts look unknown.
     """
     spec = SPECS[category]
-    found = [_pairs(source[s.file], target.get(s.file), s, i) for i, s in enumerate(spec.sources) if s.file in source]
-    if not found:
-        raise LookupError(f"no document for {category}")
+    missing = [f"source {s.file}" for s in spec.sources if s.file not in source] + [f"target {s.file}" for s in spec.sources if s.two_sided and s.file not in target]
+    if missing:
+        raise LookupError(f"no document for {category}: {', '.join(missing)}")
+    found = [_pairs(source[s.file], target.get(s.file), s, i) for i, s in enumerate(spec.sources)]
     rows = found[0]
     for more in found[1:]:
         rows = rows.union(more)
     pairs, traces = _reduce(rows, category, "ord")
     main = spec.sources[0]
-    if spec.parts and main.file in target:
+    if spec.parts:
         p, t = _reduce(_parts(source[main.file], target[main.file], main, 0), category, "place")
         pairs, traces = pairs.union(p), traces.union(t)
     return pairs, traces

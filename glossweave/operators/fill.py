@@ -16,6 +16,35 @@ BATCH, TRIES = 20, 3
 Translate = Callable[[list[str]], list[str]]
 
 
+#: Seconds that automatic calls pause after a failure, and the longest that one may take.
+COOLDOWN, AUTOMATIC_TIMEOUT = 600.0, 30.0
+
+
+class Breaker:
+    """Whether automatic calls may go on: after a failure they pause, until a call goes well or the pause is over."""
+
+    def __init__(self, cooldown: float = COOLDOWN):
+        self.cooldown, self.until, self.error = cooldown, 0.0, ""
+
+    def went_well(self) -> None:
+        self.until, self.error = 0.0, ""
+
+    def failed(self, error: str, now: float) -> None:
+        self.until, self.error = now + self.cooldown, error
+
+    def closed(self, now: float) -> str | None:
+        """Why calls pause, or None."""
+        if now < self.until:
+            return f"paused for {self.until - now:.0f} s: {self.error}"
+        self.went_well()
+        return None
+
+
+def automatic(timeout: float) -> dict:
+    """Settings of an automatic call, which fails fast: one try, and not long."""
+    return {"timeout": min(timeout, AUTOMATIC_TIMEOUT), "tries": 1}
+
+
 def candidates(entries: DataFrame, limit: int | None = None) -> DataFrame:
     """Blank texts that no person or official edition owns, by key; at most `limit` of each field, the first in order."""
     rows = entries.where(~F.col("source").isin(HUMAN, PINNED, CN) & (F.col("cn_text") == "")).select("category", "field", "jp_key")

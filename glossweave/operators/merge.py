@@ -28,10 +28,8 @@ def sync_merge(entries: DataFrame, pairs: DataFrame, traces: DataFrame, now: int
     stored, paired = F.col("stored").isNotNull(), F.col("paired").isNotNull()
     spared = stored & (F.col("source") == PINNED)
     if strict_precedence:
-        rank = F.coalesce(F.get(F.lit(None).cast("array<int>"), F.lit(0)), F.lit(0))
-        for source, value in RANK.items():
-            rank = F.when(F.col("source") == source, value).otherwise(rank)
-        spared = stored & (F.col("cn_text") != "") & (rank > RANK[CN])
+        rank = F.coalesce(*(F.when(F.col("source") == source, value) for source, value in RANK.items()), F.lit(0))
+        spared = spared | (stored & (F.col("cn_text") != "") & (rank > RANK[CN]))
     arrived = F.col("new_text") != ""
     keeps = (arrived & spared) | (~arrived & stored & (F.col("cn_text") != ""))
     text = F.when(~paired | keeps, F.col("cn_text")).when(arrived, F.col("new_text")).otherwise(F.lit(""))

@@ -40,3 +40,9 @@ def index_rows(documents: dict[str, DataFrame], entries: DataFrame) -> DataFrame
 def index_json() -> Column:
     """Each row as JSON; what is null has no member."""
     return F.to_json(F.struct("id", "n", "g", "c", "cn"))
+
+
+def next_index(documents: dict[str, DataFrame], entries: DataFrame, old: DataFrame | None) -> DataFrame | None:
+    """index_rows() of the documents that could be got, or the old index if none could."""
+    new = index_rows(documents, entries)
+    return old if new is None else new

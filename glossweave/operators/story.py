@@ -113,16 +113,26 @@ def build_pending(source_episodes: DataFrame, lines: DataFrame, line_source: str
     return _numbered(eps.where(F.col("has").isNotNull() | (F.col("title") != "")), line_source), lines.withColumn("source", F.lit(line_source))
 
 
+#: Ids of a range that one task walks; ranges are then chained by a row each.
+WALK_RANGE = 1 << 16
+
+
 def walk_streak(checks: DataFrame, start_id: int, limit: int = 3) -> DataFrame:
     """Checks (event_id, outcome) that a sync visits, in order of id, with `streak`, up to the first that completes `limit` misses in a row.
 
-    Outcomes: keep and found reset the streak, miss adds to it, error does neither. Islands between resets are numbered by a running count.
+    Outcomes: keep and found reset the streak, miss adds to it, error does neither. Each range of ids counts its misses and those up to
+    its last reset; only these counts, a row a range, are chained in one window.
     """
-    seen = checks.where(F.col("event_id") >= start_id)
-    # The walk is one chain, so its window has one partition: a row of two numbers an event.
-    order = Window.orderBy("event_id")
-    marked = seen.withColumn("island", F.count_if(F.col("outcome").isin("keep", "found")).over(order))
-    marked = marked.withColumn("streak", F.count_if(F.col("outcome") == "miss").over(Window.partitionBy("island").orderBy("event_id")))
+    seen = checks.where(F.col("event_id") >= start_id).withColumn("range", F.floor(F.col("event_id") / WALK_RANGE))
+    within = Window.partitionBy("range").orderBy("event_id")
+    seen = seen.withColumn("missed", F.count_if(F.col("outcome") == "miss").over(within))
+    seen = seen.withColumn("at_reset", F.max(F.when(F.col("outcome").isin("keep", "found"), F.col("missed"))).over(within))
+    ranges = seen.groupBy("range").agg(F.max("missed").alias("misses"), F.max("at_reset").alias("last_reset"))
+    chain = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("misses").over(chain), F.lit(0)))
+    ranges = ranges.select("range", "before", F.max(F.col("before") + F.col("last_reset")).over(chain).alias("base"))
+    streak = F.col("before") + F.col("missed") - F.coalesce(F.col("before") + F.col("at_reset"), F.col("base"), F.lit(0))
+    marked = seen.join(ranges, "range").select("event_id", "outcome", streak.alias("streak"))
     stop = marked.where((F.col("outcome") == "miss") & (F.col("streak") >= limit)).agg(F.min("event_id").alias("stop_id"))
     return marked.join(stop, F.col("stop_id").isNull() | (F.col("event_id") <= F.col("stop_id")), "inner").select("event_id", "outcome", "streak", "stop_id")
 

@@ -418,3 +418,6 @@ select event_id, event_type as version, p previous from x where p is not null an
 def q_version_change(spark, sf_dir):
     polls = read(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("polled_at"), F.col("event_type").alias("version"))
     return refresh.version_changes(polls).select(F.col("polled_at").alias("event_id"), "version", "previous")
+
+
+from . import catalog_documents  # noqa: E402, F401  (registers the queries of documents)

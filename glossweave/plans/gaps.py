@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import digest
-from ..operators import fill, merge, story
+from ..operators import fill, merge, rollup, story
 from ..sources.snapshot import SnapshotTable
 
 
@@ -27,12 +27,21 @@ def fill_entries(table: SnapshotTable, translate: fill.Translate, now: int, limi
     return {"translated": counts.translated, "skipped": counts.skipped, "errors": errors}
 
 
+_RESULTS = "event_id bigint, episode_no string, kind string, jp string, cn_text string"
+
+
 def fill_story(stories: SnapshotTable, episodes: SnapshotTable, lines: SnapshotTable, event_id: int, translate: fill.Translate, now: int, size: int = fill.BATCH, progress: Callable[[int], None] | None = None) -> int:
-    """Translate what one story lacks, storing every batch, so a run after a failure goes on where it ended. Rows changed."""
+    """Translate what one story lacks, so that a run after a failure goes on where it ended. Rows changed.
+
+    Every batch adds its texts to a table of results beside the lines; the stories' own tables are written once, at the end or on a
+    failure, with all of them.
+    """
+    done = SnapshotTable(lines.spark, f"{lines.path}-results", _RESULTS)
 
     def pending() -> DataFrame:
         of = F.col("event_id") == event_id
-        return story.untranslated_targets(episodes.read().where(of), lines.read().where(of)).orderBy("target_no")
+        left = story.untranslated_targets(episodes.read().where(of), lines.read().where(of))
+        return left.join(done.read(), ["event_id", "episode_no", "kind", "jp"], "left_anti").orderBy("target_no")
 
     changed = 0
 
@@ -41,14 +50,41 @@ def fill_story(stories: SnapshotTable, episodes: SnapshotTable, lines: SnapshotT
         rows = [r.asDict() for r in part.collect()]  # one batch
         got = translate([r["jp"] for r in rows])
         put = [(r["event_id"], r["episode_no"], r["kind"], r["jp"], t) for r, t in zip(rows, [*got, *[""] * len(rows)][: len(rows)], strict=True) if t]
-        results = part.sparkSession.createDataFrame(put, "event_id bigint, episode_no string, kind string, jp string, cn_text string")
-        eps, out = story.apply_results(episodes.read(), lines.read(), results)
-        episodes.write(eps)
-        lines.write(out)
+        done.write(done.read().unionByName(part.sparkSession.createDataFrame(put, _RESULTS)))  # as large as one story
         changed += len(put)
 
-    for left in fill.resumable(pending, step, size):
-        if progress:
-            progress(left)
+    try:
+        for left in fill.resumable(pending, step, size):
+            if progress:
+                progress(left)
+    finally:
+        if not done.read().isEmpty():
+            _put(episodes, lines, done.read())
+            done.write(done.read().limit(0))
     stories.write(story.set_source(stories.read(), episodes.read(), lines.read(), now, [event_id]))
     return changed
+
+
+def _put(episodes: SnapshotTable, lines: SnapshotTable, results: DataFrame) -> None:
+    eps, out = story.apply_results(episodes.read(), lines.read(), results)
+    episodes.write(eps)
+    lines.write(out)
+
+
+def fill_stories(stories: SnapshotTable, episodes: SnapshotTable, lines: SnapshotTable, translate: fill.Translate, now: int, size: int = fill.BATCH, tries: int = fill.TRIES, wait: float = 1.0) -> dict:
+    """Translate what all stories lack that are neither official nor a person's: batches of all of them at once, one write for each table. Totals of the run."""
+    machine = stories.read().where(~F.col("source").isin("official_cn", "official_cn_legacy", "cn", "human", "pinned")).select("event_id")
+    targets = story.untranslated_targets(episodes.read(), lines.read()).join(machine, "event_id", "left_semi")
+    batched = fill.batches(targets, ["event_id"], ["target_no"], size)
+    done = fill.translated(batched, translate, ["event_id"], "jp", tries, wait).persist()
+    one = done.groupBy("event_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("cn_text") != "").alias("translated"), F.count_if(F.col("cn_text") == "").alias("skipped"), F.max("error").alias("error"))
+    totals = rollup.run_totals(one).first().asDict()
+    put = done.where("cn_text <> ''").select("event_id", "episode_no", "kind", "jp", "cn_text")
+    if totals["translated"]:
+        _put(episodes, lines, put)
+        lacked = story.untranslated_targets(episodes.read(), lines.read()).groupBy("event_id").agg(F.count("*").alias("left"))
+        rows = stories.read().join(put.select("event_id").distinct().withColumn("put", F.lit(True)), "event_id", "left").join(lacked, "event_id", "left")
+        source = F.when(F.col("put").isNull(), F.col("source")).when(F.col("left").isNull(), "llm").otherwise("jp_pending")
+        stories.write(rows.withColumns({"source": source, "last_updated": F.when(F.col("put").isNotNull(), F.lit(now)).otherwise(F.col("last_updated")).cast("bigint")}))
+    done.unpersist()
+    return totals

@@ -70,17 +70,20 @@ def assets(files: DataFrame, kept: DataFrame | None = None) -> DataFrame:
 
 
 def write_files(files: DataFrame, root: str) -> int:
-    """Each row's body as a file under root, a folder that all executors share; every file is whole or as it was. Number of files."""
+    """Each row's body as a file under root, a folder that all executors share; every file is whole or as it was. Number of files, counted by the tasks that write."""
     import os
 
-    def write(rows) -> None:
-        for r in rows:
-            path = f"{root}/{r.path}"
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            part = f"{path}.{os.getpid()}.part"
-            with open(part, "w", encoding="utf-8", newline="") as out:
-                out.write(r.body)
-            os.replace(part, path)  # a task that runs again replaces its own file
-
-    files.select("path", "body").foreachPartition(write)
-    return files.count()
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for b in batches:
+            for name, body in zip(b.path, b.body, strict=True):
+                path = f"{root}/{name}"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                part = f"{path}.{os.getpid()}.part"
+                with open(part, "w", encoding="utf-8", newline="") as out:
+                    out.write(body)
+                os.replace(part, path)  # a task that runs again replaces its own file
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return files.select("path", "body").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

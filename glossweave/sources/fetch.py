@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import os
+import queue
 import tarfile
+import threading
 import time
 from collections.abc import Callable
-from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 from ..functions.text import TRANSIENT
 
@@ -29,40 +30,117 @@ def passing(error: Exception) -> bool:
 
 
 def first_good(get: Get, urls: list[str], delay: float = 2.0, again: float = 0.5):
-    """The first answer of the mirrors. The next one is asked after `delay` or a failure; a round of failures that may pass is tried once more."""
+    """The first answer of the mirrors, as soon as it is there. The next one is asked after `delay` or a failure; a round of failures that may pass is tried once more.
+
+    Mirrors are asked by daemon threads, so one that hangs holds up neither the answer nor the end of the program.
+    """
     for turn in (0, 1):
+        answers: queue.SimpleQueue = queue.SimpleQueue()
+
+        def ask(url: str, answers=answers) -> None:
+            try:
+                answers.put((get(url), None))
+            except Exception as e:  # any failure only means another mirror
+                answers.put((None, e))
+
         errors: list[Exception] = []
-        with ThreadPoolExecutor(max(1, len(urls))) as pool:
-            todo, running = list(urls), set()
-            while todo or running:
-                if todo:
-                    running.add(pool.submit(get, todo.pop(0)))
-                done, running = wait(running, timeout=delay if todo else None, return_when=FIRST_COMPLETED)
-                for d in done:
-                    if d.exception() is None:
-                        pool.shutdown(wait=False, cancel_futures=True)
-                        return d.result()
-                    errors.append(d.exception())
+        todo, running = list(urls), 0
+        while todo or running:
+            if todo:
+                threading.Thread(target=ask, args=(todo.pop(0),), daemon=True).start()
+                running += 1
+            try:
+                answer, error = answers.get(timeout=delay if todo else None)
+            except queue.Empty:
+                continue
+            running -= 1
+            if error is None:
+                return answer
+            errors.append(error)
         if turn or not errors or not all(map(passing, errors)):
             raise RuntimeError("; ".join(map(str, errors)) or "no address")
         time.sleep(again)
 
 
-def first_complete(get: Get, urls: list[str], complete: Callable[[object], bool]):
-    """The first complete answer, one mirror after the other; the first incomplete one if there is no other."""
-    spare, errors = None, []
-    for url in urls:
-        try:
-            answer = get(url)
-        except Exception as e:  # any failure only means the next mirror
-            errors.append(str(e))
-            continue
-        if complete(answer):
-            return answer
-        spare = answer if spare is None else spare
-    if spare is None:
+def first_complete(get: Get, urls: list[str], complete: Callable[[object], bool], again: float = 0.5):
+    """The first complete answer, one mirror after the other; those whose failure may pass are asked once more. The last incomplete answer if there is no other."""
+    spare, errors, todo = [], [], list(urls)
+    for turn in (0, 1):
+        later = []
+        for url in todo:
+            try:
+                answer = get(url)
+            except Exception as e:  # any failure only means the next mirror
+                errors.append(str(e))
+                later += [url] if passing(e) else []
+                continue
+            if complete(answer):
+                return answer
+            spare = [answer]
+        todo = later
+        if turn or not todo:
+            break
+        time.sleep(again)
+    if not spare:
         raise RuntimeError("; ".join(errors) or "no address")
-    return spare
+    return spare[0]
+
+
+#: Seconds that polling pauses after too many requests: where the answer doesn't say how long, at least and at most; and at most where it does.
+PAUSE_LEAST, PAUSE_MOST, PAUSE_TOLD_MOST = 3600.0, 6 * 3600.0, 24 * 3600.0
+
+
+def pause(told: str, now: float, interval: float) -> float:
+    """Seconds to pause after too many requests: what the answer told, or else twice the polling interval, both held within bounds."""
+    wait = retry_after(told, now)
+    return min(wait, PAUSE_TOLD_MOST) if wait > 0 else min(max(2 * interval, PAUSE_LEAST), PAUSE_MOST)
+
+
+class TooMany(RuntimeError):
+    """Too many requests; `after` is the answer's Retry-After value."""
+
+    def __init__(self, after: str = ""):
+        super().__init__("http 429")
+        self.after = after
+
+
+class VersionPoll:
+    """A version document that is asked for on condition that it changed.
+
+    get(url, etag, modified) gives (body, etag, modified), body being None if nothing changed, or raises, TooMany among others. All mirrors
+    are asked at once and the first answer holds.
+    """
+
+    def __init__(self, get: Callable[[str, str, str], tuple], urls: list[str], interval: float = 3600.0):
+        self.get, self.urls, self.interval, self.until = get, distinct(urls), interval, 0.0
+        self._kept: dict[str, tuple] = {}
+
+    def _ask(self, url: str):
+        body, etag, modified = self.get(url, *self._kept.get(url, ("", "", None))[:2])
+        if body is None:
+            body = self._kept[url][2]
+        self._kept[url] = (etag, modified, body)
+        return body
+
+    def fetch(self, now: float):
+        """The version document; RuntimeError while polling pauses, or if every mirror failed."""
+        if now < self.until:
+            raise RuntimeError(f"polling pauses for {self.until - now:.0f} s")
+        self.until, paused = 0.0, []
+
+        def ask(url: str):
+            try:
+                return self._ask(url)
+            except TooMany as e:
+                paused.append(e.after)
+                raise
+
+        try:
+            return first_good(ask, self.urls, delay=0.0)
+        except RuntimeError:
+            if paused:
+                self.until = now + pause(paused[0], now, self.interval)
+            raise
 
 
 def retry_after(value: str, now: float) -> float:

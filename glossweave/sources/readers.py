@@ -79,6 +79,13 @@ def stories(files: DataFrame) -> DataFrame:
     return rows.select("event_id", F.coalesce("s.meta.source", F.lit("")).alias("source"), F.coalesce("s.meta.version", F.lit("")).alias("version"), "s.meta.last_updated", episodes.alias("episodes"))
 
 
+def import_report(files: DataFrame) -> DataFrame:
+    """(name, problem) of story documents (name, value) that stories() leaves out, and why; import goes on without them."""
+    parsed = files.select("name", id_of_file(F.col("name")).alias("event_id"), F.from_json("value", _STORY).alias("s"))
+    problem = F.when(F.coalesce(F.col("event_id"), F.lit(-1)) < 0, "no event in the name").when(F.col("s").isNull() | F.col("s.episodes").isNull(), "no episodes, or not JSON")
+    return parsed.select("name", problem.alias("problem")).where("problem is not null")
+
+
 def is_valid_source(names: list[str]) -> bool:
     """Whether a folder with these file names holds any known category."""
     return any(f"{c}{end}" in names for c in CATEGORIES for end in (".json", ".full.json"))

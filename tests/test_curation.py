@@ -283,8 +283,8 @@ def test_search_index(spark):
 
 def test_sync_job(spark, tmp_path):
     table = SnapshotTable(spark, f"{tmp_path}/entries", model.ENTRIES, "category")
-    source = {"events": docs(spark, {"id": 1, "name": "a"}), "mysekaiFixtureTags": docs(spark, {"id": 1, "name": "t"}), "mysekaiFixtures": docs(spark, {"id": 2, "name": "x", "flavorText": "t"})}
-    target = {"events": docs(spark, {"id": 1, "name": "A"}), "mysekaiFixtureTags": docs(spark, {"id": 1, "name": "T"})}
+    source = {"events": docs(spark, {"id": 1, "name": "a"}), "mysekaiFixtureTags": docs(spark, {"id": 1, "name": "t"}), "mysekaiFixtures": docs(spark, {"id": 2, "name": "x", "flavorText": "t"}), "mysekaiFixtureMainGenres": docs(spark)}
+    target = {"events": docs(spark, {"id": 1, "name": "A"}), "mysekaiFixtureTags": docs(spark, {"id": 1, "name": "T"}), "mysekaiFixtures": docs(spark), "mysekaiFixtureMainGenres": docs(spark)}
     done = sync.sync(table, source, target, now=4)
     assert done["changed"] == {"events": 1, "mysekai": 4} and "cards" in done["skipped"]
     assert {(r.field, r.jp_key): r.cn_text for r in readers.stored(spark, f"{tmp_path}/entries/data/{table.version()[1]}", "mysekai").collect()} == {("tag", "t"): "T", ("fixtureName", "x"): "", ("flavorText", "t"): "T"}
@@ -351,3 +351,153 @@ def test_files_on_disk(spark, tmp_path):
     files = spark.createDataFrame([("a/b.json", "{}"), ("c.json", "é")], "path string, body string")
     assert export.write_files(files, str(tmp_path)) == 2
     assert (tmp_path / "c.json").read_text() == "é" and sorted(p.name for p in tmp_path.rglob("*.json")) == ["b.json", "c.json"]
+
+
+def test_a_mirror_that_hangs_holds_up_nothing():
+    import time
+
+    def get(url):
+        if url == "slow":
+            time.sleep(4)
+        return url
+
+    began = time.monotonic()
+    assert fetch.first_good(get, ["slow", "ok"], delay=0.02) == "ok"
+    assert time.monotonic() - began < 1
+
+
+def test_incomplete_answers_and_passing_failures():
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        if url == "down" and asked.count("down") == 1:
+            raise OSError("http 503")
+        return {"down": "whole", "a": "part a", "b": "part b"}[url]
+
+    assert fetch.first_complete(get, ["down", "a"], lambda x: x == "whole", again=0) == "whole"
+    assert asked == ["down", "a", "down"]
+    assert fetch.first_complete(get, ["a", "b"], lambda x: x == "whole", again=0) == "part b"
+
+
+def test_version_poll():
+    seen = []
+
+    def get(url, etag, modified):
+        seen.append((url, etag))
+        if url == "busy":
+            raise fetch.TooMany("120")
+        return (None, "e1", "m") if etag == "e1" else ("v1", "e1", "m")
+
+    poll = fetch.VersionPoll(get, ["u", "u"], interval=10)
+    assert poll.fetch(0) == "v1" and poll.fetch(1) == "v1" and seen == [("u", ""), ("u", "e1")]
+    busy = fetch.VersionPoll(get, ["busy"], interval=10)
+    with pytest.raises(RuntimeError, match="429"):
+        busy.fetch(100)
+    assert busy.until == 220
+    with pytest.raises(RuntimeError, match="pauses"):
+        busy.fetch(219)
+    assert fetch.pause("", 0, 10) == 3600 and fetch.pause("", 0, 9000) == 18000 and fetch.pause("x", 0, 1e9) == 21600 and fetch.pause("9999999", 0, 1) == 86400
+
+
+def test_breaker_and_digests(spark):
+    breaker = fill.Breaker(60)
+    assert breaker.closed(0) is None
+    breaker.failed("down", 10)
+    assert "down" in breaker.closed(69) and breaker.closed(70) is None
+    assert fill.automatic(45) == {"timeout": 30.0, "tries": 1} and fill.automatic(5)["timeout"] == 5
+    from glossweave.functions import arrays
+
+    row = spark.range(1).select(
+        arrays.error_digest(F.array(*map(F.lit, "abcde"))).alias("five"), arrays.error_digest(F.array().cast("array<string>")).alias("none"),
+        arrays.skipped_digest(F.array(F.lit("cards"), F.lit("music")), F.array(F.lit("x" * 300), F.lit(" "))).alias("skipped"),
+    ).first()
+    assert row.five == "5 failed: a; b; c; 2 more" and row.none is None
+    assert row.skipped == "data sync skipped: cards: " + "x" * 280 + "…; music"
+
+
+def test_strict_precedence_spares_what_the_default_spares(spark):
+    stored = entries(spark, ("p", "", "pinned", []), ("h", "x", "human", []), ("c", "old", "cn", []))
+    pairs = spark.createDataFrame([("cards", "prefix", k, "new") for k in "phc"], "category string, field string, jp_key string, cn_text string").withColumns({"category": F.lit(stored.first().category), "field": F.lit(stored.first().field)})
+    traces = pairs.select("category", "field", "jp_key", F.array().cast("array<string>").alias("ids")).limit(0)
+    got = {r.jp_key: (r.cn_text, r.source) for r in merge.sync_merge(stored, pairs, traces, 1, strict_precedence=True).collect()}
+    assert got == {"p": ("", "pinned"), "h": ("x", "human"), "c": ("new", "cn")}
+
+
+def test_streak_over_many_ranges(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(story, "WALK_RANGE", 4)
+    rng = random.Random(3)
+    for limit in (3, 6, 100):
+        outcome = {i: rng.choice(["keep", "found", "miss", "miss", "miss", "error"]) for i in rng.sample(range(1, 90), 60)}
+        want, streak = [], 0
+        for i in sorted(outcome):
+            if i < 5:
+                continue
+            streak = 0 if outcome[i] in ("keep", "found") else streak + (outcome[i] == "miss")
+            want.append((i, streak))
+            if outcome[i] == "miss" and streak >= limit:
+                break
+        walked = story.walk_streak(spark.createDataFrame(list(outcome.items()), "event_id bigint, outcome string"), 5, limit)
+        assert sorted((r.event_id, r.streak) for r in walked.collect()) == want
+
+
+def test_missing_documents_skip_a_category(spark):
+    one = docs(spark, {"id": 1, "name": "x"})
+    with pytest.raises(LookupError, match="target events"):
+        extract.extract("events", {"events": one}, {})
+    pairs, traces, skipped = sync.gather({"events": one, "skills": docs(spark, {"id": 1, "description": "d"})}, {"skills": docs(spark)}, ["events", "skills"])
+    assert list(skipped) == ["events"] and [r.field for r in pairs.collect()] == ["description"]
+
+
+def test_import_report(spark):
+    files = spark.createDataFrame([("event_1.json", '{"meta": {"source": "llm"}, "episodes": {}}'), ("event_2.json", "{"), ("other.json", '{"episodes": {}}')], "name string, value string")
+    assert {r.name for r in readers.import_report(files).collect()} == {"event_2.json", "other.json"}
+    assert [r.event_id for r in readers.stories(files).collect()] == [1]
+
+
+def test_an_old_index_stays_if_no_document_came(spark):
+    from glossweave.operators import search_index
+
+    old = spark.createDataFrame([(1,)], "id bigint")
+    assert search_index.next_index({}, entries(spark), old) is old
+
+
+def _story_list(spark, *events):
+    return docs(spark, *({"eventId": i, "assetbundleName": f"a{i}", "eventStoryEpisodes": [{"episodeNo": 1, "scenarioId": f"s{i}", "title": f"{mark}{i}"}]} for i, mark in events))
+
+
+def _scenarios(spark, rows):
+    import json
+
+    return spark.createDataFrame([(i, "1", None if t is None else json.dumps({"TalkData": [{"Body": b, "WindowDisplayName": n} for b, n in t]})) for i, t in rows], "event_id bigint, episode_no string, text string").select("event_id", "episode_no", F.try_parse_json("text").alias("doc"))
+
+
+def test_story_jobs(spark, tmp_path):
+    from glossweave.plans import stories
+
+    tables = stories.Tables(*(SnapshotTable(spark, f"{tmp_path}/{n}", schema) for n, schema in (("s", model.STORIES), ("p", model.EPISODES), ("l", model.LINES))))
+    tables.stories.write(spark.createDataFrame([(1, "official_cn", "1.0", 1), (3, "human", "1.0", 1)], model.STORIES))
+    landed = stories.Landed(
+        _story_list(spark, *((i, "t") for i in range(1, 11))), _story_list(spark, *((i, "T") for i in (1, 2, 3, 4, 5))), spark.createDataFrame([(i,) for i in range(1, 6)], "event_id bigint"),
+        _scenarios(spark, [(i, [(f"hello {i}", "A"), (f"bye {i}", "B")]) for i in range(1, 10)]), _scenarios(spark, [(i, None if i == 4 else [(f"HELLO {i}", "AA"), (f"BYE {i}", "BB")]) for i in range(1, 6)]),
+    )
+    got = stories.sync_stories(tables, landed, 7)
+    # 2 and 5 are official, 3 is a person's, 4 lacks a scenario, 6 to 8 aren't there: what is newer than any stored comes as pending.
+    assert (got["official"], got["pending"]) == (2, 5) and got["errors"].startswith("2 failed: event 10: no source") and "event 4: no target" in got["errors"]
+    assert {r.event_id: r.source for r in tables.stories.read().collect()} == {1: "official_cn", 2: "official_cn", 3: "human", 5: "official_cn"} | {i: "jp_pending" for i in range(6, 11)}
+    assert [(r.jp_key, r.cn_text) for r in tables.lines.read().where("event_id = 2").orderBy("position").collect()] == [("hello 2", "HELLO 2"), ("A", "AA"), ("bye 2", "BYE 2"), ("B", "BB")]
+    assert stories.sync_stories(tables, landed, 8)["official"] == 0
+
+    totals = gaps.fill_stories(tables.stories, tables.episodes, tables.lines, lambda texts: [t.upper() for t in texts], 9)
+    assert totals["stories"] == 5 and totals["skipped"] == 0 and totals["translated"] == totals["candidates"] > 0
+    assert {r.source for r in tables.stories.read().where("event_id > 5").collect()} == {"llm"}
+
+    assert stories.retry_stories(tables, landed, [3, 4], 10) == {3: {"source": "official_cn", "episodes": 1}, 4: {"source": "jp_pending", "episodes": 1}}
+    with pytest.raises(LookupError, match="99"):
+        stories.retry_stories(tables, landed, [99], 10)
+
+    turned = _scenarios(spark, [(2, [("bye 2", "B"), ("new", "A")])])
+    assert stories.reorder_stories(tables, turned, [2]) == 1
+    assert [r.jp_key for r in tables.lines.read().where("event_id = 2").orderBy("position").collect()] == ["bye 2", "B", "A", "hello 2"]
