@@ -16,6 +16,8 @@ from .common import cut, join_counted
 STATED = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: A mined rule holds for at least this share of the labelled URLs, and is right for at least this share of those it fits.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.8
+#: Rules or tokens that are broadcast; more of them are met by shuffles.
+ROWS_HELD = 50_000
 _BLOCK, _ALLOW = "=block", "=allow"
 
 
@@ -61,11 +63,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     frequent = rows.select(F.explode("items").alias("token")).groupBy("token").count()
     frequent = cut(frequent.where((F.col("count") >= min_support * n) & (F.col("count") < n)))
     rows = cut(rows.withColumn("key", F.monotonically_increasing_id()))
-    kept = rows.select("key", F.explode("items").alias("token")).join(frequent, "token")
+    n_frequent = frequent.count()
+    kept = rows.select("key", F.explode("items").alias("token")).join(_held(frequent.select("token"), n_frequent), "token")
     kept = kept.groupBy("key").agg(F.collect_list("token").alias("kept"))
     baskets = rows.join(kept, "key", "left").select(F.concat(F.coalesce("kept", F.array()), F.array(F.when(F.col("block"), _BLOCK).otherwise(_ALLOW))).alias("items"))
     # Each partition grows the trees of some items, from its own copy of the baskets: no more partitions than items can fill.
-    parts = 1 + frequent.count() // 4
+    parts = 1 + n_frequent // 4
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=parts).fit(cut(baskets))
     found = model.associationRules.where(F.col("consequent")[0].isin(_BLOCK, _ALLOW))
     found = found.where(~F.array_contains("antecedent", _BLOCK) & ~F.array_contains("antecedent", _ALLOW))
@@ -73,6 +76,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return cut(found.select(F.xxhash64(items, F.col("consequent")[0]).alias("rule_id"), items.alias("items"), F.when(F.col("consequent")[0] == _BLOCK, "block").otherwise("allow").alias("verdict"), "confidence", "support"))
 
 
+def _held(small: DataFrame, n: int) -> DataFrame:
+    """small, of n rows, to be broadcast if that is not too many."""
+    return F.broadcast(small) if n <= ROWS_HELD else small
+
+
 def _key(url: Column) -> Column:
     return F.sha2(url, 256)
 
@@ -80,12 +88,16 @@ def _key(url: Column) -> Column:
 def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(key, n, mined, confidence) of distinct urls, key being a URL's SHA-256 and n its rows: the verdict of the rule that fits with the highest confidence, then support, then most items; null where none fits.
 
-    Each URL's tokens look up the rules that hold them; a rule fits when all its tokens were met.
+    A rule is posted under the one of its tokens that fewest rules hold. Each URL's tokens look up the rules posted there, and a
+    rule fits when the URL has all its tokens.
     """
-    index = rules.select("rule_id", F.size("items").alias("needs"), "verdict", "confidence", "support", F.explode("items").alias("token"))
+    held = rules.select("rule_id", F.explode("items").alias("token"))
+    often = held.groupBy("token").agg(F.count("*").alias("rules"))
+    rarest = held.join(often, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("rules", "token")).alias("token"))
+    index = _held(rules.select("rule_id", "items", F.size("items").alias("needs"), "verdict", "confidence", "support").join(rarest, "rule_id"), rules.count())
     urls = pages.where("url is not null").groupBy("url").agg(F.count("*").alias("n")).select("url", _key(F.col("url")).alias("key"), "n")
-    met = urls.select("key", F.explode(tokens(F.col("url"))).alias("token")).join(index, "token")
-    fits = met.groupBy("key", "rule_id").agg(F.count("*").alias("met"), *(F.first(c).alias(c) for c in ("needs", "verdict", "confidence", "support"))).where("met = needs")
+    met = urls.select("key", tokens(F.col("url")).alias("has")).select("key", "has", F.explode("has").alias("token")).join(index, "token")
+    fits = met.where(F.forall("items", lambda x: F.array_contains("has", x)))
     best = F.max(F.struct("confidence", "support", "needs", "verdict", "rule_id"))
     found = fits.groupBy("key").agg(best.alias("best"))
     return urls.select("key", "n").join(found, "key", "left").select("key", "n", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence"))
