@@ -73,8 +73,9 @@ ln as (select conv_id event_id, role episode_no, 't' || turn jp_key, case when t
 select lang, source, count(*) total, count(*) filter (n_chars < 1000) short_rows, count(*) filter (n_chars >= 1000) long_rows
 from documents group by lang, source""")
 def q_source_rollup(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return docs.groupBy("lang", "source").agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") < 1000).alias("short_rows"), F.count_if(F.col("n_chars") >= 1000).alias("long_rows"))
+    n = F.col("n_chars")
+    rows = read(spark, sf_dir, "documents").select(F.col("lang").alias("category"), F.col("source").alias("field"), F.when(n < 1000, "llm").when(n >= 1000, "cn").alias("source"))
+    return rollup.field_counts(rows).select(F.col("category").alias("lang"), F.col("field").alias("source"), "total", F.col("llm_count").alias("short_rows"), F.col("cn_count").alias("long_rows"))
 
 
 @query(f"with {_ENTRIES} select category, field, source, count(*) n from e group by all")
@@ -105,17 +106,19 @@ def q_field_nested(spark, sf_dir):
 
 @query("""select max(o_orderkey) max_id, max(case when o_orderstatus = 'F' then o_orderkey end) latest_f, min(case when o_orderstatus = 'P' then o_orderkey end) first_p from orders""")
 def q_bounds(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    of = lambda s: F.when(F.col("o_orderstatus") == s, F.col("o_orderkey"))
-    return o.agg(F.max("o_orderkey").alias("max_id"), F.max(of("F")).alias("latest_f"), F.min(of("P")).alias("first_p"))
+    status = F.col("o_orderstatus")
+    states = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), (status == "F").alias("is_official"), (status == "P").alias("is_llm"))
+    return rollup.sync_bounds(states).select("max_id", F.col("latest_official").alias("latest_f"), F.col("first_llm").alias("first_p"))
 
 
 @query("""select c_custkey, (select count(*) from orders o where o.o_custkey = c.c_custkey) n,
   (select count(*) from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'P') + (select count(*) from orders o where o.o_custkey = c.c_custkey and o.o_orderpriority = '1-URGENT') u from customer c""")
 def q_correlated_counts(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), (F.count_if(F.col("o_orderstatus") == "P") + F.count_if(F.col("o_orderpriority") == "1-URGENT")).alias("u"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return read(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", zero("n"), zero("u"))
+    o = read(spark, sf_dir, "orders").withColumn("event_id", F.col("o_custkey"))
+    episodes = o.select("event_id", F.lit("t").alias("title"), F.when(F.col("o_orderpriority") == "1-URGENT", "unknown").otherwise("cn").alias("title_source"))
+    lines = o.select("event_id", F.when(F.col("o_orderstatus") == "P", "").otherwise("there").alias("cn_text"))
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event_id"), F.lit("").alias("source"), F.lit(0).alias("last_updated"))
+    return rollup.story_summaries(customers, episodes, lines).select(F.col("event_id").alias("c_custkey"), F.col("episode_count").alias("n"), F.col("untranslated_count").alias("u"))
 
 
 # --- filters and projections
@@ -207,21 +210,24 @@ def q_lookup_dict(spark, sf_dir):
     return search_index.with_text(part, _entries(spark, sf_dir), "cards", "Brand#11", "key").select("id", "n", "cn")
 
 
-@query("""with a as (select doc_id, text from documents where doc_id % 3 <> 0), b as (select doc_id, case when doc_id % 5 = 0 then text || '!' else text end text from documents where doc_id % 2 = 0)
-select count(*) filter (b.text is not null and a.text <> b.text) text_diffs, count(*) filter (b.text is null) missing from a left join b using (doc_id)""")
+@query("""with a as (select cast(doc_id as varchar) k, text from documents),
+b as (select case when doc_id % 2 = 0 then '' else 'old' end || doc_id k, case when doc_id % 5 = 0 then text || '!' else text end text, true there from documents)
+select count(*) filter (there and a.text <> b.text) text_diffs, count(*) filter (there is null) missing from a left join b using (k)""")
 def q_flat_compat(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    name = [F.lit("c").alias("category"), F.lit("f").alias("field"), F.col("doc_id").cast("string").alias("jp_key")]
+    d, name = read(spark, sf_dir, "documents"), [F.lit("c").alias("category"), F.lit("f").alias("field")]
+    key, even = F.col("doc_id").cast("string"), F.col("doc_id") % 2 == 0
     changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    found = verify.flat_compat(d.where("doc_id % 3 <> 0").select(*name, "text"), d.where("doc_id % 2 = 0").select(*name, changed.alias("cn_text")))
-    return found.select("text_diffs", "missing")
+    stored = d.select(*name, F.when(even, key).otherwise(F.concat(F.lit("old"), key)).alias("jp_key"), changed.alias("cn_text"))
+    return verify.flat_compat(d.select(*name, key.alias("jp_key"), "text"), stored).select("text_diffs", "missing")
 
 
-@query("""with a as (select lang, source from documents), b as (select lang, source from documents where doc_id % 4 <> 0)
+@query("""with a as (select lang, source from documents), b as (select lang, case when doc_id % 4 = 0 then 'other' else source end source from documents)
 select lang, source, side, cast(count(*) as bigint) n from (select *, 'left' side from (select * from a except all select * from b) union all select *, 'right' from (select * from b except all select * from a)) group by all""")
 def q_diff(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    return verify.difference(d.select("lang", "source"), d.where("doc_id % 4 <> 0").select("lang", "source")).groupBy("lang", "source", "side").agg(F.count("*").alias("n"))
+    second = d.select("lang", F.when(F.col("doc_id") % 4 == 0, "other").otherwise(F.col("source")).alias("source"))
+    return verify.difference(d.select("lang", "source"), second).groupBy("lang", "source", "side").agg(F.count("*").alias("n"))
+
 
 
 # --- order
@@ -272,8 +278,8 @@ def q_fill_targets(spark, sf_dir):
 # --- merges
 
 
-@query(f"""with {_ENTRIES}, n as (select category, field, jp_key, case when p_partkey % 6 = 0 then '' else 'new ' || cn_text end new_text, [cast(p_partkey + 1 as varchar)] new_ids from e where p_partkey % 3 <> 1
-  union all select 'cards', 'fresh', 'f' || p_partkey, case when p_partkey % 2 = 0 then '' else p_name end, [] from part where p_partkey <= 50),
+@query(f"""with {_ENTRIES}, n as (select category, field, case when p_partkey % 3 = 1 then 'x' else '' end || jp_key jp_key, case when p_partkey % 6 = 0 then '' else 'new ' || cn_text end new_text, [cast(p_partkey + 1 as varchar)] new_ids from e
+  union all select 'cards', 'fresh', 'f' || p_partkey, case when p_partkey % 2 = 0 then '' else p_name end, [] from part),
 m as (select coalesce(e.category, n.category) category, coalesce(e.field, n.field) field, coalesce(e.jp_key, n.jp_key) jp_key, e.jp_key is not null stored, n.jp_key is not null paired, cn_text, source, ids, new_text, new_ids from e full join n using (category, field, jp_key)),
 r as (select *, case when not paired or (new_text <> '' and stored and source = 'pinned') or (new_text = '' and stored and cn_text <> '') then cn_text when new_text <> '' then new_text else '' end t,
   case when not paired or (new_text <> '' and stored and source = 'pinned') or (new_text = '' and stored and cn_text <> '') then source when new_text <> '' then 'cn' else 'unknown' end s,
@@ -282,19 +288,22 @@ select category, field, jp_key, t cn_text, s source, array_to_string(i, ',') ids
 def q_merge(spark, sf_dir):
     e = _entries(spark, sf_dir)
     k = F.col("ids")[0].cast("bigint")
-    pairs = e.where(k % 3 != 1).select("category", "field", "jp_key", F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("new "), F.col("cn_text"))).alias("cn_text"))
+    key = F.concat(F.when(k % 3 == 1, "x").otherwise(""), "jp_key").alias("jp_key")
+    pairs = e.select("category", "field", key, F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("new "), F.col("cn_text"))).alias("cn_text"))
     p = F.col("p_partkey")
-    fresh = read(spark, sf_dir, "part").where(p <= 50).select(F.lit("cards").alias("category"), F.lit("fresh").alias("field"), F.concat(F.lit("f"), p.cast("string")).alias("jp_key"), F.when(p % 2 == 0, "").otherwise(F.col("p_name")).alias("cn_text"))
-    traces = e.where(k % 3 != 1).select("category", "field", "jp_key", F.array((k + 1).cast("string")).alias("ids"))
+    fresh = read(spark, sf_dir, "part").select(F.lit("cards").alias("category"), F.lit("fresh").alias("field"), F.concat(F.lit("f"), p.cast("string")).alias("jp_key"), F.when(p % 2 == 0, "").otherwise(F.col("p_name")).alias("cn_text"))
+    traces = e.select("category", "field", key, F.array((k + 1).cast("string")).alias("ids"))
     merged = merge.sync_merge(e, pairs.union(fresh), traces, now=1)
     return merged.select("category", "field", "jp_key", "cn_text", "source", F.array_join("ids", ",").alias("ids"), "action")
 
 
-@query(f"""with {_ENTRIES} select category, field, jp_key, case when put then 'ai ' || jp_key else cn_text end cn_text, case when put then 'llm' else source end source, case when not offered then 'keep' when put then 'update' else 'skip' end as action
-from (select *, p_partkey % 2 = 0 offered, p_partkey % 2 = 0 and source in ('llm', 'unknown') put from e)""")
+@query(f"""with {_ENTRIES}, u as (select category, field, case when p_partkey % 2 = 0 then '' else 'x' end || jp_key jp_key, 'ai ' || jp_key new_text from e),
+m as (select *, case when new_text is null then 'keep' when p_partkey is null then 'insert' when source in ('llm', 'unknown') then 'update' else 'skip' end a from e full join u using (category, field, jp_key))
+select category, field, jp_key, case when a in ('insert', 'update') then new_text else cn_text end cn_text, case when a in ('insert', 'update') then 'llm' else source end source, a as action from m""")
 def q_fill_merge(spark, sf_dir):
     e = _entries(spark, sf_dir)
-    updates = e.where(F.col("ids")[0].cast("bigint") % 2 == 0).select("category", "field", "jp_key", F.concat(F.lit("ai "), F.col("jp_key")).alias("cn_text"))
+    key = F.concat(F.when(F.col("ids")[0].cast("bigint") % 2 == 0, "").otherwise("x"), "jp_key")
+    updates = e.select("category", "field", key.alias("jp_key"), F.concat(F.lit("ai "), F.col("jp_key")).alias("cn_text"))
     return merge.fill_merge(e, updates, now=1).select("category", "field", "jp_key", "cn_text", "source", "action")
 
 

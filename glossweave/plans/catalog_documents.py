@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import extract, merge, story
+from ..operators import extract, merge, rollup, story
 from .catalog import _ENTRIES, _STORIES, _entries, _stories, query, read
 
 #: Columns of `part` that stand for the texts of a category's fields, in turn.
@@ -108,13 +108,14 @@ def q_build_pending(spark, sf_dir):
 
 @query(f"""with {_STORIES}, has as (select distinct event_id, episode_no from ln where cn_text <> ''),
 b as (select event_id, episode_no, case when t.title is null or trim(t.title) = trim(ep.title) then '' else trim(t.title) end title
-  from ep left join (select event_id, episode_no, upper(title) title from ep where event_id % 2 = 0) t using (event_id, episode_no))
+  from ep left join (select event_id, episode_no, upper(title) title from (select * replace (case when event_id % 2 = 0 then event_id else -1 - event_id end as event_id) from ep)) t using (event_id, episode_no))
 select event_id, episode_no, title, 'cn' title_source, row_number() over (partition by event_id order by episode_no) - 1 as position
 from b left join (select *, true h from has) using (event_id, episode_no) where h or title <> ''""")
 def q_build_official(spark, sf_dir):
     _, episodes, lines = _stories(spark, sf_dir)
     ours = episodes.select("event_id", "episode_no", "scenario_id", "title")
-    eps, _ = story.build_official(ours, ours.where("event_id % 2 = 0").withColumn("title", F.upper("title")), lines.where("cn_text <> ''"))
+    theirs = ours.withColumns({"event_id": F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(-1 - F.col("event_id")), "title": F.upper("title")})
+    eps, _ = story.build_official(ours, theirs, lines.where("cn_text <> ''"))
     return eps.select("event_id", "episode_no", "title", "title_source", "position")
 
 
@@ -149,3 +150,25 @@ def q_apply_results(spark, sf_dir):
     _, episodes, lines = _stories(spark, sf_dir)
     results = story.untranslated_targets(episodes, lines).withColumn("cn_text", F.upper("jp"))
     return story.apply_results(episodes, lines, results)[1].select("event_id", "episode_no", "jp_key", "cn_text", "source")
+
+
+@query(f"""with {_STORIES}, st as (select event_id, source like 'official%' or source in ('human', 'pinned')
+  or event_id in (select event_id from ln where source in ('human', 'pinned') union select event_id from ep where title_source in ('human', 'pinned')) kept from s),
+c as (select conv_id event_id, bool_or(role = 'assistant') and bool_or(role = 'user') there, max(turn) >= 3 talk, conv_id % 11 = 0 failed from conversations group by conv_id)
+select event_id, case when kept then 'keep' when not there then 'miss' when failed then 'error' when talk then 'found' else 'miss' end outcome from c join st using (event_id)""")
+def q_availability(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").withColumn("event_id", F.col("conv_id"))
+    built = c.groupBy("event_id").agg((F.max("turn") >= 3).alias("has_talk")).withColumn("failed", F.col("event_id") % 11 == 0)
+    states = rollup.sync_states(*_stories(spark, sf_dir))
+    return story.availability(states, c, c.where("role = 'assistant'"), c.where("role = 'user'"), built)
+
+
+@query("""with x as (select event_id, event_type = 'error' e from events), y as (select *, sum(case when not e then 1 else 0 end) over (order by event_id) g from x),
+z as (select event_id, e, sum(case when e then 1 else 0 end) over (partition by g order by event_id) st from y), w as (select min(event_id) stop_id from z where e and st >= 3)
+select distinct event_id from events, w where event_id not in (select doc_id from documents) and stop_id is not null
+  and event_id > greatest((select max(doc_id) from documents), coalesce((select max(event_id) from z where not e and event_id <= stop_id), 0))""")
+def q_fallback_events(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    checks = events.select("event_id", F.when(F.col("event_type") == "error", "miss").otherwise("found").alias("outcome"))
+    stored = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"))
+    return story.fallback_events(events, stored, story.walk_streak(checks, 0))
