@@ -16,6 +16,28 @@ def test_agrees_with_sql(spark, sf_dir, duck, as_rows, name):
     assert as_rows(got[list(want.columns)]) == as_rows(want)
 
 
+def test_url_query_against_sql_and_mined_rules(spark, sf_dir, duck):
+    """Hosts, paths, stated rules and their verdicts by SQL; the other verdicts by trying every mined rule on every page."""
+    values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_rules.STATED)
+    want = duck.execute(f"""
+with r as (select * from (values {values}) t(verdict, h, p)),
+p as (select page_id, coalesce(url, '') url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end tail from pages),
+q as (select page_id, url, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) path from p),
+f as (select page_id, arg_max(h || r.p, length(h || r.p)) as rule, arg_max(verdict, length(h || r.p)) verdict from q join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, r.p) group by page_id)
+select page_id, url, host, path, rule, verdict from q left join f using (page_id)""").fetchall()
+    got = {r.page_id: r for r in queries.op4_url_rules(spark, sf_dir).collect()}
+    assert len(got) == len(want) and {(r.page_id, r.host, r.path, r.rule) for r in got.values()} == {(i, h, p, rule) for i, _, h, p, rule, _ in want}
+    of_url = {u: (v == "block") for _, u, _, _, _, v in want if v}
+    labelled = spark.createDataFrame([(u, v == "block") for _, u, _, _, _, v in want if v], "url string, block boolean")
+    rules = url_rules.mine(labelled).collect()
+    urls = spark.createDataFrame([(i, u) for i, u, *_ in want], "page_id long, url string")
+    has = {r.page_id: set(r.t) for r in urls.select("page_id", url_rules.tokens(urls.url).alias("t")).collect()}
+    assert of_url and rules and any(v is None for *_, v in want)
+    for i, *_, stated in want:
+        fits = [(r.confidence, r.support, len(r["items"]), r.verdict) for r in rules if set(r["items"]) <= has[i]]
+        assert got[i].verdict == (stated or (max(fits)[3] if fits else "allow"))
+
+
 def _docs(spark, rows):
     return spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
 
