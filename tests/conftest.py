@@ -35,9 +35,10 @@ def duck(sf_dir):
 
 
 def rows(frame):
-    """Rows of a pandas frame as sorted texts, columns by name; nulls of any kind are alike."""
+    """Rows of a pandas frame as sorted texts, columns by name; nulls of any kind are alike, and whole numbers whether or not nulls made them floats."""
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(map(str, frame.where(frame.notna(), None).itertuples(index=False, name=None)))
+    whole = lambda x: int(x) if isinstance(x, float) and x.is_integer() else x
+    return sorted(str(tuple(map(whole, r))) for r in frame.where(frame.notna(), None).itertuples(index=False, name=None))
 
 
 @pytest.fixture(scope="session")
