@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, bpe, decontam, licenses, line_crf, line_dedup, near_dup, url_rules, vafile, warc
+from . import attention_lm, bpe, centroids, decontam, importance, licenses, line_crf, line_dedup, near_dup, url_rules, vafile, warc
 from .common import read
 
 
@@ -48,7 +48,18 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_decontam, op3_licenses, op4_url_rules, op5_attention_lm, op6_warc, op7_bpe, op8_line_dedup, op9_line_crf, op10_near_dup)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_topk, op2_decontam, op3_licenses, op4_url_rules, op5_attention_lm, op6_warc, op7_bpe, op8_line_dedup, op9_line_crf, op10_near_dup, op11_importance, op12_centroids)
+}
 
 ORACLE_SQL = {
     "op1_topk": """
@@ -63,6 +74,58 @@ s as (
   from q join v on len(q.c) = len(v.c) and q.vec_id <> v.vec_id)
 select query_id, cast(rank as int) rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 5""",
+    "op11_importance": """
+with tab as (
+  select list(list_reduce([i] || range(8), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) t
+  from range(256) r(i)),
+d as (
+  select doc_id, row_number() over () k,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') ws
+  from documents),
+f as (select k, unnest(ws) w from d),
+b as (
+  select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) w
+  from benchmark),
+crc as (
+  select w, xor(list_reduce([4294967295] || list_transform(range(octet_length(encode(w))), lambda i: cast('0x' || substr(hex(encode(w)), cast(2 * i + 1 as int), 2) as bigint)),
+    lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)])), 4294967295) % 10000 bucket
+  from (select distinct w from (select w from f union all select w from b)), tab),
+s as (select bucket, count(*) s from f join crc using (w) group by bucket),
+t as (select bucket, count(*) t from b join crc using (w) group by bucket),
+g as (
+  select i bucket, cast(floor(1000 * ln((cast(coalesce(t, 0) as double) + 1) * ((select count(*) from f) + 10000.0::double)
+    / ((cast(coalesce(s, 0) as double) + 1) * ((select count(*) from b) + 10000.0::double)))) as bigint) gain
+  from range(10000) r(i) left join s on s.bucket = i left join t on t.bucket = i),
+w as (select k, cast(sum(gain) as bigint) weight from f join crc using (w) join g using (bucket) group by k),
+sc as (
+  select doc_id, cast(len(ws) as bigint) n_features, coalesce(weight, 0) weight, coalesce(weight, 0) + cast(floor(-1000 * ln(-ln(
+    (cast(cast('0x' || substr(sha256('2024:' || cast(doc_id as varchar)), 1, 8) as bigint) as double) + 0.5) / 4294967296.0::double))) as bigint) score
+  from d left join w using (k)),
+r as (select doc_id, n_features, weight, score, row_number() over (order by score desc, doc_id) rank from sc where n_features >= 20)
+select doc_id, n_features, weight, score, rank from r where rank <= (select count(*) from r) * 10 // 100
+union all select doc_id, n_features, weight, score, null from r where rank > (select count(*) from r) * 10 // 100
+union all select doc_id, n_features, weight, score, null from sc where n_features < 20""",
+    "op12_centroids": """
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) v
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
+c0 as materialized (
+  select row_number() over (order by sha256('1:' || cast(vec_id as varchar))) - 1 c, v from v order by c limit 16),"""
+    + "".join(f"""
+a{i} as materialized (
+  select vec_id, v.v, arg_min(c, struct_pack(d := d, c := c)) c, min(d) d
+  from (select vec_id, v.v, c, list_sum(list_transform(list_zip(v.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d from v, c{i}) v group by vec_id, v.v),
+p{i} as (select c, j, sum(x)::hugeint s, count(*)::hugeint n from (select c, unnest(v) x, generate_subscripts(v, 1) j from a{i}) group by c, j),
+c{i + 1} as materialized (
+  select c{i}.c, coalesce(m.v, c{i}.v) v
+  from c{i} left join (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by j) v from p{i} group by c) m on m.c = c{i}.c),""" for i in range(3))
+    + """
+a as materialized (
+  select vec_id, arg_min(c, struct_pack(d := d, c := c)) c, min(d) d
+  from (select vec_id, v.v, c, list_sum(list_transform(list_zip(v.v, c3.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d from v, c3) group by vec_id, v)
+select vec_id, cast(a.c as int) as cluster, cast(d as bigint) distance, cast(sum(d) over (partition by a.c) as bigint) cluster_inertia,
+  cast(sum(d) over () as bigint) inertia, sha256(array_to_string(c3.v, ',')) centroid_sha256
+from a join c3 on a.c = c3.c""",
     "op10_near_dup": """
 with recursive w as (
   select doc_id, string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
