@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, bpe, centroids, decontam, importance, licenses, line_crf, line_dedup, near_dup, url_rules, vafile, warc
+from . import attention_lm, bpe, centroids, decontam, fingerprints, importance, licenses, line_crf, line_dedup, near_dup, url_rules, vafile, warc
 from .common import read
 
 
@@ -56,9 +56,13 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read(spark, sf_dir, "embeddings"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk, op2_decontam, op3_licenses, op4_url_rules, op5_attention_lm, op6_warc, op7_bpe, op8_line_dedup, op9_line_crf, op10_near_dup, op11_importance, op12_centroids)
+    for f in (op1_topk, op2_decontam, op3_licenses, op4_url_rules, op5_attention_lm, op6_warc, op7_bpe, op8_line_dedup, op9_line_crf, op10_near_dup, op11_importance, op12_centroids, op13_fingerprints)
 }
 
 ORACLE_SQL = {
