@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted
+from .common import cut, join_counted, plain_ids, with_ids
 
 DIM, SCALE, CENTROIDS, ROUNDS, SEED = 64, 64, 16, 3, 1
 #: Vectors that one numpy step holds.
@@ -63,9 +63,10 @@ def quantised(embeddings: DataFrame, dim: int = DIM, scale: int = SCALE) -> Data
                     packed.append(b"1" + tiny.tobytes() if (tiny == small).all() else b"2" + small.tobytes())
                 else:  # what overflows a double when scaled is still a whole number
                     packed.append(pack([int(s) if np.isfinite(s) else int(f) * scale for s, f in zip(scaled.tolist(), np.asarray(x, float).tolist(), strict=True)]))
-            yield pd.DataFrame({"vec_id": b.vec_id, "v": packed})
+            yield pd.DataFrame({"id": b.id, "no_id": b.no_id, "v": packed})
 
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).mapInPandas(run, "vec_id long, v binary")
+    rows = plain_ids(rows.select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "vec_id")
+    return with_ids(rows.mapInPandas(run, "id long, no_id boolean, v binary"), "vec_id")
 
 
 def _reach(v: np.ndarray) -> int:

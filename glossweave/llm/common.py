@@ -74,6 +74,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def plain_ids(df: DataFrame, name: str) -> DataFrame:
+    """df with `id` long and `no_id` boolean for the column `name`: pandas makes floats of longs among which there are nulls, and rounds large ones."""
+    value = F.col(name).cast("long")
+    return df.withColumns({"id": F.coalesce(value, F.lit(0).cast("long")), "no_id": value.isNull()}).drop(*([name] if name not in ("id", "no_id") else []))
+
+
+def with_ids(df: DataFrame, name: str) -> DataFrame:
+    """The column `name` again in the place of `id` and `no_id`, first of all."""
+    return df.select(F.when(~F.col("no_id"), F.col("id")).alias(name), *(c for c in df.columns if c not in ("id", "no_id")))
+
+
 def crc_bucket(doc_id, modulus: int):
     """crc32 of the id as text, modulo; 0 for a null id, which so is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(0))

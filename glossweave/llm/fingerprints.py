@@ -2,8 +2,8 @@
 
 A gear hash over the last 16 bytes marks places in a text; a chunk ends at a mark, hard ones counting until it has its normal
 length and easy ones from then on. Ends depend on the bytes close by alone, so an insertion changes the chunks around it and no
-others. A fingerprint is the set of its chunks' digests and lengths, and its containment in another is the share of its bytes that
-lie in chunks which the other has too.
+others. A fingerprint is the set of its chunks' digests, each with the bytes it stands for, and its containment in another is the share of
+these bytes whose digests the other has too.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import plain_ids, small_batches, with_ids
 
 #: Bytes of a chunk: at least, from where on easy marks end it, and at most.
 LEAST, NORMAL, MOST = 16, 40, 255
@@ -74,8 +74,8 @@ def ends(text: bytes, begin: int = 0) -> list[int]:
     return out
 
 
-#: A fingerprint: digests as rising 64-bit numbers, each once, and the bytes of each one's chunk.
-_ENTRY = np.dtype([("digest", "<u8"), ("length", "u1")])
+#: A fingerprint: digests as rising 64-bit numbers, each once, and the bytes of the text that its chunks hold.
+_ENTRY = np.dtype([("digest", "<u8"), ("length", "<u4")])
 
 
 def digests(text: bytes, cuts: list[int], begin: int = 0) -> np.ndarray:
@@ -89,12 +89,16 @@ def digests(text: bytes, cuts: list[int], begin: int = 0) -> np.ndarray:
 
 
 def as_set(chunks: np.ndarray) -> np.ndarray:
-    """Chunks in the order of their digests, each digest once."""
-    return chunks[np.unique(chunks["digest"], return_index=True)[1]]
+    """Chunks in the order of their digests, each digest once, with the bytes of all its chunks."""
+    digest, at = np.unique(chunks["digest"], return_inverse=True)
+    out = np.empty(len(digest), _ENTRY)
+    out["digest"] = digest
+    out["length"] = np.bincount(at, chunks["length"], len(digest))
+    return out
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the length of a's chunks that b has; 1 if both sets are empty, 0 if one is."""
+    """Share of a's bytes whose chunks b has too; 1 if both sets are empty, 0 if one is."""
     if not len(a):
         return float(not len(b))
     n = a["length"].astype(np.int64)
@@ -102,7 +106,7 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def written(chunks: np.ndarray) -> str:
-    """A set of chunks as text, 12 characters a chunk."""
+    """A set of chunks as text, 16 characters a chunk."""
     return base64.b64encode(chunks.tobytes()).decode()
 
 
@@ -115,9 +119,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "fingerprint": [written(as_set(digests(t, ends(t)))) for t in map(_bytes, b.text)]})
+            yield pd.DataFrame({"id": b.id, "no_id": b.no_id, "fingerprint": [written(as_set(digests(t, ends(t)))) for t in map(_bytes, b.text)]})
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fingerprint string")
+    rows = plain_ids(small_batches(docs).select("doc_id", "text"), "doc_id")
+    return with_ids(rows.mapInPandas(run, "id long, no_id boolean, fingerprint string"), "doc_id")
 
 
 def contained(a: Column, b: Column) -> Column:
@@ -154,12 +159,12 @@ class _Ranges:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("u", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = plain_ids(docs.select("doc_id", "text"), "doc_id")
+    return rows.withColumn("k", F.when(F.col("no_id"), F.lit(-(2**63))).otherwise(F.col("id"))).withColumn("u", F.xxhash64(F.coalesce("text", F.lit("")))).drop("id")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """(part, guest, doc_id, text) of docs (doc_id, text): rows of a part by falling doc_id, then guests, one after the other in one task.
+    """(part, guest, id, no_id, text) of docs (doc_id, text), as plain_ids() tells ids: rows of a part by falling doc_id, then guests, one after the other in one task.
 
     A part's last row is followed by the first row of the next one, its guest, so every row's successor is at hand and no window
     over all rows is needed; the last part's guest is the first row of all. Null ids come last; rows of one id are in the order of
@@ -191,18 +196,18 @@ def in_order(docs: DataFrame) -> DataFrame:
             if leads.any():
                 yield b[leads].assign(part=[host[p] for p in part[leads].tolist()], guest=True)
 
-    dealt = small_batches(rows).mapInPandas(deal, "doc_id long, text string, k long, u long, part long, guest boolean")
+    dealt = small_batches(rows).mapInPandas(deal, "no_id boolean, text string, k long, u long, part long, guest boolean")
     # The number of Spark's partitions follows its setting; parts are dealt to them by hash.
-    return dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "guest", F.desc("k"), F.desc("u")).select("part", "guest", "doc_id", "text")
+    return dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "guest", F.desc("k"), F.desc("u")).select("part", "guest", F.col("k").alias("id"), "no_id", "text")
 
 
 def _half_edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of compared() from rows of in_order(); each text is cut once, and of an edited text only what its end changes."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["id", "no_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     held = None  # the row whose successor comes next
     for b in batches:
         out = []
-        for guest, doc_id, text in zip(b.guest, b.doc_id, b.text, strict=True):
+        for guest, id_, no_id, text in zip(b.guest, b.id, b.no_id, b.text, strict=True):
             if guest and held is None:
                 continue  # equal rows lead the next part; the first was enough
             text = "" if text is None else text
@@ -211,18 +216,17 @@ def _half_edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             chunks = digests(raw, cuts)
             own = as_set(chunks)
             if held:
-                was_id, was, was_cuts, was_chunks, was_own = held
+                was_id, was_none, was, was_cuts, was_chunks, was_own = held
                 half = len(was) // 2
                 head = _bytes(was[: len(was) - half])
                 edited = head + _bytes(text[:half])
                 kept = bisect.bisect(was_cuts, len(head)) if half else len(was_cuts)
                 begin = was_cuts[kept - 1] if kept else 0
                 changed = as_set(np.concatenate((was_chunks[:kept], digests(edited, ends(edited, begin), begin))))
-                out.append((was_id, len(was), hashlib.sha256(edited).hexdigest(), written(was_own), written(changed), containment(was_own, changed), containment(was_own, own)))
-            held = None if guest else (doc_id, text, cuts, chunks, own)
+                out.append((was_id, was_none, len(was), hashlib.sha256(edited).hexdigest(), written(was_own), written(changed), containment(was_own, changed), containment(was_own, own)))
+            held = None if guest else (id_, no_id, text, cuts, chunks, own)
         if out:
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.assign(doc_id=frame.doc_id.astype("Int64"))
+            yield pd.DataFrame(out, columns=names)
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -234,4 +238,5 @@ def compared(docs: DataFrame) -> DataFrame:
     one: an empty fingerprint, which only another empty one contains. Null ids come after all others, repeated rows are rows of
     their own, other columns are ignored, and an empty table gives no row.
     """
-    return in_order(docs).mapInPandas(_half_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = in_order(docs).mapInPandas(_half_edited, "id long, no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_ids(rows, "doc_id")

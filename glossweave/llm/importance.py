@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, plain_ids, small_batches, with_ids
 
 BUCKETS, RUNS, SEED = 10_000, 1, 2024
 #: Of documents with at least LEAST_WORDS words, so many per cent are drawn.
@@ -93,9 +93,10 @@ def scores(docs: DataFrame, gain: np.ndarray, runs: int = RUNS, seed: int = SEED
             for i, text in enumerate(b.text):
                 for n, at in features(text, runs, len(gain)):
                     out[:, i] += n, len(at), gain[at].sum()
-            yield pd.DataFrame({"doc_id": b.doc_id, "n_words": out[0], "n_features": out[1], "weight": out[2]})
+            yield pd.DataFrame({"id": b.id, "no_id": b.no_id, "n_words": out[0], "n_features": out[1], "weight": out[2]})
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_words long, n_features long, weight long")
+    rows = plain_ids(small_batches(docs).select("doc_id", "text"), "doc_id").mapInPandas(run, "id long, no_id boolean, n_words long, n_features long, weight long")
+    rows = with_ids(rows, "doc_id")
     salted = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256)
     h = F.conv(F.substring(salted, 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
