@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import plain_ids, small_batches, with_ids
 
 #: Bytes of a chunk: at least, from where on easy marks end it, and at most.
-LEAST, NORMAL, MOST = 16, 40, 255
+LEAST, NORMAL, MOST = 16, 40, 128
 #: One place in 64 is a hard mark, one in 16 an easy one.
 HARD, EASY = np.uint32(0xFC000000), np.uint32(0xF0000000)
 DIGEST = 8
