@@ -141,10 +141,14 @@ def ids_from_json(text: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """A key that orders runs of digits by value: each run is preceded by how long it is."""
-    plain = F.regexp_replace(F.lower(blank(c)), r"(?<![0-9])0+(?=[0-9])", "")
+    """A key that orders runs of digits by value, and all else as the Unicode collation does: accents beside their letters, kana before kanji.
+
+    Each run of digits is preceded by how long it is; equal texts but for leading zeros or blanks around them have equal keys.
+    """
+    plain = F.regexp_replace(blank(c), r"(?<![0-9])0+(?=[0-9])", "")
     runs = F.regexp_extract_all(plain, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(x).cast("string"), 6, "0"), x)).otherwise(x)), "\u0001")
+    padded = F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(x).cast("string"), 6, "0"), x)).otherwise(x))
+    return F.collate(F.array_join(padded, ""), "UNICODE")
 
 
 def matches(query: str, *columns: Column) -> Column:
@@ -169,6 +173,15 @@ def parse_row_key(key: Column) -> Column:
     return F.struct(F.get(parts, F.lit(0)).alias("episode_no"), F.when(title, "title").otherwise("talk").alias("kind"), F.when(title, F.substr(rest, F.lit(len(TITLE_MARK) + 2))).otherwise(rest).alias("text"))
 
 
-def link(category: Column, ids: Column, base: str) -> Column:
-    """Address of the first id's page, or null without ids."""
-    return F.when(F.size(ids) > 0, F.concat(F.lit(base.rstrip("/") + "/"), category, F.lit("/"), F.get(ids, F.lit(0))))
+#: Categories that have pages, with the part of the address that names them.
+PAGES = {"cards": "cards", "events": "events", "gacha": "gacha", "virtualLive": "live", "music": "music", "mysekai": "mysekai", "costumes": "costumes", "characters": "character"}
+STORY_PAGES = "eventstory"
+
+
+def link(category: Column, field: Column, ids: Column, base: str) -> Column:
+    """Address of the page of an entry's first id, or of a story, whose number is its field; null for categories without pages, and without ids."""
+    top = base.rstrip("/")
+    at = lambda kind, id_: F.concat(F.lit(f"{top}/{kind}/"), id_, F.lit("/"))
+    first = F.when(F.size(ids) > 0, F.get(ids, F.lit(0)))
+    story = F.when(category == "eventStory", at(STORY_PAGES, field))
+    return reduce(lambda rest, kv: rest.when(category == kv[0], at(kv[1], first)), PAGES.items(), story)

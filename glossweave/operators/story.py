@@ -172,10 +172,10 @@ def apply_results(episodes: DataFrame, lines: DataFrame, results: DataFrame, sou
     return eps.select(*episodes.columns), out.select(*lines.columns)
 
 
-def set_source(stories: DataFrame, episodes: DataFrame, lines: DataFrame, now: int, event_ids: list[int]) -> DataFrame:
-    """Stories whose source tells whether anything is left to translate: llm if nothing, else jp_pending."""
+def set_source(stories: DataFrame, episodes: DataFrame, lines: DataFrame, now: int, event_ids: list[int] | None = None) -> DataFrame:
+    """Stories, all or some of them, whose source tells whether anything is left to translate: llm if nothing, else jp_pending."""
     left = untranslated_targets(episodes, lines).groupBy("event_id").agg(F.count("*").alias("n"))
-    of = F.col("event_id").isin(event_ids)
+    of = F.lit(True) if event_ids is None else F.col("event_id").isin(event_ids)
     rows = stories.join(left, "event_id", "left")
     return rows.withColumns({"source": F.when(of, F.when(F.coalesce("n", F.lit(0)) == 0, LLM).otherwise("jp_pending")).otherwise(F.col("source")), "last_updated": F.when(of, F.lit(now)).otherwise(F.col("last_updated")).cast("bigint")}).select(*stories.columns)
 

@@ -366,13 +366,6 @@ def q_display_rows(spark, sf_dir):
     return story.display_rows(*_stories(spark, sf_dir)).select("event_id", "ord", "key", F.md5("text").alias("text_key"), "source")
 
 
-@query(f"""with {_STORIES} select event_id, episode_no, jp_key, case when cn_text = '' and event_id % 2 = 0 then 'done' else cn_text end cn_text, case when cn_text = '' and event_id % 2 = 0 then 'llm' else source end source from ln""")
-def q_apply_results(spark, sf_dir):
-    _, episodes, lines = _stories(spark, sf_dir)
-    results = story.untranslated_targets(episodes, lines).withColumn("cn_text", F.when(F.col("event_id") % 2 == 0, "done").otherwise(""))
-    return story.apply_results(episodes, lines, results)[1].select("event_id", "episode_no", "jp_key", "cn_text", "source")
-
-
 # --- text functions
 
 
@@ -429,4 +422,4 @@ def q_version_change(spark, sf_dir):
     return refresh.version_changes(polls).select(F.col("polled_at").alias("event_id"), "version", "previous")
 
 
-from . import catalog_documents  # noqa: E402, F401  (registers the queries of documents)
+from . import catalog_documents, catalog_jobs  # noqa: E402, F401  (register the queries of documents and of jobs)

@@ -6,15 +6,18 @@ getting it failed. Stories, episodes and lines are snapshot tables; each job wri
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import error_digest
-from ..functions.documents import get_string, objects
+from ..functions.documents import get_int, get_string, objects
 from ..functions.text import trim
 from ..operators import rollup, story
+from ..sources.commits import RunLock, delete
 from ..sources.snapshot import SnapshotTable
 
 OFFICIAL, PENDING = "official_cn", "jp_pending"
@@ -26,6 +29,10 @@ class Tables:
     episodes: SnapshotTable
     lines: SnapshotTable
 
+    def lock(self, mode: str) -> RunLock:
+        """The lock that one run at a time holds; runs that fill these tables take the same one."""
+        return RunLock(self.stories.spark, f"{self.stories.path}-lock", mode)
+
 
 @dataclass
 class Landed:
@@ -63,12 +70,13 @@ def pending(landed: Landed) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _store(tables: Tables, heads: DataFrame, episodes: DataFrame, lines: DataFrame) -> None:
-    """Put whole stories in the place of those of equal id."""
+    """Put whole stories in the place of those of equal id; partitions without any of them keep their files."""
+    ids = heads.select("event_id")
     for table, rows in ((tables.lines, lines), (tables.episodes, episodes), (tables.stories, heads)):
-        new = rows.join(heads.select(F.col("event_id")), "event_id", "left_semi") if table is not tables.stories else rows
-        stored = table.read()
-        new = new.select(*(F.col(f.name).cast(f.dataType) for f in stored.schema))
-        table.write(stored.join(heads.select("event_id"), "event_id", "left_anti").unionByName(new))
+        parts = table.parts_of(ids)
+        stored = table.read(parts=parts)
+        new = rows.join(ids, "event_id", "left_semi").select(*(F.col(f.name).cast(f.dataType) for f in stored.schema))
+        table.replace(stored.join(ids, "event_id", "left_anti").unionByName(new), parts)
 
 
 def _heads(ids: DataFrame, source: str, now: int) -> DataFrame:
@@ -80,6 +88,19 @@ def sync_stories(tables: Tables, landed: Landed, now: int, limit: int = 3) -> di
 
     Official stories and those that a person edited stay; one of which a scenario is missing is left for the next run.
     """
+    with tables.lock("sync stories"):
+        return _sync(tables, landed, now, limit)
+
+
+def _first_errors(errors: DataFrame) -> str | None:
+    """How many different errors there are, and the first three; none of the others leaves its task."""
+    told = errors.select("error").distinct()
+    shown = told.orderBy("error").limit(3).agg(F.array_sort(F.collect_list("error")).alias("e")).first().e
+    more = told.count() - len(shown) if len(shown) == 3 else 0
+    return f"{len(shown) + more} failed: {'; '.join(shown)}" + (f"; {more} more" if more else "") if shown else None
+
+
+def _sync(tables: Tables, landed: Landed, now: int, limit: int) -> dict:
     states = rollup.sync_states(tables.stories.read(), tables.episodes.read(), tables.lines.read()).persist()
     start = rollup.sync_bounds(states).first().start_id
     episodes, lines, built, failures = official(landed)
@@ -93,7 +114,7 @@ def sync_stories(tables: Tables, landed: Landed, now: int, limit: int = 3) -> di
     heads = _heads(found, OFFICIAL, now).unionByName(_heads(late, PENDING, now)).persist()
     lost = failures.join(walked.where("outcome = 'error'").select("event_id"), "event_id", "left_semi").union(p_failures.join(late, "event_id", "left_semi"))
     counts = {r.source: r.n for r in heads.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    errors = lost.agg(error_digest(F.array_sort(F.collect_set("error"))).alias("e")).first().e
+    errors = _first_errors(lost)
     if counts:
         of = lambda rows, ids: rows.join(ids, "event_id", "left_semi")
         _store(tables, heads, of(episodes, found).unionByName(of(p_episodes, late)), of(lines, found).unionByName(of(p_lines, late)))
@@ -107,6 +128,11 @@ def retry_stories(tables: Tables, landed: Landed, event_ids: list[int], now: int
 
     LookupError for an id that the source edition doesn't list, or of which no episode came. Texts that persons edited go too.
     """
+    with tables.lock("retry stories"):
+        return _retry(tables, landed, event_ids, now)
+
+
+def _retry(tables: Tables, landed: Landed, event_ids: list[int], now: int) -> dict[int, dict]:
     ids = landed.source_list.sparkSession.createDataFrame([(i,) for i in event_ids], "event_id bigint")
     episodes, lines, built, _ = official(landed)
     there = landed.target_events.select("event_id").distinct()
@@ -138,10 +164,104 @@ def source_order(source_scenarios: DataFrame, lines: DataFrame) -> DataFrame:
 
 def reorder_stories(tables: Tables, source_scenarios: DataFrame, event_ids: list[int]) -> int:
     """Put the lines of some stories into the order of the source edition; what it doesn't say comes last. Episodes reordered."""
-    lines = tables.lines.read()
-    wanted = source_order(source_scenarios.where(F.col("event_id").isin(event_ids)), lines).persist()
-    n = wanted.count()
-    if n:
-        tables.lines.write(story.reorder_lines(lines, wanted))
-    wanted.unpersist()
+    with tables.lock("reorder stories"):
+        parts = tables.lines.parts_of(source_scenarios.sparkSession.createDataFrame([(i,) for i in event_ids], "event_id bigint"))
+        lines = tables.lines.read(parts=parts)
+        wanted = source_order(source_scenarios.where(F.col("event_id").isin(event_ids)), lines).persist()
+        n = wanted.count()
+        if n:
+            tables.lines.replace(story.reorder_lines(lines, wanted), parts)
+        wanted.unpersist()
     return n
+
+
+#: Gets scenarios of some episodes (event_id, episode_no, scenario_id) of an edition, "source" or "target": (event_id, episode_no, doc), doc being null where that failed.
+Fetch = Callable[[DataFrame, str], DataFrame]
+
+
+def walk_stories(tables: Tables, source_list: DataFrame, target_list: DataFrame, target_events: DataFrame, fetch: Fetch, now: int, limit: int = 3, wave: int = 8, publish: Callable[[str, str, int, int], None] | None = None) -> dict:
+    """sync_stories() for scenarios that are still to be fetched: stories are taken in waves in order of id, and fetching ends with the wave that holds the `limit`-th miss in a row.
+
+    Only stories that both editions list and that aren't kept are fetched; what a wave found is stored before the next one begins, so
+    a run that ends early is carried on by the next. Scenarios of a wave are stored beside the lines until they are used, as they are
+    read several times and must be fetched once.
+    """
+    spark = source_list.sparkSession
+    counts, errors = {OFFICIAL: 0, PENDING: 0}, []
+    with tables.lock("sync stories") as lock:
+        states = rollup.sync_states(tables.stories.read(), tables.episodes.read(), tables.lines.read())
+        bounds = rollup.sync_bounds(states).first()
+        index = story.story_index(source_list)
+        none = spark.createDataFrame([], "event_id bigint, has_talk boolean, failed boolean")
+        # Without any scenario, what is there counts as a miss; so a miss of an id that is there means that it must be fetched.
+        there = target_events.select("event_id").join(story.story_index(target_list).select("event_id"), "event_id", "left_semi").distinct().withColumn("there", F.lit(True))
+        known = story.availability(states, index.select("event_id"), target_events, story.story_index(target_list).select("event_id"), none).join(there, "event_id", "left").where(F.col("event_id") >= bounds.start_id).persist()
+        total, after, streak, newest, stopped = known.count(), bounds.start_id - 1, 0, bounds.max_id, False
+
+        def landed(ids: list[int], editions: list[str]) -> tuple[Landed, list[str]]:
+            of, folders, docs = F.col("event_id").isin(ids), [], {}
+            for edition, listed in (("source", source_list), ("target", target_list)):
+                wanted = story.story_episodes(story.story_index(listed).where(of)).where("scenario_id <> ''")
+                if edition in editions:
+                    folders.append(f"{tables.lines.path}-landed/{uuid.uuid4().hex}")
+                    fetch(wanted.select("event_id", "episode_no", "scenario_id"), edition).write.parquet(folders[-1])
+                    docs[edition] = spark.read.schema("event_id bigint, episode_no string, doc variant").parquet(folders[-1])
+                else:
+                    docs[edition] = spark.createDataFrame([], "event_id bigint, episode_no string, text string").select("event_id", "episode_no", F.parse_json("text").alias("doc"))
+            only = lambda listed: listed.where(get_int(F.col("doc"), "eventId").isin(ids))
+            return Landed(only(source_list), only(target_list), target_events, docs["source"], docs["target"]), folders
+
+        def put(ids: list[int], source: str, episodes: DataFrame, lines: DataFrame) -> None:
+            heads = _heads(spark.createDataFrame([(i,) for i in ids], "event_id bigint"), source, now)
+            _store(tables, heads, episodes, lines)
+            counts[source] += len(ids)
+
+        done = 0
+        while not stopped and (rows := known.where(F.col("event_id") > after).orderBy("event_id").limit(wave).collect()):
+            ids, built, folders = [r.event_id for r in rows if r.there and r.outcome == "miss"], {}, []
+            if ids:
+                got, folders = landed(ids, ["source", "target"])
+                episodes, lines, made, failures = official(got)
+                built = {r.event_id: r for r in made.collect()}  # a row for each id of the wave
+                told = {r.event_id: r.error for r in failures.groupBy("event_id").agg(F.min("error").alias("error")).collect()}
+            found = []
+            for r in rows:
+                b = built.get(r.event_id)
+                outcome = r.outcome if b is None else "error" if b.failed else "found" if b.has_talk else "miss"
+                done, after = done + 1, r.event_id
+                if outcome == "miss":
+                    streak += 1
+                    if stopped := streak >= limit:
+                        break
+                elif outcome == "error":
+                    errors.append(told[r.event_id])
+                else:
+                    streak = 0
+                    found += [r.event_id] if outcome == "found" else []
+            if found:
+                newest = max(newest, *found)
+                put(found, OFFICIAL, episodes, lines)
+            for f in folders:
+                delete(spark, f)
+            lock.renew()
+            if publish:
+                publish("stories", f"event {after}", done, total)
+        after = newest
+        stored = tables.stories.read().select("event_id")
+        late = index.select("event_id").join(stored, "event_id", "left_anti").persist()
+        while stopped and (rows := late.where(F.col("event_id") > after).orderBy("event_id").limit(wave).collect()):
+            ids, after = [r.event_id for r in rows], rows[-1].event_id
+            got, folders = landed(ids, ["source"])
+            episodes, lines, failures = pending(got)
+            some = [r.event_id for r in episodes.select("event_id").distinct().collect()]  # ids of the wave
+            errors += [r.error for r in failures.where(F.col("event_id").isin(some)).groupBy("event_id").agg(F.min("error").alias("error")).collect()]
+            if some:
+                put(some, PENDING, episodes, lines)
+            for f in folders:
+                delete(spark, f)
+            lock.renew()
+        known.unpersist()
+        late.unpersist()
+    shown = sorted(errors)
+    text = f"{len(shown)} failed: {'; '.join(shown[:3])}" + (f"; {len(shown) - 3} more" if len(shown) > 3 else "") if shown else None
+    return {"official": counts[OFFICIAL], "pending": counts[PENDING], "errors": text}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import CATEGORIES
 from ..operators import extract, merge
+from ..sources.commits import RunLock
 from ..sources.snapshot import SnapshotTable
 
 
@@ -29,10 +30,13 @@ def sync(table: SnapshotTable, source: dict[str, DataFrame], target: dict[str, D
     pairs, traces, skipped = gather(source, target)
     if pairs is None:
         return {"changed": {}, "skipped": skipped}
-    merged = merge.copy_field(merge.sync_merge(table.read(), pairs, traces, now, strict_precedence)).persist()
-    counts = merged.groupBy("category").agg((F.count_if(F.col("action") != "keep") + F.count_if("copied")).alias("n")).where("n > 0")
-    changed = {r.category: r.n for r in counts.collect()}  # a row a category
-    if changed:
-        table.write(merged)
-    merged.unpersist()
+    with RunLock(table.spark, f"{table.path}-lock", "sync"):
+        merged = merge.copy_field(merge.sync_merge(table.read(), pairs, traces, now, strict_precedence)).persist()
+        counts = merged.groupBy("category").agg((F.count_if(F.col("action") != "keep") + F.count_if("copied")).alias("n")).where("n > 0")
+        changed = {r.category: r.n for r in counts.collect()}  # a row a category
+        if changed:
+            # A table by category keeps the files of categories without a change.
+            touched = merged.where(F.col("category").isin(*changed))
+            table.replace(touched) if table.partition == "category" and not table.buckets else table.write(merged)
+        merged.unpersist()
     return {"changed": changed, "skipped": skipped}

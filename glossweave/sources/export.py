@@ -25,24 +25,58 @@ def dumps(value, escape_html: bool) -> str:
     return text
 
 
-def category_files(entries: DataFrame, categories: list[str] = CATEGORIES) -> DataFrame:
-    """(path, body): a flat and a full document of each category, keys sorted; a category without rows has empty ones.
+#: Characters of a piece of a category file, about.
+PIECE = 1 << 20
+
+
+def category_pieces(entries: DataFrame, categories: list[str] = CATEGORIES) -> DataFrame:
+    """(path, part, piece, body): a flat and a full document of each category in pieces, whose bodies make the file in the order of part and piece.
 
-    A file is one object, so each is written by one task from its category's rows.
+    Keys are sorted by their bytes; a category without rows has empty documents. Rows are dealt by ranges of their keys, so many tasks
+    write one file's pieces, each of bounded size. Every row begins with what parts it from the one before, so it only has to know
+    whether it is its field's first and its field the category's first, for which a row a field is joined.
     """
-    names = entries.sparkSession.createDataFrame([(c,) for c in categories], "category string")
-    rows = names.join(entries.select("category", "field", "jp_key", "cn_text", "source", "ids"), "category", "left")
+    spark = entries.sparkSession
+    rows = entries.where(F.col("category").isin(categories)).select("category", "field", "jp_key", "cn_text", "source", "ids")
+    first = rows.groupBy("category", "field").agg(F.min("jp_key").alias("first_key"))
+    lead = first.groupBy("category").agg(F.min("field").alias("first_field"))
+    rows = rows.join(first, ["category", "field"]).join(lead, "category")
+    rows = rows.withColumn("opens", (F.col("jp_key") == F.col("first_key")).cast("int") + ((F.col("jp_key") == F.col("first_key")) & (F.col("field") == F.col("first_field"))).cast("int"))
+    ordered = rows.drop("first_key", "first_field").repartitionByRange("category", "field", "jp_key").sortWithinPartitions("category", "field", "jp_key").withColumn("part", F.spark_partition_id().cast("long"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        category, flat, full, size, piece = None, [], [], 0, 0
 
-    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        flat: dict = {}
-        full: dict = {}
-        for r in pdf.dropna(subset=["field"]).sort_values(["field", "jp_key"], key=lambda s: s.map(lambda t: t.encode())).itertuples(index=False):
-            flat.setdefault(r.field, {})[r.jp_key] = r.cn_text
-            ids = {"ids": list(r.ids)} if r.ids is not None and len(r.ids) else {}
-            full.setdefault(r.field, {})[r.jp_key] = {"text": r.cn_text, "source": r.source} | ids
-        return pd.DataFrame({"path": [f"translation/{key[0]}.json", f"translation/{key[0]}.full.json"], "body": [dumps(flat, True), dumps(full, True)]})
+        def out() -> pd.DataFrame:
+            names = [f"translation/{category}.json", f"translation/{category}.full.json"]
+            return pd.DataFrame({"path": names, "part": part, "piece": piece, "body": ["".join(flat), "".join(full)]})
 
-    return rows.groupBy("category").applyInPandas(write, "path string, body string")
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if flat and (r.category != category or size >= PIECE):
+                    yield out()
+                    flat, full, size, piece = [], [], 0, piece + 1
+                category, part = r.category, r.part
+                ids = {"ids": list(r.ids)} if r.ids is not None and len(r.ids) else {}
+                before = ("{\n" if r.opens == 2 else "\n  },\n") + f"  {dumps(r.field, True)}: {{\n" if r.opens else ",\n"
+                key = f"    {dumps(r.jp_key, True)}: "
+                flat.append(before + key + dumps(r.cn_text, True))
+                full.append(before + key + dumps({"text": r.cn_text, "source": r.source} | ids, True).replace("\n", "\n    "))
+                size += len(full[-1])
+        if flat:
+            yield out()
+
+    kinds = "path string, part bigint, piece bigint, body string"
+    pieces = ordered.mapInPandas(write, kinds)
+    known = spark.createDataFrame([(c,) for c in categories], "category string")
+    both = lambda rows, part, body: rows.select(F.explode(F.array(F.format_string("translation/%s.json", "category"), F.format_string("translation/%s.full.json", "category"))).alias("path"), F.lit(part).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("piece"), F.lit(body).alias("body"))
+    return pieces.unionByName(both(lead, 2**62, "\n  }\n}")).unionByName(both(known.join(lead, "category", "left_anti"), 0, "{}"))
+
+
+def category_files(entries: DataFrame, categories: list[str] = CATEGORIES) -> DataFrame:
+    """(path, body): the documents of category_pieces() whole, for files that fit a row; write_files() takes the pieces of any."""
+    pieces = category_pieces(entries, categories).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "piece", "body"))).alias("p"))
+    return pieces.select("path", F.array_join("p.body", "").alias("body"))
 
 
 def story_files(ordered: DataFrame) -> DataFrame:
@@ -70,20 +104,51 @@ def assets(files: DataFrame, kept: DataFrame | None = None) -> DataFrame:
 
 
 def write_files(files: DataFrame, root: str) -> int:
-    """Each row's body as a file under root, a folder that all executors share; every file is whole or as it was. Number of files, counted by the tasks that write."""
-    import os
+    """Files under root from rows (path, body), or from pieces (path, part, piece, body) in their order. Number of files, counted by the tasks that write.
+
+    A task has all pieces of a file, sorted, and holds a batch of them at a time. A file is written under a name of its own and then
+    moved, so it is whole or as it was, also where a task runs twice. root is a folder or address that all executors reach: a path,
+    or what pyarrow's file systems know (hdfs:, s3:, gs:).
+    """
+    rows = files if "piece" in files.columns else files.withColumns({"part": F.lit(0).cast("bigint"), "piece": F.lit(0).cast("bigint")})
+    dealt = small_rows(rows.select("path", "part", "piece", "body")).repartition("path").sortWithinPartitions("path", "part", "piece").select("path", "body")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
+        import uuid
+
+        from pyarrow import fs as stores
+
+        store, top = stores.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (stores.LocalFileSystem(), root)
+        n, path, out, own = 0, None, None, None
+
+        def done() -> int:
+            if out is None:
+                return 0
+            out.close()
+            store.move(own, f"{top}/{path}")
+            return 1
+
         for b in batches:
             for name, body in zip(b.path, b.body, strict=True):
-                path = f"{root}/{name}"
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                part = f"{path}.{os.getpid()}.part"
-                with open(part, "w", encoding="utf-8", newline="") as out:
-                    out.write(body)
-                os.replace(part, path)  # a task that runs again replaces its own file
-                n += 1
+                if name != path:
+                    n += done()
+                    path, own = name, f"{top}/{name}.{uuid.uuid4().hex}.part"
+                    store.create_dir(own.rpartition("/")[0], recursive=True)
+                    out = store.open_output_stream(own)
+                out.write(body.encode())
+        n += done()
         yield pd.DataFrame({"n": [n]})
 
-    return files.select("path", "body").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return dealt.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+#: Rows of an Arrow batch where rows are whole documents or pieces of them.
+BATCH_ROWS = 100
+
+
+def small_rows(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches held to BATCH_ROWS rows from now on, as a batch of large rows has no other bound."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df

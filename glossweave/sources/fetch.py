@@ -30,36 +30,39 @@ def passing(error: Exception) -> bool:
 
 
 def first_good(get: Get, urls: list[str], delay: float = 2.0, again: float = 0.5):
-    """The first answer of the mirrors, as soon as it is there. The next one is asked after `delay` or a failure; a round of failures that may pass is tried once more.
+    """The first answer of the mirrors, as soon as it is there. The next one is asked after `delay` or a failure; those whose failure may pass are asked once more.
 
     Mirrors are asked by daemon threads, so one that hangs holds up neither the answer nor the end of the program.
     """
+    errors: list[Exception] = []
+    again_of = list(urls)
     for turn in (0, 1):
         answers: queue.SimpleQueue = queue.SimpleQueue()
 
         def ask(url: str, answers=answers) -> None:
             try:
-                answers.put((get(url), None))
+                answers.put((url, get(url), None))
             except Exception as e:  # any failure only means another mirror
-                answers.put((None, e))
+                answers.put((url, None, e))
 
-        errors: list[Exception] = []
-        todo, running = list(urls), 0
+        todo, running, again_of = again_of, 0, []
         while todo or running:
             if todo:
                 threading.Thread(target=ask, args=(todo.pop(0),), daemon=True).start()
                 running += 1
             try:
-                answer, error = answers.get(timeout=delay if todo else None)
+                url, answer, error = answers.get(timeout=delay if todo else None)
             except queue.Empty:
                 continue
             running -= 1
             if error is None:
                 return answer
             errors.append(error)
-        if turn or not errors or not all(map(passing, errors)):
-            raise RuntimeError("; ".join(map(str, errors)) or "no address")
+            again_of += [url] if passing(error) else []
+        if turn or not again_of:
+            break
         time.sleep(again)
+    raise RuntimeError("; ".join(map(str, errors)) or "no address")
 
 
 def first_complete(get: Get, urls: list[str], complete: Callable[[object], bool], again: float = 0.5):
@@ -96,6 +99,10 @@ def pause(told: str, now: float, interval: float) -> float:
     return min(wait, PAUSE_TOLD_MOST) if wait > 0 else min(max(2 * interval, PAUSE_LEAST), PAUSE_MOST)
 
 
+#: Fixed value: the member of a version document that tells the version.
+VERSION = "dataVersion"
+
+
 class TooMany(RuntimeError):
     """Too many requests; `after` is the answer's Retry-After value."""
 
@@ -107,8 +114,9 @@ class TooMany(RuntimeError):
 class VersionPoll:
     """A version document that is asked for on condition that it changed.
 
-    get(url, etag, modified) gives (body, etag, modified), body being None if nothing changed, or raises, TooMany among others. All mirrors
-    are asked at once and the first answer holds.
+    get(url, etag, modified) gives (body, etag, modified), body being None if nothing changed and else an object, or raises, TooMany
+    among others. All mirrors are asked at once and the first answer holds. An object without a data version, and an answer that
+    nothing changed where nothing is known, are failures of their mirror; only mirrors whose failure may pass are asked once more.
     """
 
     def __init__(self, get: Callable[[str, str, str], tuple], urls: list[str], interval: float = 3600.0):
@@ -118,7 +126,11 @@ class VersionPoll:
     def _ask(self, url: str):
         body, etag, modified = self.get(url, *self._kept.get(url, ("", "", None))[:2])
         if body is None:
+            if url not in self._kept:
+                raise ValueError(f"{url}: unchanged, but no version is known")
             body = self._kept[url][2]
+        elif not (isinstance(body, dict) and body.get(VERSION)):
+            raise ValueError(f"{url}: no {VERSION}")
         self._kept[url] = (etag, modified, body)
         return body
 

@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.arrays import ordered_keys
 from ..functions.text import id_of_file
 from ..model import CATEGORIES, UNKNOWN
+from .snapshot import SnapshotTable
 
+#: How published documents are nested, and in full_rows() the notation of values stored as strings.
 _FLAT = "map<string,map<string,string>>"
 _STORY = "struct<meta:struct<source:string,version:string,last_updated:bigint>,episodes:map<string,struct<scenarioId:string,title:string,titleSource:string,talkData:map<string,string>,talkSources:map<string,string>,talkOrder:array<string>,speakerNames:map<string,string>>>>"
 
 
-def stored(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
-    """A stored table, of one category if it is given; the table is partitioned by it, so others aren't read."""
-    rows = spark.read.parquet(path)
-    return rows if category is None else rows.where(F.col("category") == category)
+def stored(table: SnapshotTable, category: str | None = None) -> DataFrame:
+    """A stored table, of one category if it is given; where the table is partitioned by it, others aren't read."""
+    if category is None:
+        return table.read()
+    by_category = table.partition == "category" and not table.buckets
+    return table.read(parts=[f"p{category}"] if by_category else None).where(F.col("category") == category)
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(name, value): each file whole, under its name. Spark decodes .gz files itself."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+def documents(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """(name, value): each file whole, under its name; only those of some names if a glob is given. Spark decodes .gz files itself."""
+    return spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(F.col("_metadata.file_name").alias("name"), "value")
 
 
 def flat_rows(files: DataFrame) -> DataFrame:

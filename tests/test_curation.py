@@ -236,7 +236,7 @@ def test_resume(spark, tmp_path):
         list(fill.resumable(pending, step, 2))
     assert pending().count() == 2
     assert list(fill.resumable(pending, step, 2)) == [2]
-    assert pending().count() == 0 and table.version()[0] == 3
+    assert pending().count() == 0 and table.version() == 3
 
 
 def test_readers_and_exports(spark, tmp_path):
@@ -287,7 +287,7 @@ def test_sync_job(spark, tmp_path):
     target = {"events": docs(spark, {"id": 1, "name": "A"}), "mysekaiFixtureTags": docs(spark, {"id": 1, "name": "T"}), "mysekaiFixtures": docs(spark), "mysekaiFixtureMainGenres": docs(spark)}
     done = sync.sync(table, source, target, now=4)
     assert done["changed"] == {"events": 1, "mysekai": 4} and "cards" in done["skipped"]
-    assert {(r.field, r.jp_key): r.cn_text for r in readers.stored(spark, f"{tmp_path}/entries/data/{table.version()[1]}", "mysekai").collect()} == {("tag", "t"): "T", ("fixtureName", "x"): "", ("flavorText", "t"): "T"}
+    assert {(r.field, r.jp_key): r.cn_text for r in readers.stored(table, "mysekai").collect()} == {("tag", "t"): "T", ("fixtureName", "x"): "", ("flavorText", "t"): "T"}
     again = sync.sync(table, source, target, now=5)
     assert "events" not in again["changed"]
 
@@ -332,18 +332,16 @@ def test_gap_jobs(spark, tmp_path):
     heads.write(spark.createDataFrame([(99, "jp_pending", "1.0", 1)], model.STORIES))
     eps.write(spark.createDataFrame([(99, "1", "s", "", "", 0)], model.EPISODES))
     lines.write(spark.createDataFrame([(99, "1", f"k{i}", "", "unknown", "", i) for i in range(4)], model.LINES))
-    calls = []
 
-    def translate(texts):
-        calls.append(texts)
-        if len(calls) == 2:
+    def down(texts):
+        if "k2" in texts:
             raise OSError("down")
         return [t.upper() for t in texts]
 
-    with pytest.raises(OSError):
-        gaps.fill_story(heads, eps, lines, 99, translate, 2, size=2)
+    with pytest.raises(RuntimeError, match="OSError: down"):
+        gaps.fill_story(heads, eps, lines, 99, down, 2, size=2, wait=0)
     assert lines.read().where("cn_text = ''").count() == 2
-    assert gaps.fill_story(heads, eps, lines, 99, translate, 3, size=2) == 2
+    assert gaps.fill_story(heads, eps, lines, 99, lambda texts: [t.upper() for t in texts], 3, size=2) == 2
     assert heads.read().first().source == "llm" and lines.read().where("cn_text = ''").count() == 0
 
 
@@ -387,10 +385,10 @@ def test_version_poll():
         seen.append((url, etag))
         if url == "busy":
             raise fetch.TooMany("120")
-        return (None, "e1", "m") if etag == "e1" else ("v1", "e1", "m")
+        return (None, "e1", "m") if etag == "e1" else ({"dataVersion": "v1"}, "e1", "m")
 
     poll = fetch.VersionPoll(get, ["u", "u"], interval=10)
-    assert poll.fetch(0) == "v1" and poll.fetch(1) == "v1" and seen == [("u", ""), ("u", "e1")]
+    assert poll.fetch(0) == poll.fetch(1) == {"dataVersion": "v1"} and seen == [("u", ""), ("u", "e1")]
     busy = fetch.VersionPoll(get, ["busy"], interval=10)
     with pytest.raises(RuntimeError, match="429"):
         busy.fetch(100)
@@ -400,6 +398,24 @@ def test_version_poll():
     assert fetch.pause("", 0, 10) == 3600 and fetch.pause("", 0, 9000) == 18000 and fetch.pause("x", 0, 1e9) == 21600 and fetch.pause("9999999", 0, 1) == 86400
 
 
+def test_mirrors_whose_answer_is_no_version():
+    asked = []
+
+    def get(url, etag, modified):
+        asked.append(url)
+        if url == "shaky" and asked.count("shaky") == 1:
+            raise OSError("http 503")
+        return {"unknown": (None, "", ""), "bare": ({"appVersion": "1"}, "", ""), "shaky": ({"dataVersion": "2"}, "", "")}[url]
+
+    # Only the mirror whose failure may pass is asked again.
+    assert fetch.VersionPoll(get, ["unknown", "bare", "shaky"]).fetch(0) == {"dataVersion": "2"}
+    assert sorted(asked) == ["bare", "shaky", "shaky", "unknown"]
+    with pytest.raises(RuntimeError, match="no version is known"):
+        fetch.VersionPoll(get, ["unknown"]).fetch(0)
+    with pytest.raises(RuntimeError, match="no dataVersion"):
+        fetch.VersionPoll(get, ["bare"]).fetch(0)
+
+
 def test_breaker_and_digests(spark):
     breaker = fill.Breaker(60)
     assert breaker.closed(0) is None

@@ -103,3 +103,15 @@ def test_natural_order(spark):
     names = ["a10", "a2", "a02b", "b1", "a402", "a42"]
     got = [r.x for r in spark.createDataFrame([(n,) for n in names], "x string").orderBy(text.natural_key(F.col("x"))).collect()]
     assert got == ["a2", "a02b", "a10", "a42", "a402", "b1"]
+
+
+def test_natural_order_follows_the_unicode_collation(spark):
+    want = ["a", "A", "a2", "á2", "a10", "B", "e", "é", "z", "あ", "ア", "か2", "か10", "漢"]
+    got = [r.x for r in spark.createDataFrame([(n,) for n in reversed(want)], "x string").orderBy(text.natural_key(F.col("x"))).collect()]
+    assert got == want
+
+
+def test_links(spark):
+    rows = spark.createDataFrame([("cards", "f", ["3", "4"]), ("virtualLive", "f", ["5"]), ("characters", "f", ["6"]), ("eventStory", "77", None), ("skills", "f", ["1"]), ("music", "f", []), ("music", "f", None)], "c string, f string, ids array<string>")
+    got = [r.x for r in rows.select(text.link(F.col("c"), F.col("f"), F.col("ids"), "https://x/").alias("x")).collect()]
+    assert got == ["https://x/cards/3/", "https://x/live/5/", "https://x/character/6/", "https://x/eventstory/77/", None, None, None]
