@@ -1,11 +1,14 @@
 """Repeated passages: documents that share rare lines are aligned by patience diff, and common blocks go from the later one.
 
-Every rare line links its documents to the smallest doc_id that holds it. A linked pair is aligned once; a block of lines that
-follow each other in both, with enough words, is deleted from the later document. What one alignment of one pair can't see
-(moved or repeated blocks, passages of common lines only, a partner that no rare line names) is found exactly by windows: the
-shortest runs of enough words from each shared line on, and up to each one, cover every run of as many words, and of each the
-smallest document that holds it is known. So the lines that go are those in a run of lines with enough words that one
-earlier document holds as a run too, and no others. A line that thousands share makes no pairs, and each posting one row a document.
+Every shared line names the smallest document that holds it, and where. A document and one with which it shares a rare line are a
+pair; of a pair the lines that are unique in both are brought into the longest rising chain, each anchor of the chain grows along the
+lines that follow it in both, and blocks of enough words are deleted from the later document. A line sends one row, however many
+documents hold it, and the later document has all it needs to be aligned with each of its partners, so no document is sent to another.
+
+What an alignment can't see (blocks that moved, lines that a third document held first, passages that no rare line names) is left
+open, and lines are left open only there. For these, and for no others, windows find the rest exactly: the shortest runs of enough
+words from each shared line on, and up to each one, that hold an open line. So the lines that go are those in a run of lines with
+enough words that one earlier document holds as a run too, and no others.
 """
 
 from __future__ import annotations
@@ -23,19 +26,19 @@ from .common import cut, join_counted, small_batches, utf8
 
 #: Words of a run of common lines from which on it is deleted.
 MIN_WORDS = 30
-#: Documents that may hold a line that is rare enough to make pairs. Windows find exactly what commoner lines make up.
-RARE = 64
-#: Ranges within ranges that an alignment goes into, so that none takes long; windows find what is deeper.
-DEPTH = 40
+#: Times that a line may occur that is rare enough to make pairs. Windows find exactly what commoner lines make up.
+RARE = 4096
+#: Open lines that are broadcast, two numbers each; more of them are met by a shuffle.
+FEW = 50_000
 _KEY = "doc_id long, text_key long"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, at, h, g, words, n_lines): of each text's lines with words their places, two hashes and their word counts."""
+    """(doc_id, text_key, at, h, g, words, once, n_lines): of each text's lines with words their places, two hashes, word counts, and whether the text has them once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            at, h, g, words, n = [], [], [], [], []
+            at, h, g, words, once, n = [], [], [], [], [], []
             for text in utf8(b.text):
                 lines = text.split(b"\n")
                 full = [(i, line.strip()) for i, line in enumerate(lines) if line and not line.isspace()]
@@ -44,11 +47,13 @@ def _lines(docs: DataFrame) -> DataFrame:
                 h.append(both[:, 0])
                 g.append(both[:, 1])
                 words.append(np.array([len(line.split()) for _, line in full], np.int32))
+                _, of, many = np.unique(both[:, 0], return_inverse=True, return_counts=True)
+                once.append(many[of] == 1)
                 n.append(len(lines))
-            yield pd.DataFrame({"doc_id": b.doc_id, "text_key": b.text_key, "at": at, "h": h, "g": g, "words": words, "n_lines": n})
+            yield pd.DataFrame({"doc_id": b.doc_id, "text_key": b.text_key, "at": at, "h": h, "g": g, "words": words, "once": once, "n_lines": n})
 
     rows = small_batches(docs).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInPandas(run, f"{_KEY}, at array<int>, h array<long>, g array<long>, words array<int>, n_lines int")
+    return rows.mapInPandas(run, f"{_KEY}, at array<int>, h array<long>, g array<long>, words array<int>, once array<boolean>, n_lines int")
 
 
 def _runs(marked: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
@@ -81,116 +86,145 @@ def _windows(marked: np.ndarray, words: np.ndarray, least: int) -> list[tuple[in
     return sorted(out)
 
 
-def _anchors(a: list, b: list) -> list[tuple[int, int]]:
-    """The longest rising chain of lines that are unique in both."""
-    seen: dict = {}
-    for side, lines in enumerate((a, b)):
-        for i, x in enumerate(lines):
-            e = seen.setdefault(x, [0, 0, 0, 0])
-            e[side] += 1
-            e[2 + side] = i
-    pairs = sorted((e[2], e[3]) for e in seen.values() if e[0] == e[1] == 1)
+def chain(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of places (i, j) of equal lines, i rising: which make up the longest chain in which j rises too."""
     tops: list[int] = []
     ends: list[int] = []
     back: list[int] = []
-    for k, (_, j) in enumerate(pairs):
-        p = bisect_left(tops, j)
+    for k, at in enumerate(j.tolist()):
+        p = bisect_left(tops, at)
         back.append(ends[p - 1] if p else -1)
-        tops[p : p + 1] = [j]
+        tops[p : p + 1] = [at]
         ends[p : p + 1] = [k]
-    chain, k = [], ends[-1] if ends else -1
+    out, k = np.zeros(len(j), bool), ends[-1] if ends else -1
     while k >= 0:
-        chain.append(pairs[k])
+        out[k] = True
         k = back[k]
-    return chain[::-1]
-
-
-def patience(a: list, b: list, depth: int = DEPTH) -> list[tuple[int, int]]:
-    """Aligned places of equal lines of a and b, both rising: common ends first, then between anchors, range by range."""
-    found: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b), depth)]
-    while todo:
-        a0, a1, b0, b1, left = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            found.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            found.append((a1, b1))
-        if a0 == a1 or b0 == b1 or not left:
-            continue
-        at_a, at_b = a0, b0
-        chain = [(a0 + i, b0 + j) for i, j in _anchors(a[a0:a1], b[b0:b1])]
-        for i, j in [*chain, (a1, b1)] if chain else []:
-            todo.append((at_a, i, at_b, j, left - 1))
-            at_a, at_b = i, j  # the anchor itself starts the next range
-    return sorted(found)
-
-
-def common_blocks(later: list, earlier: list, words: np.ndarray, least: int) -> list[int]:
-    """The lines of `later` in aligned blocks, lines that follow each other in both texts, of at least so many words."""
-    out: list[int] = []
-    block: list[tuple[int, int]] = []
-    for i, j in [*patience(later, earlier), (-1, -1)]:
-        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
-            lines = [k for k, _ in block]
-            if int(words[lines].sum()) >= least:
-                out += lines
-            block = []
-        block.append((i, j))
     return out
 
 
+def patience(i: np.ndarray, j: np.ndarray, unique: np.ndarray) -> np.ndarray:
+    """Which pairs of equal lines of two documents, (i, j) with i rising, a patience diff aligns; unique: lines that both have once.
+
+    Anchors are the longest chain of unique lines; each grows along pairs whose lines follow each other in both documents.
+    """
+    anchor = np.zeros(len(i), bool)
+    at = np.flatnonzero(unique)
+    anchor[at[chain(i[at], j[at])]] = True
+    run = np.cumsum(np.concatenate(([1], (np.diff(i) != 1) | (np.diff(j) != 1))))[: len(i)]
+    return np.isin(run, run[anchor])
+
+
+def common_blocks(i: np.ndarray, j: np.ndarray, unique: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Lines of the later document in aligned blocks, which follow each other in both documents, of at least so many words; words: of each pair's line."""
+    aligned = patience(i, j, unique)
+    i, j, words = i[aligned], j[aligned], words[aligned]
+    if not len(i):
+        return i
+    block = np.cumsum(np.concatenate(([0], (np.diff(i) != 1) | (np.diff(j) != 1))))
+    return i[np.bincount(block, words)[block] >= least]
+
+
 def _shared(tokens: DataFrame) -> DataFrame:
     """The tokens (t, u, doc_id, ...) that more than one doc_id holds, with the smallest of these as `earlier`."""
     first = tokens.groupBy("t", "u").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
     return join_counted(tokens, cut(first.where("earlier < last").drop("last")), ["t", "u"], "df")
 
 
-def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, keep array<boolean>, removed_words): for each text that loses lines, which of its lines stay."""
-    seqs = cut(_lines(docs))
-    tokens = seqs.select("doc_id", "text_key", F.posexplode(F.arrays_zip("h", "g")).alias("i", "x")).select("doc_id", "text_key", "i", F.col("x.h").alias("t"), F.col("x.g").alias("u"))
-    seen = _shared(tokens).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("i", "earlier", (F.col("df") <= RARE).alias("rare"))).alias("seen"))
+def _settle(min_words: int):
+    """Of each text, with its shared lines: those that alignments delete, and those that may have to go but that none settles."""
 
-    def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hits, left, t, u, df = [], [], [], [], []
+            for words, h, g, i, e, ekey, ei, once, n in zip(b.words, b.h, b.g, b.i, b.e, b.ekey, b.ei, b.once, b.df, strict=True):
+                words, order = np.asarray(words), np.argsort(i)
+                i, e, ekey, ei, once, n = (np.asarray(x)[order] for x in (i, e, ekey, ei, once, n))
+                later = np.zeros(len(words), bool)
+                later[i] = True
+                open_ = _runs(later, words, min_words)  # nothing else can be in a block
+                found = [np.zeros(0, np.int64)]
+                if open_.any():
+                    partner = np.unique(np.stack((e, ekey)), axis=1, return_inverse=True)[1].ravel()
+                    rare = np.bincount(partner, (n <= RARE) & open_[i]) > 0
+                    by = np.argsort(partner, kind="stable")  # of each partner its pairs, in the order of the text
+                    for of in np.split(by, np.cumsum(np.bincount(partner))[:-1]):
+                        if rare[partner[of[0]]]:
+                            found.append(common_blocks(i[of], ei[of], once[of], words[i[of]], min_words))
+                hit = np.unique(np.concatenate(found))
+                open_[hit] = False
+                rest = np.flatnonzero(open_)
+                many = np.zeros(len(words), np.int64)
+                many[i] = n
+                hits.append(hit.astype(np.int32))
+                left.append(rest.astype(np.int32))
+                t.append(np.asarray(h)[rest])
+                u.append(np.asarray(g)[rest])
+                df.append(many[rest])
+            yield pd.DataFrame({"doc_id": b.doc_id, "text_key": b.text_key, "hit": hits, "open": left, "t": t, "u": u, "df": df})
+
+    return settle
+
+
+def _posted(min_words: int):
+    """Windows of shared lines that hold an open one, of each text that has such a line."""
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, runs = [], []
-            for d, key, words, h, g, seen_at in zip(b.doc_id, b.text_key, b.words, b.h, b.g, b.seen, strict=True):
-                words = np.asarray(words)
-                shared, later = np.zeros(len(words), bool), np.zeros(len(words), bool)
-                shared[[s["i"] for s in seen_at]] = True
-                later[[s["i"] for s in seen_at if s["earlier"] < d]] = True
-                long = _runs(later, words, min_words)
-                out += [(d, key, e, None, None) for e in {s["earlier"] for s in seen_at if s["rare"] and s["earlier"] < d and long[s["i"]]}]
-                runs += [b""] * (len(out) - len(runs))
+            for d, key, words, h, g, at in zip(b.doc_id, b.text_key, b.words, b.h, b.g, b.wanted, strict=True):
+                words, at = np.asarray(words), np.asarray(at, np.int64)
+                total = np.concatenate(([0], np.cumsum(words)))
+                # The lines that a shortest run of enough words around an open line can reach.
+                edge = np.zeros(len(words) + 1, np.int64)
+                np.add.at(edge, np.searchsorted(total, total[at] - min_words, "right"), 1)
+                np.add.at(edge, np.minimum(np.searchsorted(total, total[at] + min_words), len(words)), -1)
+                held = np.concatenate(([0], np.cumsum(np.isin(np.arange(len(words)), at))))
                 both = np.stack((h, g), axis=1).tobytes()
-                for a, z in _windows(shared, words, min_words):
-                    out.append((d, key, None, a, z))
-                    runs.append(both[16 * a : 16 * z])
+                for a, z in _windows(np.cumsum(edge)[:-1] > 0, words, min_words):
+                    if held[z] > held[a]:
+                        out.append((d, key, a, z))
+                        runs.append(both[16 * a : 16 * z])
             if out:
-                rows = pd.DataFrame(out, columns=["doc_id", "text_key", "earlier", "a", "z"]).astype({"earlier": "Int64", "a": "Int32", "z": "Int32"})
+                rows = pd.DataFrame(out, columns=["doc_id", "text_key", "a", "z"])
                 rows[["t", "u"]] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, runs)), "<i8").reshape(-1, 2)
                 yield rows
 
-    # Of each text its partners, and the windows of its shared lines, also where it is the earliest to hold them.
-    met = seqs.select("doc_id", "text_key", "words", "h", "g").join(seen, ["doc_id", "text_key"])
-    met = cut(met.mapInPandas(partners, f"{_KEY}, earlier long, a int, z int, t long, u long"))
-    pairs = met.where("earlier is not null").select("doc_id", "text_key", "earlier").distinct()
-    windows = _shared(met.where("earlier is null").select("doc_id", "text_key", "a", "z", "t", "u")).where("earlier < doc_id")
-    windows = windows.select("doc_id", "text_key", F.sequence("a", F.col("z") - 1).alias("hit"))
-    before = seqs.select(F.col("doc_id").alias("earlier"), F.col("h").alias("eh"), F.col("g").alias("eg"))
+    return post
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hit = [common_blocks(list(zip(h, g, strict=True)), list(zip(eh, eg, strict=True)), np.asarray(w), min_words) for h, g, w, eh, eg in zip(b.h, b.g, b.words, b.eh, b.eg, strict=True)]
-            yield pd.DataFrame({"doc_id": b.doc_id, "text_key": b.text_key, "hit": hit})
 
-    # A document is in at most RARE pairs as the earlier one for each of its lines.
-    own = seqs.select("doc_id", "text_key", "h", "g", "words").dropDuplicates(["doc_id", "text_key"])
-    hits = pairs.join(own, ["doc_id", "text_key"]).join(before, "earlier").select("doc_id", "text_key", "h", "g", "words", "eh", "eg").mapInPandas(align, f"{_KEY}, hit array<int>")
-    # At most as many rows as the text has lines, and windows from and up to each line.
-    hits = hits.union(windows).groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"))
+def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, keep array<boolean>, removed_words): for each text that loses lines, which of its lines stay."""
+    own = cut(_lines(docs))
+    key = ["doc_id", "text_key"]
+    if not own.groupBy(*key).count().where("count > 1").isEmpty():
+        own = cut(own.dropDuplicates(key))  # equal texts of one doc_id lose the same lines
+    line = F.posexplode(F.arrays_zip("h", "g", "once")).alias("i", "x")
+    tokens = own.select("doc_id", "text_key", line).select("doc_id", "text_key", "i", F.col("x.once").alias("once"), F.col("x.h").alias("t"), F.col("x.g").alias("u"))
+    # Each line's smallest document, and its place there.
+    first = tokens.groupBy("t", "u").agg(F.min(F.struct("doc_id", "text_key", "i", "once")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
+    first = first.where("first.doc_id < last").select("t", "u", "df", F.col("first.doc_id").alias("e"), F.col("first.text_key").alias("ekey"), F.col("first.i").alias("ei"), F.col("first.once").alias("eonce"))
+    met = join_counted(tokens, cut(first), ["t", "u"], "df").select("doc_id", "text_key", "i", "e", "ekey", "ei", (F.col("once") & F.col("eonce")).alias("once"), "df")
+    seen = cut(met.where("e < doc_id").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("i", "e", "ekey", "ei", "once", "df")).alias("m")))
+    lists = [F.col(f"m.{c}").alias(c) for c in ("i", "e", "ekey", "ei", "once", "df")]
+    pairs = own.select("doc_id", "text_key", "words", "h", "g").join(seen, key).select("doc_id", "text_key", "words", "h", "g", *lists)
+    settled = cut(pairs.mapInPandas(_settle(min_words), f"{_KEY}, hit array<int>, open array<int>, t array<long>, u array<long>, df array<long>"))
+    hits = settled.where(F.size("hit") > 0).select("doc_id", "text_key", "hit")
+
+    wanted = cut(settled.select(F.explode(F.arrays_zip("t", "u", "df")).alias("x")).select("x.*").distinct())
+    if n := wanted.count():
+        shared = own.select("doc_id", "text_key", F.posexplode(F.arrays_zip("h", "g")).alias("i", "x")).select("doc_id", "text_key", "i", F.col("x.h").alias("t"), F.col("x.g").alias("u"))
+        if n <= FEW:
+            held = shared.join(F.broadcast(wanted.select("t", "u")), ["t", "u"], "left_semi")
+        else:
+            held = join_counted(shared, wanted, ["t", "u"], "df")
+        held = held.groupBy("doc_id", "text_key").agg(F.collect_set("i").alias("wanted"))
+        near = own.select("doc_id", "text_key", "words", "h", "g").join(held, key)
+        posted = near.mapInPandas(_posted(min_words), f"{_KEY}, a int, z int, t long, u long")
+        windows = _shared(cut(posted)).where("earlier < doc_id")
+        hits = hits.unionByName(windows.select("doc_id", "text_key", F.sequence("a", F.col("z") - 1).alias("hit")))
+    # At most as many rows as the text has open lines, and windows from and up to each line, beside what was aligned.
+    hits = hits.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -203,7 +237,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 lost.append(int(np.asarray(words)[gone].sum()))
             yield pd.DataFrame({"doc_id": b.doc_id, "text_key": b.text_key, "keep": keep, "removed_words": lost})
 
-    chosen = seqs.select("doc_id", "text_key", "at", "words", "n_lines").dropDuplicates(["doc_id", "text_key"]).join(hits, ["doc_id", "text_key"])
+    chosen = own.select("doc_id", "text_key", "at", "words", "n_lines").join(hits, key)
     return cut(chosen.mapInPandas(decide, f"{_KEY}, keep array<boolean>, removed_words long").where("removed_words > 0"))
 
 

@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from glossweave.llm import attention_lm, bpe, common, decontam, licenses, line_crf, line_dedup, near_dup, queries, url_rules
 
@@ -386,14 +387,27 @@ def test_quality_on_held_out_labels(spark):
     assert both.score.between(0, 1).all()
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
-def test_patience_aligns_equal_lines_in_order(a, b):
-    found = line_dedup.patience(a, b)
-    assert all(a[i] == b[j] for i, j in found)
-    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:], strict=False))
-    if a == b:
-        assert len(found) == len(a)
+def _pairs(a, b):
+    """Of each line of a that b has: its place, b's first one, and whether both have it once."""
+    return tuple(np.array(x, int) for x in zip(*[(i, b.index(x), a.count(x) == 1 == b.count(x)) for i, x in enumerate(a) if x in b], strict=True)) or (np.zeros(0, int),) * 3
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=14), st.lists(st.integers(0, 12), max_size=14))
+def test_patience_aligns_unique_lines_in_order_and_what_follows_them(a, b):
+    i, j, unique = _pairs(a, b)
+    aligned = line_dedup.patience(i, j, unique == 1)
+    at = j[unique == 1].tolist()
+    longest: list = []  # of the chain that ends at each unique line
+    for k, q in enumerate(at):
+        longest.append(1 + max((n for n, r in zip(longest, at[:k], strict=True) if r < q), default=0))
+    assert line_dedup.chain(i[unique == 1], j[unique == 1]).sum() == max(longest, default=0) <= (aligned & (unique == 1)).sum()
+    for p, q in zip(i[aligned], j[aligned], strict=True):
+        assert a[p] == b[q]
+        near = {(p + k, q + k) for k in range(-14, 15)} & set(zip(i.tolist(), j.tolist(), strict=True))
+        assert any(u for p2, q2, u in zip(i, j, unique, strict=True) if (p2, q2) in near)
+    if a == b and len(set(a)) == len(a):
+        assert aligned.all()
 
 
 def _without_repeats(texts, least):
@@ -440,11 +454,59 @@ def test_lines_of_several_documents_make_no_common_block(spark):
 def test_alignment_of_turned_lines_takes_little_time():
     import time
 
-    lines = list(range(40_000))
+    n = np.arange(40_000)
     began = time.process_time()
-    assert line_dedup.common_blocks(lines[::-1], lines, np.full(len(lines), 12), 30) == []
+    assert not len(line_dedup.common_blocks(n, n[::-1], n >= 0, np.full(len(n), 12), 30))
     assert time.process_time() - began < 5
-    assert line_dedup.common_blocks(["x", *lines], ["y", *lines], np.full(len(lines) + 1, 12), 30) == list(range(1, len(lines) + 1))
+    assert line_dedup.common_blocks(n + 1, n + 1, n >= 0, np.full(len(n), 12), 30).tolist() == (n + 1).tolist()
+
+
+def _passages():
+    line = lambda name, k: " ".join(f"{name}{k}w{i}" for i in range(12))
+    texts = {}
+    for d in range(1, 31):
+        own = [line(f"own{d}x", k) for k in range(4)]
+        first = texts.get(d - 10) if d <= 20 else texts.get(d - 20)
+        texts[d] = [*own, *([*first[1:4], own[0] + " again", *first[5:9]] if first and d % 3 else [line(f"new{d}x", k) for k in range(9)]), "", f"end of {d}"]
+    return texts
+
+
+def test_alignment_decides_and_windows_get_what_it_leaves_open(spark, monkeypatch):
+    """Passages in their order are settled by alignment alone; without it everything would be left to windows."""
+    texts = _passages()
+    rows = spark.createDataFrame([(d, "\n".join(x)) for d, x in texts.items()], "doc_id long, text string")
+    want, posted = _without_repeats(texts, line_dedup.MIN_WORDS), []
+    cut = line_dedup.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["doc_id", "text_key", "a", "z", "t", "u"]:
+            posted.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    assert {r.doc.doc_id: r.new_text for r in line_dedup.dedup_lines(rows).collect()} == want
+    assert posted == [] and sum(len(w) < len("\n".join(texts[d])) for d, w in want.items()) > 10
+    # What moved is left open, and found by windows of the lines around it only.
+    moved = {**texts, 40: [*texts[1][3:6], "a line between", *texts[1][0:3]], 41: [*texts[2][2:8]]}
+    rows = spark.createDataFrame([(d, "\n".join(x)) for d, x in moved.items()], "doc_id long, text string")
+    assert {r.doc.doc_id: r.new_text for r in line_dedup.dedup_lines(rows).collect()} == _without_repeats(moved, line_dedup.MIN_WORDS)
+    assert len(posted) == 1 and 0 < posted[0] < 60
+    monkeypatch.setattr(line_dedup, "RARE", 0)
+    posted.clear()
+    rows = spark.createDataFrame([(d, "\n".join(x)) for d, x in texts.items()], "doc_id long, text string")
+    assert {r.doc.doc_id: r.new_text for r in line_dedup.dedup_lines(rows).collect()} == want
+    assert posted[0] > 100
+
+
+def test_a_long_document_whose_lines_many_share_costs_linear_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    lines = [" ".join(f"{k}w{i}" for i in range(31)) for k in range(3000)]
+    texts = [(0, "\n".join(lines))] + [(d, "\n".join([f"own {d}", *(lines[k] for k in rng.sample(range(3000), 5))])) for d in range(1, 400)]
+    sizes, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df: (lambda out: (sizes.append(out.select(F.sum(F.size("m"))).first()[0]) if "m" in out.columns else None, out)[1])(cut(df)))
+    got = {r.doc.doc_id: r.removed_words for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {0: 0} | {d: 5 * 31 for d in range(1, 400)} and sizes == [399 * 5]
 
 
 def test_repeated_passages_go_from_later_documents(spark):
