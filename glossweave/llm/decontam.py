@@ -24,9 +24,17 @@ Q, SEGMENT, STEP, EDITS = 10, 120, 60, 0.08
 FINE, FINE_STEP = 60, 10
 #: Shorter items must be there whole, without edits, and not as parts of longer words.
 MIN_CHARS = 40
-#: Characters of benchmark items whose index is broadcast at once; a larger benchmark is searched in several passes.
-PASS_CHARS = 4_000_000
+#: Characters of benchmark items whose index is broadcast at once; a larger benchmark is searched in several passes. Each one's index
+#: has some six postings a character, of 14 bytes and as much again for its keys.
+PASS_CHARS = 750_000
+#: Characters that repeat after one to PERIOD others are left out, whole periods at a time, from KEEP of them in a row on: rules of
+#: dashes, dots, blanks or table marks. Else each q-gram of such a text would meet each of such a segment.
+PERIOD, KEEP = 8, 32
 _CHUNK = 400_000
+#: Shared q-grams of a chunk from which on parts that a text repeats are left out, and that are counted at once.
+_MANY = 500_000
+#: Characters around a place that hold any match it is in.
+_AROUND = 256
 _BITS = 24
 _GAP = 0x10FFFF  # no text holds this; it parts texts from each other
 
@@ -40,6 +48,37 @@ def plain(text: str) -> np.ndarray:
     return np.where((code <= 32) | (code == 0xA0) | (code == 0x3000), np.uint32(32), code)
 
 
+def _repeats(code: np.ndarray) -> bool:
+    """Whether a run of KEEP repeating characters may be there: every eighth place is looked at, at lags that periods up to 8 divide."""
+    for lag in (7, 8, 10, 12):
+        same = code[lag::8] == code[: len(code) - lag : 8] if len(code) > lag else np.zeros(0, bool)
+        if len(same) > 2 and (same[:-2] & same[1:-1] & same[2:]).any():
+            return True
+    return False
+
+
+def squeezed(code: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """(code, place): a text without the rest of its long runs of repeating characters, and where its characters were; None if all stay."""
+    place = None
+    if not _repeats(code):
+        return code, place
+    for p in range(1, PERIOD + 1):
+        if len(code) <= p + KEEP:
+            break
+        edge = np.diff((code[p:] == code[:-p]).astype(np.int8), prepend=0, append=0)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        gone = np.maximum(last - first - KEEP, 0) // p * p
+        if not gone.any():
+            continue
+        out = np.zeros(len(code) + 1, np.int64)
+        np.add.at(out, last + p - gone, 1)
+        np.add.at(out, last + p, -1)
+        keep = np.cumsum(out)[:-1] == 0
+        place = np.flatnonzero(keep) if place is None else place[keep]
+        code = code[keep]
+    return code, place
+
+
 def grams(code: np.ndarray) -> np.ndarray:
     """A hash of each run of Q = 10 code points: 2, 4, 8 and then 10 of them at a time."""
     base = np.uint64(0x9E3779B97F4A7C15)
@@ -71,7 +110,7 @@ class Index:
         self.item, self.code, gram, segment, offset = [], [], [], [], []
         self.short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
         for item, text in items:
-            code = plain(text)
+            code = squeezed(plain(text))[0]
             if len(code) < MIN_CHARS:
                 own = np.flatnonzero(code != 32)
                 code = code[own[0] : own[-1] + 1] if len(own) else code[:0]
@@ -86,46 +125,81 @@ class Index:
             for at, length in parts:
                 part = code[at : at + length]
                 g = grams(part)
-                segment.append(np.full(len(g), len(self.item)))
-                offset.append(np.arange(len(g)))
+                segment.append(np.full(len(g), len(self.item), np.int32))
+                offset.append(np.arange(len(g), dtype=np.int16))
                 gram.append(g)
                 self.item.append(item)
                 self.code.append(part)
         size = np.array([len(c) for c in self.code], np.int64)
         self.size = size
+        self.items = sorted(set(self.item))
+        of = {x: k for k, x in enumerate(self.items)}
+        self.number = np.array([of[x] for x in self.item], np.int64)
         self.edits = np.minimum((size * EDITS).astype(np.int64), (size - Q) // Q)
         self.least = size - Q + 1 - Q * self.edits
-        gram, segment, offset = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, segment, offset))
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.segment, self.offset = gram[order].astype(np.uint64), segment[order], offset[order]
-        self.key, self.first, self.many = np.unique(self.gram, return_index=True, return_counts=True)
+        gram, segment, offset = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((gram, np.uint64), (segment, np.int32), (offset, np.int16)))
+        order = np.argsort(gram, kind="stable").astype(np.int32)
+        gram, self.segment, self.offset = gram[order], segment[order], offset[order]
+        del order
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1])))
+        self.key, self.first, self.many = gram[first], first.astype(np.int32), np.diff(first, append=len(gram)).astype(np.int32)
+        del gram
         self.bits = np.zeros(1 << (_BITS - 3), np.uint8)
         slot = mix(self.key) >> np.uint64(64 - _BITS)
         np.bitwise_or.at(self.bits, slot >> np.uint64(3), (1 << (slot & np.uint64(7))).astype(np.uint8))
 
-    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, segment, offset) of q-grams of the text that segments hold."""
+    def places(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, key) of q-grams of the text that segments hold."""
         g = grams(code)
         slot = mix(g) >> np.uint64(64 - _BITS)
         at = np.flatnonzero((self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
         k = np.minimum(np.searchsorted(self.key, g[at]), max(len(self.key) - 1, 0))
         same = self.key[k] == g[at] if len(self.key) else np.zeros(0, bool)
-        at, k = at[same], k[same]
-        n = self.many[k]
-        post = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        return np.repeat(at, n), self.segment[post], self.offset[post]
-
-    def regions(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, lowest diagonal) of the bands with enough shared q-grams."""
-        place, segment, offset = self.hits(code)
+        return at[same], k[same]
+
+    def regions(self, code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(segment, lowest diagonal) of the bands with enough shared q-grams; owner: the text of each place, as several may follow each other.
+
+        Of parts that a text repeats, all around a place included, the first is enough: its match is no worse and comes first.
+        """
+        at, k = self.places(code)
+        if int(self.many[k].sum(dtype=np.int64)) > _MANY:
+            h = np.concatenate((np.full(_AROUND, _GAP), code, np.full(_AROUND, _GAP))).astype(np.uint64)
+            size = 1
+            while size < 2 * _AROUND:
+                h = mix(mix(h[:-size] + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15) + h[size:])
+                size *= 2
+            first = np.sort(np.unique(mix(h[at]) ^ mix(owner[at].astype(np.uint64) + np.uint64(1)), return_index=True)[1])
+            at, k = at[first], k[first]
+        segments, lows = [], []
+        begin, total = 0, np.concatenate(([0], np.cumsum(self.many[k], dtype=np.int64)))
+        while begin < len(at):  # some at a time; two parts overlap by as much as a match can need
+            end = max(int(np.searchsorted(total, total[begin] + _MANY)), begin + 1)
+            end = max(end, int(np.searchsorted(at, at[begin] + 3 * _AROUND)))
+            s, low = self._bands(len(code), at[begin:end], k[begin:end])
+            segments.append(s)
+            lows.append(low)
+            if end < len(at) and at[end] - at[end - 1] <= _AROUND:
+                begin = int(np.searchsorted(at, at[end - 1] - _AROUND))
+            else:
+                begin = end
+        if len(segments) < 2:
+            return (segments[0], lows[0]) if segments else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        both = np.unique(np.stack((np.concatenate(segments), np.concatenate(lows))), axis=1)
+        return both[0], both[1]
+
+    def _bands(self, length: int, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.many[k].astype(np.int64)
+        post = np.repeat(self.first[k].astype(np.int64) - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        place, segment, offset = np.repeat(at, n), self.segment[post].astype(np.int64), self.offset[post].astype(np.int64)
         width = 2 * (self.edits[segment] + 1)
         diagonal = place - offset + SEGMENT  # not negative
-        span = np.int64(len(code) + 4 * SEGMENT)
+        span = np.int64(length + 4 * SEGMENT)
         found = []
         for shift in (0, 1):
             band = (diagonal + shift * width // 2) // width
             # A q-gram of the segment counts once in a band, however often the text repeats it.
-            own = np.unique(np.stack((segment * span + band, offset)), axis=1)[0] if len(band) else band
+            own = np.unique((segment * span + band) * np.int64(SEGMENT) + offset) // SEGMENT
             key, n = np.unique(own, return_counts=True)
             s = key // span
             ok = n >= self.least[s] if len(key) else np.zeros(0, bool)
@@ -170,10 +244,12 @@ class Index:
         out: list[list] = [[] for _ in texts]
         first = 0
         while first < len(texts) and (len(self.key) or self.short):
-            codes, total, last = [], 0, first
+            codes, places, total, last = [], [], 0, first
             while last < len(texts) and (not codes or total < _CHUNK):
-                codes.append(plain(texts[last] or ""))
-                total += len(codes[-1])
+                code, place = squeezed(plain(texts[last] or ""))
+                codes.append(code)
+                places.append(place)
+                total += len(code)
                 last += 1
             gap = np.full(SEGMENT, _GAP, np.uint32)
             code = np.concatenate([x for c in codes for x in (c, gap)])
@@ -181,14 +257,24 @@ class Index:
             for item, a, z in self.whole(code):
                 t = int(np.searchsorted(starts, a, side="right")) - 1
                 out[first + t].append((0, int(a - starts[t]), int(z - starts[t]), item))
-            segment, low = self.regions(code) if len(self.key) else ((), ())
+            owner = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) + SEGMENT for c in codes])
+            segment, low = self.regions(code, owner) if len(self.key) else ((), ())
             if len(segment):
                 edits, end = self.align(code, segment, low)
-                for s, e, n in zip(segment, end, edits, strict=True):
-                    if n <= self.edits[s]:
-                        t = int(np.searchsorted(starts, e - 1, side="right")) - 1
-                        stop = min(int(e - starts[t]), len(codes[t]))
-                        out[first + t].append((int(n), max(0, stop - int(self.size[s])), stop, int(self.item[s])))
+                ok = edits <= self.edits[segment]
+                segment, n, end = segment[ok], edits[ok], end[ok]
+                t = np.searchsorted(starts, end - 1, side="right") - 1
+                stop = np.minimum(end - starts[t], np.array([len(c) for c in codes])[t])
+                begin = np.maximum(0, stop - self.size[segment])
+                item = self.number[segment]
+                order = np.lexsort((-stop, begin, n, item, t))  # of each text and item the best comes first
+                lead = order[np.concatenate((np.ones(min(1, len(order)), bool), (np.diff(t[order]) != 0) | (np.diff(item[order]) != 0)))]
+                for k in lead.tolist():
+                    out[first + int(t[k])].append((int(n[k]), int(begin[k]), int(stop[k]), self.items[item[k]]))
+            for t, place in enumerate(places):
+                if place is not None:  # back to where it was in the text
+                    place = np.append(place, len(texts[first + t])).tolist()
+                    out[first + t] = [(n, place[a], place[z - 1] + 1 if z > a else place[a], item) for n, a, z, item in out[first + t]]
             first = last
         kept = []
         for found in out:
@@ -230,7 +316,7 @@ def _finder(spark: SparkSession, items: list[tuple[int, str]]):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, edits): benchmark items of which a document holds a segment, with its place in the text.
 
-    Null or empty texts hold none; null or blank items are not searched, and items under MIN_CHARS are found whole only. Repeated rows each give their matches; equal item
+    Null or empty texts hold none; long runs of a few repeating characters are alike whatever their length; null or blank items are not searched, and items under MIN_CHARS are found whole only. Repeated rows each give their matches; equal item
     rows count once. Without items the result is empty.
     """
     found, docs = None, small_batches(docs)

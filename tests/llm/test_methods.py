@@ -130,6 +130,87 @@ def test_short_items_are_found_whole_and_exactly():
     assert found[0] == [(1, 12, 25, 0)]
 
 
+def _semiglobal(pattern, text):
+    """Fewest edits between a pattern and any part of a text, by plain dynamic programming."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_leaks_against_all_edits_of_all_segments(monkeypatch):
+    """Neither more nor fewer: an item is found where some segment of it is within its budget of some part of the text."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 6)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(13, 40)))[: rng.randint(45, 150)]) for i in range(8)]
+    index = decontam.Index(items)
+    texts = []
+    for _ in range(40):
+        _, text = rng.choice(items)
+        a = rng.randrange(max(1, len(text) - 70))
+        part = text[a : a + rng.randint(60, 130)]
+        texts.append(f"{word()} {_edit(rng, part, rng.randint(0, 7))} {' '.join(word() for _ in range(6))}")
+    found = index.search(texts)
+    monkeypatch.setattr(decontam, "_MANY", 20)  # counted in parts
+    assert index.search(texts) == found
+    near = 0
+    for text, got in zip(texts, found, strict=True):
+        want = set()
+        for s, item in enumerate(index.item):
+            if item not in want and _semiglobal("".join(map(chr, index.code[s])), text) <= index.edits[s]:
+                want.add(item)
+        assert {f[0] for f in got} == want
+        near += bool(want)
+    assert 10 < near < 40
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("ab-= ", min_size=1, max_size=9), st.integers(1, 60)), max_size=6))
+def test_long_repeats_are_squeezed_by_whole_periods(parts):
+    text = "".join(unit * n for unit, n in parts)
+    code = decontam.plain(text)
+    got, place = decontam.squeezed(code)
+    if place is None:
+        assert got is code
+    else:
+        assert (code[place] == got).all() and (np.diff(place) > 0).all() and len(got) < len(code)
+    if parts and len(parts[0][0]) == 1:
+        unit = parts[0][0]
+        sizes = {len(decontam.squeezed(decontam.plain(unit * n))[0]) for n in (100, 1000, 12345)}
+        assert len(sizes) == 1 and sizes.pop() <= decontam.KEEP + decontam.PERIOD
+
+
+@pytest.mark.parametrize("unit", ["-", "- ", "=-*", " . .", "| --- ", "ab cd ef", "a line of some length that comes again\n"])
+def test_texts_of_repeating_characters_take_little_time(unit):
+    import time
+
+    words = "some words of an item that stand before the rule and are telling enough on their own"
+    index = decontam.Index([(1, (unit * 200)[:200]), (2, f"{words} {(unit * 100)[:100]} and some that come after it, as many or a few more"), (3, "- " * 90 + "-" * 90)])
+    began = time.process_time()
+    found = index.search([unit * (1_000_000 // len(unit)), f"{words} {unit * (4000 // len(unit))} and some that come after it", "no such text " * 9])
+    assert time.process_time() - began < 2
+    assert 1 in {f[0] for f in found[0]} and 2 in {f[0] for f in found[1]} and found[2] == []
+    item, a, z, _ = next(f for f in found[1] if f[0] == 2)
+    assert 0 <= a < z <= len(words) + 4040 + len(unit)
+
+
+def test_a_benchmark_in_several_passes(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(12)] + [(50, "an exact short one")]
+    docs = [(d, f"{word()} {items[d % 13][1]} {word()} {items[(d * 5) % 13][1]}") for d in range(20)] + [(99, None), (98, "nothing here")]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    once = sorted(map(tuple, decontam.leaks(docs, bench).collect()))
+    assert len({i for _, i, *_ in once}) == 13
+    monkeypatch.setattr(decontam, "PASS_CHARS", 300)
+    assert len(list(decontam._indexes(bench))) > 4
+    assert sorted(map(tuple, decontam.leaks(docs, bench).collect())) == once
+    assert {r.doc_id for r in decontam.without_leaks(docs, bench).collect()} == {98, 99}
+
+
 def test_leaks_query_holds_every_whole_item(spark, sf_dir, duck):
     want = set(map(tuple, duck.execute("select doc_id, item_id from documents d join benchmark b on contains(replace(lower(d.text), chr(10), ' '), replace(lower(b.text), chr(10), ' '))").fetchall()))
     got = {(r.doc_id, r.item_id) for r in queries.op2_decontam(spark, sf_dir).collect()}
