@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_bucket, small_batches, utf8, word_hashes
+from .common import chunks, crc_bucket, cut, small_batches, utf8, word_hashes
 
-#: Labelled rows that the field is fitted on at most, and the longest text among them.
-FIT_ROWS, FIT_CHARS = 2000, 100_000
+#: Labelled rows that the field is fitted on at most, the longest text among them in characters and lines, and lines of all of them
+#: together. Features are 47 numbers a line, so the driver holds some 150 MB at most.
+FIT_ROWS, FIT_CHARS, FIT_LINES, FIT_ALL_LINES = 2000, 100_000, 500, 200_000
 #: A document is kept from this score on.
 KEEP_FROM = 0.3
 ROUNDS, STEPS, RATE, SHRINK = 3, 80, 0.1, 1e-3
@@ -176,13 +177,19 @@ def score_texts(f: Field, texts: list[bytes]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = FIT_ROWS) -> Field:
     """Fit on labelled documents whose crc32(doc_id) isn't 0 modulo folds: at most `rows` of them, in the order of a hash.
 
-    The sample's features are made by tasks and gathered: at most `rows` texts of FIT_CHARS characters. Null ids, texts and
-    labels take no part. Without labels of both kinds, every text with words scores the share of good labels (1 if none).
+    The sample's features are made by tasks and gathered: at most `rows` texts of FIT_CHARS characters and FIT_LINES lines, as many
+    as have FIT_ALL_LINES lines together. Of several texts of one id the one with the least hash counts, and the others never leave
+    their tasks. Null ids, texts and labels take no part. Without labels of both kinds, every text with words scores the share of good labels (1 if none).
     """
     wanted = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), folds) != 0))
     wanted = wanted.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = small_batches(docs).select("doc_id", "text").where(F.length("text").between(1, FIT_CHARS))
-    sample = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "quality", "text")
+    n_lines = 1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    texts = small_batches(docs).select("doc_id", "text").where(F.length("text").between(1, FIT_CHARS) & (n_lines <= FIT_LINES))
+    sample = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))
+    sample = cut(sample.select("doc_id", "quality", F.col("m.text").alias("text")))
+    sizes = sample.select("doc_id", F.xxhash64("doc_id").alias("h"), n_lines.alias("n")).orderBy("h", "doc_id").collect()  # at most `rows`
+    total = np.cumsum([r.n for r in sizes])
+    sample = sample.where(F.col("doc_id").isin([r.doc_id for r, t in zip(sizes, total, strict=True) if t <= FIT_ALL_LINES]))
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -192,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = FIT_RO
                 cuts = ends[:-1]
                 yield pd.DataFrame({"doc_id": b.doc_id.iloc[lo:hi], "quality": b.quality.iloc[lo:hi], "x": [v.astype("f4").tobytes() for v in np.split(x, cuts)], "n": [v.astype("f8").tobytes() for v in np.split(n, cuts)]})
 
-    found = sample.mapInPandas(prepare, "doc_id long, quality int, x binary, n binary").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    found = sample.mapInPandas(prepare, "doc_id long, quality int, x binary, n binary").toPandas().sort_values("doc_id", kind="stable")
     y = found.quality.to_numpy(int) if len(found) else np.ones(0, int)
     width = 3 * N_OWN + 2
     if len(set(y)) < 2:

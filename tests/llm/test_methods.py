@@ -459,6 +459,36 @@ def test_forward_backward_against_all_labelings():
     assert np.allclose(p, want) and np.allclose(pairs, seen)
 
 
+def test_the_fit_is_bounded_whatever_is_labelled(spark):
+    """A labelled text of many lines is not fitted on, and copies of one id neither gather on the driver nor change the fit."""
+    import time
+
+    from glossweave.llm.common import crc_bucket
+
+    ids = [r.i for r in spark.range(60).select(F.col("id").alias("i"), crc_bucket(F.col("id"), 5).alias("c")).where("c <> 0").collect()]
+    rows = [(i, "A good line of words, as they are.\nAnd one more of them." if i % 2 else "@@ ## $$ 11\n|| == 99 !!") for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    line_crf.train(plain, labels)  # what starts at first use
+    want = line_crf.train(plain.where(F.col("doc_id") != ids[0]), labels)
+    copies = spark.range(100_000).select(F.lit(ids[1]).alias("doc_id"), F.lit(dict(rows)[ids[1]]).alias("text"))
+    hard = plain.where(F.col("doc_id") != ids[0]).union(spark.createDataFrame([(ids[0], "\n" * 99_999)], "doc_id long, text string")).union(copies)
+    began = time.monotonic()
+    got = line_crf.train(hard, labels)
+    assert time.monotonic() - began < 10
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.moves, want.moves)
+    assert (line_crf.FIT_ROWS, line_crf.FIT_LINES) == (2000, 500)
+
+
+def test_no_more_lines_than_stated_are_fitted_on(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(line_crf, "FIT_ALL_LINES", 25)
+    monkeypatch.setattr(line_crf, "fit", lambda x, n, ends, y: fitted.append((len(x), len(ends))))
+    docs = spark.createDataFrame([(i, "a\nb\nc") for i in range(1, 60)], "doc_id long, text string")
+    line_crf.train(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int"))
+    assert fitted == [(24, 8)]
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op9_line_crf(spark, d).where("held_out").toPandas()
