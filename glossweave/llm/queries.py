@@ -146,9 +146,9 @@ select w.doc_id, coalesce(n.n, 0) n_shingles, r.component_id, w.doc_id = r.compo
 from w left join n using (doc_id) join (select doc_id, min(other) component_id from reach group by doc_id) r using (doc_id)""",
     "op6_warc": """
 with p as (select page_id, sha256(coalesce(html, '')) payload_digest, cast(octet_length(encode(coalesce(html, ''))) as bigint) payload_bytes from pages),
-f as (select payload_digest, min(page_id) first_id from p group by payload_digest)
+f as (select *, row_number() over (partition by payload_digest order by page_id) r, min(page_id) over (partition by payload_digest) first_id from p)
 select page_id, payload_bytes, payload_digest,
-  case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end record_type,
-  case when payload_bytes >= 100 and page_id <> first_id then first_id end refers_to
-from p join f using (payload_digest)""",
+  case when payload_bytes >= 100 and r > 1 then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= 100 and r > 1 then first_id end refers_to
+from f""",
 }

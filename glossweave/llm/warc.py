@@ -39,7 +39,7 @@ def _records(pages: DataFrame, min_bytes: int) -> DataFrame:
     # Equal digests must come from equal bytes: length and a hash of another family agree, else the job stops.
     sound = (F.col("low") == F.col("high")) & (F.col("least") == F.col("most"))
     first = first.select("digest", "n", F.when(F.coalesce(sound, F.lit(True)), F.col("first")).otherwise(F.raise_error(F.concat(F.lit("different payloads share digest "), "digest"))).alias("first"))
-    again = (F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    again = (F.col("bytes") >= min_bytes) & (F.col("id") != F.col("first.id"))
     return join_counted(rows, cut(first), ["digest"], "n").withColumn("record_type", F.when(again, "revisit").otherwise("response"))
 
 
@@ -68,7 +68,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
     """(headers, payloads) of pages (page_id, url, html), written as tables under path.
 
     date is that of the records, as 2024-01-31T12:00:00Z; by default, now. A null html is an empty payload, a null url an empty
-    target. Every row has a record with an id of its own; rows of equal page_id and html are records of one type. A null page_id
+    target. Every row has a record with an id of its own; of rows of equal page_id and html one answers for the others too. A null page_id
     sorts after all others, so it answers only where no other page has its payload. No pages: empty tables.
     """
     when = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
