@@ -1,5 +1,7 @@
 """Registered queries against their SQL, and what every operator does with odd input."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -202,3 +204,31 @@ def test_vectors_of_odd_kinds(spark):
         best = sorted((-sum(a * b for a, b in zip(v[q], v[o], strict=True)), o) for o in v if o != q)
         want += [(q, i, o, -s) for i, (s, o) in enumerate(best[:5], 1)]
     assert got == want
+
+
+def test_the_pipeline_takes_odd_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, blank and repeated rows and columns named as stages name theirs, through all stages; and no rows at all."""
+    import corpus_pipeline
+
+    def prose(d):
+        rng = random.Random(d)
+        word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+        return "\n".join(" ".join(word() for _ in range(12)).capitalize() + "." for _ in range(6))
+
+    kinds = DOCS + ", doc string, keep boolean, hit long, token string, id long, found string"
+    row = lambda i, t: (i, t, None, "web", None if t is None else len(t), "clash", None, 3, None, 4, "x")
+    rows = [row(i, prose(i)) for i in range(1, 30)] + [row(None, prose(77)), row(40, None), row(41, ""), row(42, " \n\t"), row(5, prose(5)), row(43, prose(5)), row(44, "y" * 200_000), row(45, "words " * 60_000)]
+    labels = [(i, i % 3 > 0) for i in range(1, 30)] + [(None, True), (40, None), (5, True)]
+    for name, docs, marks, items in (("odd", rows, labels, [(1, None), (None, "no id"), (2, prose(7)[:300]), (2, prose(7)[:300])]), ("none", [], [], [])):
+        spark.createDataFrame(docs, kinds).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, None if q is None else int(q), 0) for i, q in marks], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    current = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    columns = current.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, current, f"{tmp_path}/odd").write.parquet(f"{tmp_path}/stage{k}")
+        current = spark.read.parquet(f"{tmp_path}/stage{k}")
+        assert current.columns == columns or k == 4
+    kept = {r.doc_id for r in current.collect()}
+    assert 7 not in kept and 43 not in kept and kept >= {1, 2, 3, None}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
