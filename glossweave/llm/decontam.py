@@ -49,10 +49,17 @@ def plain(text: str) -> np.ndarray:
 
 
 def _repeats(code: np.ndarray) -> bool:
-    """Whether a run of KEEP repeating characters may be there: every eighth place is looked at, at lags that periods up to 8 divide."""
+    """Whether a run of KEEP repeating characters is there: every eighth place is looked at, at lags that periods up to 8 divide, and all places between three that fit."""
     for lag in (7, 8, 10, 12):
-        same = code[lag::8] == code[: len(code) - lag : 8] if len(code) > lag else np.zeros(0, bool)
-        if len(same) > 2 and (same[:-2] & same[1:-1] & same[2:]).any():
+        if len(code) < KEEP:
+            break
+        same = code[lag::8] == code[: len(code) - lag : 8]
+        at = 8 * np.flatnonzero(same[:-2] & same[1:-1] & same[2:])
+        for k in range(1, 16):
+            if not len(at):
+                break
+            at = at[code[at + k + lag] == code[at + k]]
+        if len(at):
             return True
     return False
 
