@@ -126,6 +126,21 @@ def q_walk_stories(spark, sf_dir):
     return t.stories.read().select("event_id", "source").join(first, "event_id")
 
 
+def _turned(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
+    """Scenarios of both roles of a conversation, whose lines come in the opposite order."""
+    talk = F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("at"), F.expr(body).alias("Body"))))
+    rows = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("event_id"), F.col("role").alias("episode_no")).agg(talk.alias("TalkData"))
+    return rows.select("event_id", "episode_no", F.parse_json(F.to_json(F.struct("TalkData"))).alias("doc"))
+
+
+@query(f"""with {_STORIES} select event_id, episode_no, jp_key, row_number() over (partition by event_id, episode_no order by position desc) - 1 as position from ln""")
+def q_reorder_job(spark, sf_dir):
+    """All stored lines in the order of a source edition that says them from last to first."""
+    t = _story_tables(spark, sf_dir, "event_id", 4)
+    jobs.reorder_stories(t, _turned(spark, sf_dir, "concat('t', cast(turn as string))"))
+    return t.lines.read().select("event_id", "episode_no", "jp_key", F.col("position").cast("bigint").alias("position"))
+
+
 # --- streams
 
 

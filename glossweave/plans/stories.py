@@ -162,12 +162,14 @@ def source_order(source_scenarios: DataFrame, lines: DataFrame) -> DataFrame:
     return known.groupBy("event_id", "episode_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "jp_key"))), lambda x: x["jp_key"]).alias("keys"))
 
 
-def reorder_stories(tables: Tables, source_scenarios: DataFrame, event_ids: list[int]) -> int:
-    """Put the lines of some stories into the order of the source edition; what it doesn't say comes last. Episodes reordered."""
+def reorder_stories(tables: Tables, source_scenarios: DataFrame, event_ids: list[int] | None = None) -> int:
+    """Put the lines of some stories, or of all that have scenarios, into the order of the source edition; what it doesn't say comes last. Episodes reordered."""
     with tables.lock("reorder stories"):
-        parts = tables.lines.parts_of(source_scenarios.sparkSession.createDataFrame([(i,) for i in event_ids], "event_id bigint"))
+        if event_ids is not None:
+            source_scenarios = source_scenarios.where(F.col("event_id").isin(event_ids))
+        parts = tables.lines.parts_of(source_scenarios.select("event_id").distinct())
         lines = tables.lines.read(parts=parts)
-        wanted = source_order(source_scenarios.where(F.col("event_id").isin(event_ids)), lines).persist()
+        wanted = source_order(source_scenarios, lines).persist()
         n = wanted.count()
         if n:
             tables.lines.replace(story.reorder_lines(lines, wanted), parts)

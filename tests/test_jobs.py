@@ -426,3 +426,28 @@ def test_a_folder_is_imported_with_a_report(spark, tmp_path):
     assert {r.event_id: r.source for r in tables.stories.read().collect()} == {1: "jp_pending", 2: "jp_pending", 5: "cn"}
     with pytest.raises(ValueError, match="no category document"):
         imports.import_folder(entries, tables, spark, f"{top}/eventStory", 9)
+
+
+def test_the_sync_job_reads_through_the_source(spark, tmp_path):
+    """Both editions' documents come from a transport, once each; a category whose document is lost is skipped."""
+    from glossweave.plans import sync
+    from glossweave.sources import transport
+
+    asked = f"{tmp_path}/asked"
+    there = {"source/events": [{"id": 1, "name": "a"}, "x", {"id": 2, "name": "b"}], "target/events": [{"id": 1, "name": "A"}], "source/skills": [{"id": 1, "description": "d"}]}
+
+    def get(url):
+        with open(asked, "a") as out:
+            out.write(url + "\n")
+        if url not in there:
+            raise OSError("http 404")
+        return json.dumps(there[url])
+
+    spark.dataSource.register(transport.source("sync_test", get, again=0))
+    landing = transport.Landing(spark, "sync_test", f"{tmp_path}/landed")
+    editions = [landing.editions({n: [f"{edition}/{n}"] for n in ("events", "skills", "virtualLives")}) for edition in ("source", "target")]
+    table = SnapshotTable(spark, f"{tmp_path}/e", model.ENTRIES, "category")
+    done = sync.sync(table, *editions, now=4)
+    assert done["changed"] == {"events": 2} and {"skills", "virtualLive"} <= set(done["skipped"])
+    assert {r.jp_key: (r.cn_text, r.ids) for r in table.read().collect()} == {"a": ("A", ["1"]), "b": ("", ["2"])}
+    assert sorted(open(asked).read().split()) == sorted(f"{e}/{n}" for e in ("source", "target") for n in ("events", "skills", "virtualLives"))
