@@ -19,18 +19,19 @@ def _text_sql(column: str, rule: str) -> str:
 
 
 def _other_sql(column: str) -> str:
-    """The other edition's text: it lacks small parts, and repeats some texts."""
+    """The other edition's text: it repeats some texts."""
     return f"case when p_size % 7 = 0 then {column} else upper({column}) || '-' || cast(p_size as string) end"
 
 
 def _documents(part: DataFrame, s: extract.Source, other: bool) -> DataFrame:
     key = "concat('u', cast(p_partkey as string))" if s.text_key else "cast(if(p_partkey % 3 = 0, 0, p_partkey) as bigint)" if s.spare_key else "cast(p_partkey as bigint)"
+    if other:  # small parts have keys of their own there
+        key = f"if(p_size > 10, {key}, " + ("concat('moved', cast(p_partkey as string)))" if s.text_key else "cast(p_partkey + 1000000000 as bigint))")
     cells = {s.key: key} | {member: _other_sql(c) if other else _text_sql(c, rule) for (_, member, rule), c in zip(s.fields, _COLUMNS, strict=False)}
-    cells |= {s.spare_key: "cast(p_partkey * 2 as bigint)"} if s.spare_key else {}
+    cells |= {s.spare_key: "cast(if(p_size > 10, p_partkey * 2, p_partkey + 2000000000) as bigint)" if other else "cast(p_partkey * 2 as bigint)"} if s.spare_key else {}
     cells |= {s.needs: "if(p_partkey % 4 = 0, '', 'x')"} if s.needs else {}
-    rows = part.where("p_size > 10") if other else part
     doc = F.parse_json(F.to_json(F.struct(*(F.expr(sql).alias(name) for name, sql in cells.items()))))
-    return rows.select((F.col("p_partkey").cast("bigint") - 1).alias("ord"), doc.alias("doc"))
+    return part.select((F.col("p_partkey").cast("bigint") - 1).alias("ord"), doc.alias("doc"))
 
 
 def _extract_sql(category: str) -> str:
@@ -70,11 +71,14 @@ for _category in extract.SPECS:
     query(_extract_sql(_category))(_extract(_category))
 
 
-@query(f"""with {_ENTRIES} select category, field, jp_key, case when edited then 'edit ' || jp_key else cn_text end cn_text, case when edited then 'human' else source end source,
-case when not edited then 'keep' when cn_text = 'edit ' || jp_key and source = 'human' then 'noop' else 'ok' end as action from (select *, p_partkey % 5 < 2 edited from e)""")
+@query(f"""with {_ENTRIES}, d as (select category, field, case when source = 'llm' then 'new ' else '' end || jp_key k, 'edit ' || jp_key t, 'human' s from e)
+select e.category, e.field, e.jp_key, coalesce(t, cn_text) cn_text, coalesce(s, source) source, case when k is null then 'keep' when cn_text = t and source = s then 'noop' else 'ok' end as action from e left join d on d.category = e.category and d.field = e.field and d.k = e.jp_key
+union all select category, field, k, t, s, 'ok' from d where k not in (select jp_key from e)""")
 def q_edit_merge(spark, sf_dir):
+    """Every entry edited, machine texts under a new key."""
     e = _entries(spark, sf_dir)
-    edits = e.where(F.col("ids")[0].cast("bigint") % 5 < 2).select("category", "field", "jp_key", F.concat(F.lit("edit "), F.col("jp_key")).alias("cn_text"), F.lit("human").alias("source"), F.lit("editor").alias("updated_by"))
+    key = F.concat(F.when(F.col("source") == "llm", "new ").otherwise(""), "jp_key").alias("jp_key")
+    edits = e.select("category", "field", key, F.concat(F.lit("edit "), F.col("jp_key")).alias("cn_text"), F.lit("human").alias("source"), F.lit("editor").alias("updated_by"))
     return merge.edit_merge(e, edits, 5).select("category", "field", "jp_key", "cn_text", "source", "action")
 
 
