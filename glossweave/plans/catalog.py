@@ -99,9 +99,10 @@ def q_category_info(spark, sf_dir):
 
 @query("""select lang, string_agg(source || '=' || n, ';' order by source) sources from (select lang, source, count(*) n from documents group by all) group by lang""")
 def q_field_nested(spark, sf_dir):
-    n = read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    rows = n.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("s"))
-    return rows.select("lang", F.array_join(F.transform("s", lambda s: F.concat(s["source"], F.lit("="), s["n"].cast("string"))), ";").alias("sources"))
+    rows = read(spark, sf_dir, "documents").select(F.col("lang").alias("category"), F.col("source").alias("field"), F.lit("cn").alias("source"))
+    langs = [r.category for r in rows.select("category").distinct().collect()]  # a row a language
+    info = rollup.category_info(rows, langs)
+    return info.select(F.col("category").alias("lang"), F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit("="), f["total"].cast("string"))), ";").alias("sources"))
 
 
 @query("""select max(o_orderkey) max_id, max(case when o_orderstatus = 'F' then o_orderkey end) latest_f, min(case when o_orderstatus = 'P' then o_orderkey end) first_p from orders""")
@@ -126,8 +127,9 @@ def q_correlated_counts(spark, sf_dir):
 
 @query("select o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderstatus = 'O' and o_orderpriority = '1-URGENT'")
 def q_entry_filter(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT"))
-    return o.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    category = F.when(F.col("o_orderstatus") == "O", "cards").otherwise("events")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", category.alias("category"), F.col("o_orderpriority").alias("field"))
+    return entry_ops.select_entries(rows, "cards", "1-URGENT").select("o_orderkey", "o_orderstatus", F.col("field").alias("o_orderpriority"))
 
 
 @query(f"with {_ENTRIES} select category, field, jp_key, cn_text, source from e where category = 'cards' and field = 'Brand#11' and source = 'cn'")
@@ -171,27 +173,40 @@ def q_rank_order(spark, sf_dir):
 
 @query("""select distinct doc_id from (select doc_id from labels where toxic = 1 union select doc_id from documents where lang = 'fr')""")
 def q_preserve_union(spark, sf_dir):
-    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return toxic.union(read(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id")).distinct()
+    """Documents as stories: toxic ones have a line, French ones a title that a person edited."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    ids = docs.select("doc_id").union(labels.select("doc_id")).distinct()
+    stories = ids.select(F.col("doc_id").alias("event_id"), F.lit("cn").alias("source"))
+    titles = docs.select(F.col("doc_id").alias("event_id"), F.when(F.col("lang") == "fr", "human").otherwise("cn").alias("title_source"))
+    lines = labels.select(F.col("doc_id").alias("event_id"), F.when(F.col("toxic") == 1, "pinned").otherwise("cn").alias("source"))
+    return rollup.sync_states(stories, titles, lines).where("preserve").select(F.col("event_id").alias("doc_id"))
 
 
 @query("select doc_id, lang from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def q_semi(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    """Documents that a label touches, as stories that a person edited."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("lang").alias("source"))
+    labelled = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("event_id"), F.lit("human").alias("source"))
+    none = docs.select("event_id", F.lit("cn").alias("title_source"))
+    return rollup.sync_states(docs, none, labelled).where("preserve").select(F.col("event_id").alias("doc_id"), F.col("source").alias("lang"))
 
 
 @query("select doc_id, lang from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def q_anti(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    """Documents that no label touches."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("lang").alias("source"))
+    labelled = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("event_id"), F.lit("human").alias("source"))
+    none = docs.select("event_id", F.lit("cn").alias("title_source"))
+    return rollup.sync_states(docs, none, labelled).where("not preserve").select(F.col("event_id").alias("doc_id"), F.col("source").alias("lang"))
 
 
 @query("""with a as (select p_name, p_brand, max(p_type) t from part group by all)
 select f.p_name, t.t from a t join a f on t.p_name = f.p_name where t.p_brand = 'Brand#11' and f.p_brand = 'Brand#12' and not (t.t = '' and t.p_brand = '') and t.t <> f.t""")
 def q_tag_copy(spark, sf_dir):
-    a = read(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.max("p_type").alias("t"))
-    tag = a.where("p_brand = 'Brand#11' and not (t = '' and p_brand = '')").select("p_name", "t")
-    other = a.where("p_brand = 'Brand#12'").select("p_name", F.col("t").alias("u"))
-    return tag.join(other, "p_name").where("t <> u").select("p_name", "t")
+    """Types of one brand's parts copied onto the parts of equal name of another."""
+    a = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("field"), F.col("p_name").alias("jp_key")).agg(F.max("p_type").alias("cn_text"))
+    more = {"category": F.lit("parts"), "source": F.lit("cn"), "ids": F.array().cast("array<string>"), "updated_at": F.lit(0).cast("bigint"), "updated_by": F.lit("x"), "action": F.lit("keep")}
+    return merge.copy_field(a.withColumns(more), "parts", "Brand#11", "Brand#12").where("copied").select(F.col("jp_key").alias("p_name"), F.col("cn_text").alias("t"))
 
 
 @query("""select u.conv_id, cast(u.p as bigint) p, u.text a, b.text t
@@ -235,8 +250,12 @@ def q_diff(spark, sf_dir):
 
 @query("select conv_id, string_agg(role, ',' order by turn) roles from conversations group by conv_id")
 def q_ordered_lines(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("s"))
-    return rows.select("conv_id", F.array_join("s.role", ",").alias("roles"))
+    c = read(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "event_id")
+    stories, episode = c.select("event_id").distinct(), F.lit("1").alias("episode_no")
+    episodes = stories.select("event_id", episode, F.lit("s").alias("scenario_id"), F.lit("").alias("title"), F.lit("").alias("title_source"), F.lit(0).alias("position"))
+    lines = c.select("event_id", episode, F.col("role").alias("jp_key"), F.lit("").alias("cn_text"), F.lit("").alias("source"), F.lit("").alias("speaker_name"), F.col("turn").cast("int").alias("position"))
+    nested = story.ordered_detail(stories, episodes, lines)
+    return nested.select(F.col("event_id").alias("conv_id"), F.array_join(F.col("episodes")[0]["talk"]["jp_key"], ",").alias("roles"))
 
 
 @query("""select conv_id, turn, cast(row_number() over (partition by conv_id order by case when role = 'assistant' then 0 else 1 end, turn) - 1 as bigint) p from conversations""")
