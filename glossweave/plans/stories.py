@@ -224,6 +224,7 @@ def walk_stories(tables: Tables, source_list: DataFrame, target_list: DataFrame,
             if ids:
                 got, folders = landed(ids, ["source", "target"])
                 episodes, lines, made, failures = official(got)
+                episodes, lines = episodes.persist(), lines.persist()  # a wave is small, and its scenarios are stored
                 built = {r.event_id: r for r in made.collect()}  # a row for each id of the wave
                 told = {r.event_id: r.error for r in failures.groupBy("event_id").agg(F.min("error").alias("error")).collect()}
             found = []
@@ -243,6 +244,9 @@ def walk_stories(tables: Tables, source_list: DataFrame, target_list: DataFrame,
             if found:
                 newest = max(newest, *found)
                 put(found, OFFICIAL, episodes, lines)
+            if ids:
+                episodes.unpersist()
+                lines.unpersist()
             for f in folders:
                 delete(spark, f)
             lock.renew()
@@ -255,10 +259,13 @@ def walk_stories(tables: Tables, source_list: DataFrame, target_list: DataFrame,
             ids, after = [r.event_id for r in rows], rows[-1].event_id
             got, folders = landed(ids, ["source"])
             episodes, lines, failures = pending(got)
+            episodes, lines = episodes.persist(), lines.persist()
             some = [r.event_id for r in episodes.select("event_id").distinct().collect()]  # ids of the wave
             errors += [r.error for r in failures.where(F.col("event_id").isin(some)).groupBy("event_id").agg(F.min("error").alias("error")).collect()]
             if some:
                 put(some, PENDING, episodes, lines)
+            episodes.unpersist()
+            lines.unpersist()
             for f in folders:
                 delete(spark, f)
             lock.renew()
