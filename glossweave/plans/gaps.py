@@ -50,6 +50,7 @@ def fill_entries(table: SnapshotTable, translate: fill.Translate, now: int, limi
         plan, folder = _planned(table, todo.withColumn("group_no", F.xxhash64("category", "field")).withColumn("jp", F.col("jp_key")))
         outcome, run = waves.ask_all(plan, log, translate, waves.Settings(tries, wait), breaker=breaker(table), publish=publish, stage="entries", each_wave=lock.renew)
         came = log.read()
+        table.restart()  # what others committed meanwhile stays, and is no conflict
         entries = table.read()
         wanted = came.join(fill.candidates(entries), ENTRY_KEY, "left_semi")
         parts = table.parts_of(wanted)
@@ -73,7 +74,12 @@ def _pending(stories: SnapshotTable, episodes: SnapshotTable, lines: SnapshotTab
 
 
 def _put(stories: SnapshotTable, episodes: SnapshotTable, lines: SnapshotTable, answers: DataFrame, now: int) -> None:
-    """Put answers where a text is still missing, and say of these stories whether anything is left; only their partitions are written."""
+    """Put answers where a text is still missing, and say of these stories whether anything is left; only their partitions are written.
+
+    Tables are read anew, so what others committed while the service was asked stays, and is no conflict.
+    """
+    for t in (stories, episodes, lines):
+        t.restart()
     ids = answers.select("event_id").distinct()
     parts = {t: t.parts_of(ids) for t in (stories, episodes, lines)}
     if not parts[lines]:

@@ -60,6 +60,10 @@ class SnapshotTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
+    def restart(self) -> None:
+        """Forget what was read: the next write works on what is read from now on."""
+        self._base = None
+
     def parts_of(self, keys: DataFrame) -> list[str]:
         """Names of the partitions that rows with the partition's column would be in."""
         if self.partition is None:

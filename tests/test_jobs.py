@@ -221,6 +221,20 @@ def test_progress_rises_while_a_job_runs(spark, tmp_path):
     assert told[-1][-1] > told[0][-1]
 
 
+def test_an_edit_that_came_while_a_fill_ran_stays(spark, tmp_path):
+    tables = _tables(spark, tmp_path, 2, 3)
+    other, edited = SnapshotTable(spark, f"{tmp_path}/l", model.LINES, "event_id"), []
+
+    def edit(*_):
+        if not edited:
+            at = F.col("jp_key") == "k1.1"
+            other.replace(other.read(parts=["p1"]).withColumns({"cn_text": F.when(at, "by hand").otherwise(F.col("cn_text")), "source": F.when(at, "human").otherwise(F.col("source"))}))
+            edited.append(1)
+
+    gaps.fill_stories(tables.stories, tables.episodes, tables.lines, Service(tmp_path / "asked"), 5, publish=edit)
+    assert {r.jp_key: (r.cn_text, r.source) for r in tables.lines.read().where("event_id = 1").collect()} == {"k1.0": ("K1.0", "llm"), "k1.1": ("by hand", "human"), "k1.2": ("K1.2", "llm")}
+
+
 def test_a_locked_table_is_not_filled(spark, tmp_path):
     tables = _tables(spark, tmp_path, 1, 1)
     with tables.lock("sync stories"), pytest.raises(commits.Busy, match="sync stories is running"):
