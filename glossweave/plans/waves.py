@@ -1,7 +1,7 @@
 """Calls of a service that is paid for and can't be repeated: in waves of batches, each logged for good before the next wave begins.
 
-A plan lists what to ask for in numbered batches of groups (a story, a field). A wave takes the next batches of some groups, a task
-for each group; a group's batches go one after the other and end with its first failure. Every task's answers are a file of the log
+A plan lists what to ask for in numbered batches of groups (a story, a field). A wave takes the next batches of some groups, whole
+groups in a task; a group's batches go one after the other and end with its first failure. Every task's answers are a file of the log
 as soon as the task ends, so a run that dies loses the calls of running tasks at most, and a run after it asks only for the rest.
 """
 
@@ -152,18 +152,41 @@ class Outcome:
     paused: str = ""
 
 
+#: Groups that one task asks for at most, so that a run that dies loses no more than these, and tasks of a wave whose groups are few.
+GROUPS_OF_TASK, TASKS_A_CORE = 256, 4
+
+
 def _asker(translate: fill.Translate, names: list[str], settings: Settings, done):
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for k, (_, batch) in enumerate(pdf.sort_values(["batch_no", "item_no"]).groupby("batch_no", sort=True)):
-            if k and settings.delay:
-                time.sleep(settings.delay)
-            got, error = fill.call(translate, batch["jp"].tolist(), settings.tries, settings.wait)
-            out.append(batch[names].assign(cn_text=[t.strip() for t in got], error=error))
-            if error:
-                break  # the rest of this group waits for another run
-            done.add(len(batch))
-        return pd.concat(out)
+    """Of a task's rows in the order of group, batch and item: answers, batch by batch, so that no group is held whole."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, last, failed = None, None, None  # rows of a batch that may go on, the group that was asked for last, the group that failed
+
+        def answers(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+            nonlocal last, failed
+            at, texts, errors, group, jp = [], [], [], rows["group_no"].tolist(), rows["jp"].tolist()
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if group[lo] == failed:
+                    continue  # the rest of this group waits for another run
+                if group[lo] == last and settings.delay:
+                    time.sleep(settings.delay)
+                got, error = fill.call(translate, jp[lo:hi], settings.tries, settings.wait)
+                last, failed = group[lo], group[lo] if error else failed
+                at += range(lo, hi)
+                texts += [t.strip() for t in got]
+                errors += [error] * (hi - lo)
+                if not error:
+                    done.add(hi - lo)
+            return rows.iloc[at][names].assign(cn_text=pd.Series(texts, dtype=object).to_numpy(), error=pd.Series(errors, dtype=object).to_numpy())
+
+        for frame in frames:
+            rows = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            new = (rows[["group_no", "batch_no"]] != rows[["group_no", "batch_no"]].shift()).any(axis=1)
+            cuts = [0, *(i for i in new.to_numpy().nonzero()[0].tolist() if i)]
+            rest = rows.iloc[cuts[-1] :].reset_index(drop=True)
+            yield answers(rows, cuts)
+        if rest is not None and len(rest):
+            yield answers(rest, [0, len(rest)])
 
     return ask
 
@@ -172,46 +195,59 @@ def ask_all(plan: DataFrame, log: BatchLog, translate: fill.Translate, settings:
     """Ask for all rows of a stored plan (group_no long, batch_no, item_no, jp, and the log's key), groups in order. What came of it, and the run's name in the log.
 
     An automatic run makes no call while the breaker is open, opens it at a failure and stops after that wave; any run's calls set it.
-    A failure in another run ends its group only. each_wave is called after every wave, when its answers are stored.
+    A failure in another run ends its group only. each_wave is called after every wave, when its answers are stored. The driver gets
+    counts and the first errors of a wave, whatever its groups.
     """
     spark, run = plan.sparkSession, f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex}"
     settings = (settings or Settings()).automatic() if automatic else settings or Settings()
     size = settings.groups or spark.sparkContext.defaultParallelism
     outcome = Outcome(candidates=plan.count())
     progress = Progress(spark, publish, stage, outcome.candidates)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plan.select("group_no", *log.key).schema) + ", cn_text string, error string"
-    ask = _asker(translate, ["group_no", *log.key], settings, progress.done)
+    names = ["group_no", *log.key]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plan.select(*names).schema) + ", cn_text string, error string"
+    ask = _asker(translate, names, settings, progress.done)
     after, wave = None, 0
     while True:
         left = plan if after is None else plan.where(F.col("group_no") > after)
-        frontier = [(r.group_no, r.last) for r in left.groupBy("group_no").agg(F.max("batch_no").alias("last")).orderBy("group_no").limit(size).collect()]
-        if not frontier:
+        groups = left.where("group_no is not null").groupBy("group_no").agg(F.max("batch_no").alias("last"))
+        ends = [F.min("group_no").alias("low"), F.max("group_no").alias("high"), F.max("last").alias("last"), F.count("*").alias("n")]
+        if (frontier := groups.agg(*ends).first()).n > size:
+            frontier = groups.orderBy("group_no").limit(size).agg(*ends).first()
+        if frontier.low is None:
             break
-        ids, after, at, failed, answered = [g for g, _ in frontier], frontier[-1][0], 0, set(), set()
-        while at <= max((n for g, n in frontier if g not in failed), default=-1):
+        after, at, of = frontier.high, 0, plan.where(F.col("group_no").between(frontier.low, frontier.high))
+        answered, last = None, frontier.last  # groups of the frontier that were answered in its earlier waves, and its last batch
+        while last is not None and at <= last:
             if automatic and breaker and (why := breaker.closed()):
                 outcome.paused = why
                 return outcome, run
-            now = [g for g, n in frontier if g not in failed and n >= at]
-            rows = plan.where(F.col("group_no").between(ids[0], ids[-1]) & F.col("group_no").isin(now) & F.col("batch_no").between(at, at + settings.span - 1))
-            with progress.watched(f"groups {ids[0]} to {ids[-1]}"):
-                stored = log.add(rows.repartition(len(now), "group_no").groupBy("group_no").applyInPandas(ask, schema), run, wave)
-            told = stored.groupBy("group_no").agg(F.count_if(F.col("cn_text") != "").alias("n"), F.max("error").alias("error")).orderBy("group_no").collect()  # a row for each group of the wave
-            outcome.translated += sum(r.n for r in told)
-            outcome.groups += sum(r.n > 0 and r.group_no not in answered for r in told)
-            answered |= {r.group_no for r in told if r.n}
-            wrong = [r for r in told if r.error]
-            failed |= {r.group_no for r in wrong}
-            outcome.errors += len(wrong)
-            outcome.shown = [*outcome.shown, *(r.error for r in wrong)][:3]
+            rows = of.where(F.col("batch_no").between(at, at + settings.span - 1))
+            n = rows.select("group_no").distinct().count()
+            tasks = max(1, min(n, spark.sparkContext.defaultParallelism * TASKS_A_CORE), -(-n // GROUPS_OF_TASK))
+            with progress.watched(f"groups {frontier.low} to {frontier.high}"):
+                ordered = rows.select(*names, *({"batch_no", "item_no", "jp"} - set(names))).repartition(tasks, "group_no").sortWithinPartitions("group_no", "batch_no", "item_no")
+                stored = log.add(ordered.mapInPandas(ask, schema), run, wave)
+            came = stored.where("cn_text <> ''").select("group_no")
+            new = came.distinct() if answered is None else came.distinct().join(answered, "group_no", "left_anti")
+            outcome.translated += came.count()
+            outcome.groups += new.count()
+            answered = new if answered is None else answered.union(new)
+            failed = stored.where("error <> ''").groupBy("group_no").agg(F.max("error").alias("error"))
+            wrong = failed.count()
+            outcome.errors += wrong
+            first = [r.error for r in failed.orderBy("group_no").limit(3).collect()] if wrong else []
+            outcome.shown = [*outcome.shown, *first][:3]
             if breaker and wrong:
-                breaker.failed(wrong[0].error)
+                breaker.failed(first[0])
             elif breaker:
                 breaker.went_well()
             wave, at = wave + 1, at + settings.span
             if each_wave:
                 each_wave()
             if wrong and automatic:
-                outcome.paused = wrong[0].error
+                outcome.paused = first[0]
                 return outcome, run
+            if wrong:
+                of = of.join(failed.select("group_no"), "group_no", "left_anti")
+                last = of.agg(F.max("batch_no")).first()[0]
     return outcome, run

@@ -235,6 +235,34 @@ def test_an_edit_that_came_while_a_fill_ran_stays(spark, tmp_path):
     assert {r.jp_key: (r.cn_text, r.source) for r in tables.lines.read().where("event_id = 1").collect()} == {"k1.0": ("K1.0", "llm"), "k1.1": ("by hand", "human"), "k1.2": ("K1.2", "llm")}
 
 
+def test_a_wave_of_many_groups_is_a_few_tasks(spark, tmp_path):
+    """A wave takes as many tasks as there are cores to run them, a task holds a batch and not its group, and a failure ends its own group only."""
+    size, path = 4, str(tmp_path / "asked")
+
+    def translate(texts):
+        with open(path, "a") as out:
+            out.write(json.dumps(texts) + "\n")
+        if "g7.9" in texts:
+            raise OSError("down")
+        return [t.upper() for t in texts]
+
+    keys = spark.range(200).selectExpr("id event_id", "explode(sequence(0, if(id < 20, 13, 1))) item").selectExpr("event_id", "'1' episode_no", "'talk' kind", "concat('g', event_id, '.', item) jp", "item")
+    plan = keys.selectExpr("*", "event_id group_no", f"cast(item div {size} as int) batch_no", f"cast(item % {size} + 1 as int) item_no").drop("item")
+    plan.write.parquet(f"{tmp_path}/plan")
+    log = waves.BatchLog(spark, f"{tmp_path}/log", gaps._STORY_LOG, gaps._STORY_KEY)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        outcome, run = waves.ask_all(spark.read.parquet(f"{tmp_path}/plan"), log, translate, waves.Settings(tries=1, span=1 << 20, groups=1 << 20))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = {i: [f"g{i}.{j}" for j in range(14 if i < 20 else 2)] for i in range(200)}
+    assert sorted(map(tuple, map(json.loads, open(path)))) == sorted(tuple(t[k : k + size]) for i, t in texts.items() for k in range(0, len(t), size) if (i, k) != (7, 12))
+    assert (outcome.candidates, outcome.translated, outcome.groups, outcome.errors, outcome.shown) == (640, 640 - 6, 200, 1, ["OSError: down"])
+    assert {r.jp: r.cn_text for r in log.read().collect()} == {x: x.upper() for i, t in texts.items() for x in (t[:8] if i == 7 else t)}
+    wave = f"{tmp_path}/log/{run}/00000000"
+    assert 0 < sum(n.endswith(".parquet") for n in os.listdir(wave)) <= waves.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+
+
 def test_a_locked_table_is_not_filled(spark, tmp_path):
     tables = _tables(spark, tmp_path, 1, 1)
     with tables.lock("sync stories"), pytest.raises(commits.Busy, match="sync stories is running"):
