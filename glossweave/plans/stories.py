@@ -181,96 +181,123 @@ def reorder_stories(tables: Tables, source_scenarios: DataFrame, event_ids: list
 Fetch = Callable[[DataFrame, str], DataFrame]
 
 
+def _by_id(listed: DataFrame, folder: str) -> DataFrame:
+    """(event_id, ord, doc) of a list document's objects, stored in order of id, so that a range of ids reads little of it."""
+    rows = listed.select(get_int(F.col("doc"), "eventId").cast("bigint").alias("event_id"), "ord", "doc").where("event_id <> 0")
+    return stored(rows.sort("event_id"), folder)
+
+
+def stored(rows: DataFrame, folder: str) -> DataFrame:
+    """rows, written into a folder of their own under `folder` and read again; they keep few files, where cached rows would have a part for each task."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _doubling(ids: DataFrame, first: int) -> list[int]:
+    """Last ids of waves of about `first`, twice, four times ... as many ids, and so a few waves whatever their number."""
+    told = ids.agg(F.count("*").alias("n"), F.max("event_id").alias("last")).first()
+    if not told.n:
+        return []
+    shares, size = [], first
+    while size < told.n:
+        shares.append(size / told.n)
+        size = size * 2 + first
+    cuts = ids.agg(F.percentile_approx("event_id", shares, 10000)).first()[0] if shares else []
+    return sorted({*cuts, told.last})
+
+
 def walk_stories(tables: Tables, source_list: DataFrame, target_list: DataFrame, target_events: DataFrame, fetch: Fetch, now: int, limit: int = 3, wave: int = 8, publish: Callable[[str, str, int, int], None] | None = None) -> dict:
     """sync_stories() for scenarios that are still to be fetched: stories are taken in waves in order of id, and fetching ends with the wave that holds the `limit`-th miss in a row.
 
     Only stories that both editions list and that aren't kept are fetched; what a wave found is stored before the next one begins, so
-    a run that ends early is carried on by the next. Scenarios of a wave are stored beside the lines until they are used, as they are
-    read several times and must be fetched once.
+    a run that ends early is carried on by the next. Newer stories, which only the source edition has and all of which are taken, come
+    in waves that double, as each one writes the tables anew. Scenarios of a wave are stored beside the lines until they are used, as
+    they are read several times and must be fetched once.
     """
     spark = source_list.sparkSession
-    counts, errors = {OFFICIAL: 0, PENDING: 0}, []
+    counts, n_errors, shown = {OFFICIAL: 0, PENDING: 0}, 0, []
+    beside = f"{tables.lines.path}-landed"
     with tables.lock("sync stories") as lock:
+        run = f"{beside}/{uuid.uuid4().hex}"
+        lists = {"source": _by_id(source_list, run), "target": _by_id(target_list, run)}
         states = rollup.sync_states(tables.stories.read(), tables.episodes.read(), tables.lines.read())
         bounds = rollup.sync_bounds(states).first()
-        index = story.story_index(source_list)
+        index, theirs = (lists[e].select("event_id").distinct() for e in ("source", "target"))
         none = spark.createDataFrame([], "event_id bigint, has_talk boolean, failed boolean")
         # Without any scenario, what is there counts as a miss; so a miss of an id that is there means that it must be fetched.
-        there = target_events.select("event_id").join(story.story_index(target_list).select("event_id"), "event_id", "left_semi").distinct().withColumn("there", F.lit(True))
-        known = story.availability(states, index.select("event_id"), target_events, story.story_index(target_list).select("event_id"), none).join(there, "event_id", "left").where(F.col("event_id") >= bounds.start_id).persist()
+        there = target_events.select("event_id").join(theirs, "event_id", "left_semi").distinct().withColumn("there", F.lit(True))
+        known = story.availability(states, index, target_events, theirs, none).join(there, "event_id", "left").where(F.col("event_id") >= bounds.start_id)
+        known = stored(known.sort("event_id"), run)
         total, after, streak, newest, stopped = known.count(), bounds.start_id - 1, 0, bounds.max_id, False
 
-        def landed(ids: list[int], editions: list[str]) -> tuple[Landed, list[str]]:
-            of, folders, docs = F.col("event_id").isin(ids), [], {}
-            for edition, listed in (("source", source_list), ("target", target_list)):
-                wanted = story.story_episodes(story.story_index(listed).where(of)).where("scenario_id <> ''")
+        def landed(ids: DataFrame, low: int, high: int, editions: list[str]) -> tuple[Landed, list[str]]:
+            folders, docs, listed = [], {}, {}
+            for edition in ("source", "target"):
+                listed[edition] = lists[edition].where(F.col("event_id").between(low, high)).join(ids, "event_id", "left_semi").select("ord", "doc")
                 if edition in editions:
-                    folders.append(f"{tables.lines.path}-landed/{uuid.uuid4().hex}")
+                    wanted = story.story_episodes(story.story_index(listed[edition])).where("scenario_id <> ''")
+                    folders.append(f"{beside}/{uuid.uuid4().hex}")
                     fetch(wanted.select("event_id", "episode_no", "scenario_id"), edition).write.parquet(folders[-1])
                     docs[edition] = spark.read.schema("event_id bigint, episode_no string, doc variant").parquet(folders[-1])
                 else:
                     docs[edition] = spark.createDataFrame([], "event_id bigint, episode_no string, text string").select("event_id", "episode_no", F.parse_json("text").alias("doc"))
-            only = lambda listed: listed.where(get_int(F.col("doc"), "eventId").isin(ids))
-            return Landed(only(source_list), only(target_list), target_events, docs["source"], docs["target"]), folders
+            return Landed(listed["source"], listed["target"], target_events, docs["source"], docs["target"]), folders
 
-        def put(ids: list[int], source: str, episodes: DataFrame, lines: DataFrame) -> None:
-            heads = _heads(spark.createDataFrame([(i,) for i in ids], "event_id bigint"), source, now)
-            _store(tables, heads, episodes, lines)
-            counts[source] += len(ids)
+        def put(ids: DataFrame, n: int, source: str, episodes: DataFrame, lines: DataFrame) -> None:
+            _store(tables, _heads(ids, source, now), episodes, lines)
+            counts[source] += n
 
         done = 0
         while not stopped and (rows := known.where(F.col("event_id") > after).orderBy("event_id").limit(wave).collect()):
-            ids, built, folders = [r.event_id for r in rows if r.there and r.outcome == "miss"], {}, []
-            if ids:
-                got, folders = landed(ids, ["source", "target"])
-                episodes, lines, made, failures = official(got)
-                episodes, lines = episodes.persist(), lines.persist()  # a wave is small, and its scenarios are stored
-                built = {r.event_id: r for r in made.collect()}  # a row for each id of the wave
+            low, high, talk, told, folders = rows[0].event_id, rows[-1].event_id, set(), {}, []
+            fetched = any(r.there and r.outcome == "miss" for r in rows)
+            if fetched:
+                got, folders = landed(known.where(F.col("event_id").between(low, high) & F.col("there") & (F.col("outcome") == "miss")).select("event_id"), low, high, ["source", "target"])
+                folders.append(f"{beside}/{uuid.uuid4().hex}")
+                episodes, lines, _, failures = official(got)
+                episodes, lines = stored(episodes, folders[-1]), stored(lines, folders[-1])
+                talk = {r.event_id for r in lines.select("event_id").distinct().collect()}  # ids of the wave
                 told = {r.event_id: r.error for r in failures.groupBy("event_id").agg(F.min("error").alias("error")).collect()}
             found = []
             for r in rows:
-                b = built.get(r.event_id)
-                outcome = r.outcome if b is None else "error" if b.failed else "found" if b.has_talk else "miss"
+                outcome = "error" if r.event_id in told else "found" if r.event_id in talk else r.outcome
                 done, after = done + 1, r.event_id
                 if outcome == "miss":
                     streak += 1
                     if stopped := streak >= limit:
                         break
                 elif outcome == "error":
-                    errors.append(told[r.event_id])
+                    n_errors, shown = n_errors + 1, sorted([*shown, told[r.event_id]])[:3]
                 else:
                     streak = 0
                     found += [r.event_id] if outcome == "found" else []
             if found:
                 newest = max(newest, *found)
-                put(found, OFFICIAL, episodes, lines)
-            if ids:
-                episodes.unpersist()
-                lines.unpersist()
+                put(spark.createDataFrame([(i,) for i in found], "event_id bigint"), len(found), OFFICIAL, episodes, lines)
             for f in folders:
                 delete(spark, f)
             lock.renew()
             if publish:
                 publish("stories", f"event {after}", done, total)
         after = newest
-        stored = tables.stories.read().select("event_id")
-        late = index.select("event_id").join(stored, "event_id", "left_anti").persist()
-        while stopped and (rows := late.where(F.col("event_id") > after).orderBy("event_id").limit(wave).collect()):
-            ids, after = [r.event_id for r in rows], rows[-1].event_id
-            got, folders = landed(ids, ["source"])
+        late = index.where(F.col("event_id") > after).join(tables.stories.read().select("event_id"), "event_id", "left_anti")
+        late = stored(late.sort("event_id"), run) if stopped else late
+        for last in _doubling(late, wave) if stopped else []:
+            of = late.where((F.col("event_id") > after) & (F.col("event_id") <= last))
+            got, folders = landed(of, after + 1, last, ["source"])
             episodes, lines, failures = pending(got)
-            episodes, lines = episodes.persist(), lines.persist()
-            some = [r.event_id for r in episodes.select("event_id").distinct().collect()]  # ids of the wave
-            errors += [r.error for r in failures.where(F.col("event_id").isin(some)).groupBy("event_id").agg(F.min("error").alias("error")).collect()]
-            if some:
-                put(some, PENDING, episodes, lines)
-            episodes.unpersist()
-            lines.unpersist()
+            folders.append(f"{beside}/{uuid.uuid4().hex}")
+            episodes, lines = stored(episodes, folders[-1]), stored(lines, folders[-1])
+            some = episodes.select("event_id").distinct()
+            lost = stored(failures.join(some, "event_id", "left_semi").groupBy("event_id").agg(F.min("error").alias("error")), folders[-1])
+            n_errors, shown = n_errors + lost.count(), sorted([*shown, *(r.error for r in lost.orderBy("error").limit(3).collect())])[:3]
+            if n := some.count():
+                put(some, n, PENDING, episodes, lines)
             for f in folders:
                 delete(spark, f)
+            after = last
             lock.renew()
-        known.unpersist()
-        late.unpersist()
-    shown = sorted(errors)
-    text = f"{len(shown)} failed: {'; '.join(shown[:3])}" + (f"; {len(shown) - 3} more" if len(shown) > 3 else "") if shown else None
+        delete(spark, run)
+    text = f"{n_errors} failed: {'; '.join(shown)}" + (f"; {n_errors - 3} more" if n_errors > 3 else "") if n_errors else None
     return {"official": counts[OFFICIAL], "pending": counts[PENDING], "errors": text}

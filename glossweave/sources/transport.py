@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -34,6 +35,10 @@ class Documents(InputPartition):
     items: list[tuple[str, list[str]]]
 
 
+#: What gets one document of a source at its addresses, for each source made here, by its name.
+_getters: dict[str, Callable[[list[str]], str]] = {}
+
+
 def whole_talk(body: str) -> bool:
     """Whether a scenario document has any talk; one without may only be half there."""
     try:
@@ -49,6 +54,12 @@ def source(name: str, get: Callable[[str], str], complete: Callable[[str], bool]
     documents from others, mirrors are asked one after the other until one has it whole. A document that can't be got has its error.
     """
 
+    def document(urls: list[str]) -> str:
+        mirrors = fetch.distinct(urls)
+        return fetch.first_complete(get, mirrors, complete, again) if complete else fetch.first_good(get, mirrors, delay, again)
+
+    _getters[name] = document
+
     class Reader(DataSourceReader):
         def __init__(self, options: dict):
             self.items = [(str(k), list(urls)) for k, urls in json.loads(options.get("documents", "[]"))]
@@ -60,7 +71,7 @@ def source(name: str, get: Callable[[str], str], complete: Callable[[str], bool]
         def read(self, partition: Documents) -> Iterator[tuple]:
             for key, urls in partition.items:
                 try:
-                    yield key, fetch.first_complete(get, fetch.distinct(urls), complete, again) if complete else fetch.first_good(get, fetch.distinct(urls), delay, again), None
+                    yield key, document(urls), None
                 except Exception as e:  # one document's failure is a row, not the job's
                     yield key, None, str(e)
 
@@ -91,17 +102,32 @@ def array_documents(rows: DataFrame) -> DataFrame:
     return parsed.select("key", F.posexplode(objects(checked, "$")).alias("ord", "doc"))
 
 
+#: Documents that a task hands on together.
+_TOGETHER = 64
+
+
 def scenario_fetch(spark: SparkSession, name: str, urls: Callable[[str, int, str], list[str]], at_once: int = TASKS) -> Callable[[DataFrame, str], DataFrame]:
-    """A Fetch for plans.stories.walk_stories over a registered source; urls(edition, event_id, scenario_id) names a scenario's mirrors.
+    """A Fetch for plans.stories.walk_stories over a source made by source(); urls(edition, event_id, scenario_id) names a scenario's mirrors.
 
-    It is given the episodes of one wave, so what it collects, their ids, is as bounded as the wave.
+    The episodes that it is given go to the tasks that fetch, so there may be any number of them.
     """
+    document = _getters[name]
 
     def get(wanted: DataFrame, edition: str) -> DataFrame:
-        rows = wanted.collect()
-        docs = load(spark, name, [(f"{r.event_id}/{r.episode_no}", urls(edition, r.event_id, r.scenario_id)) for r in rows], at_once)
-        place = F.split("key", "/", 2)
-        return docs.select(place[0].cast("bigint").alias("event_id"), place[1].alias("episode_no"), F.try_parse_json("body").alias("doc"))
+        def body(event: int, scenario: str) -> str | None:
+            try:
+                return document(urls(edition, event, scenario))
+            except Exception:  # one document's failure is a row, not the job's
+                return None
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for lo in range(0, len(frame), _TOGETHER):
+                    part = frame.iloc[lo : lo + _TOGETHER]
+                    yield part[["event_id", "episode_no"]].assign(body=[body(e, s) for e, s in zip(part.event_id.tolist(), part.scenario_id.tolist(), strict=True)])
+
+        docs = wanted.select("event_id", "episode_no", "scenario_id").repartition(tasks(at_once)).mapInPandas(run, "event_id bigint, episode_no string, body string")
+        return docs.select("event_id", "episode_no", F.try_parse_json("body").alias("doc"))
 
     return get
 

@@ -327,6 +327,34 @@ def test_a_wave_that_was_stored_is_not_fetched_again(spark, tmp_path):
     assert tables.stories.read().count() == 4
 
 
+def test_newer_stories_take_few_waves_whatever_their_number(spark, tmp_path):
+    tables = stories.Tables(*(SnapshotTable(spark, f"{tmp_path}/{n}", schema) for n, schema in (("s", model.STORIES), ("p", model.EPISODES), ("l", model.LINES))))
+    asked = []
+
+    def fetch(wanted, edition):
+        asked.append(sorted(r.event_id for r in wanted.collect()))
+        rows = [(i, "1", json.dumps({"TalkData": [{"Body": f"{edition} {i}"}]}) if i % 9 else None) for i in asked[-1]]
+        return spark.createDataFrame(rows, "event_id bigint, episode_no string, text string").select("event_id", "episode_no", F.parse_json("text").alias("doc"))
+
+    got = stories.walk_stories(tables, _listed(spark, range(1, 41)), _listed(spark, []), spark.createDataFrame([], "event_id bigint"), fetch, 7, wave=1)
+    assert len(asked) <= 6 and sorted(i for a in asked for i in a) == list(range(1, 41))  # each once; a wave for each story before
+    assert got == {"official": 0, "pending": 40, "errors": "4 failed: event 18: no source scenario of episode 1; event 27: no source scenario of episode 1; event 36: no source scenario of episode 1; 1 more"}
+    assert {r.event_id: r.source for r in tables.stories.read().collect()} == {i: "jp_pending" for i in range(1, 41)} and tables.lines.read().count() == 36
+    assert os.listdir(f"{tmp_path}/l-landed") == []
+
+
+def test_scenarios_of_a_wave_do_not_pass_through_the_driver(spark, monkeypatch):
+    from glossweave.sources import transport
+
+    spark.dataSource.register(transport.source("many_test", lambda url: json.dumps({"TalkData": [{"Body": url}]}), transport.whole_talk, again=0))
+    wanted = spark.range(1, 301).selectExpr("id event_id", "'1/2' episode_no", "concat('s', id) scenario_id")
+    with monkeypatch.context() as m:
+        m.setattr(type(wanted), "collect", lambda self: pytest.fail("collected"))
+        docs = transport.scenario_fetch(spark, "many_test", lambda edition, event, scenario: [f"{edition}/{event}/{scenario}"])(wanted, "source")
+    got = docs.selectExpr("event_id", "episode_no", "variant_get(doc, '$.TalkData[0].Body', 'string') body").collect()
+    assert sorted(map(tuple, got)) == [(i, "1/2", f"source/{i}/s{i}") for i in range(1, 301)]
+
+
 def test_a_source_fetches_at_the_same_time_and_keeps_errors(spark, tmp_path):
     from glossweave.sources import transport
 
