@@ -432,6 +432,20 @@ def test_shards_are_averaged_and_what_trains_grows_with_the_corpus(spark, monkey
     assert attention_lm.score_ids(attention_lm.folded(attention_lm.fit(counts, windows, shards)), seqs[:50]).sum() > one
 
 
+def test_every_window_of_the_training_part_trains(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "LEAST", 64)  # far fewer than there are
+    monkeypatch.setattr(attention_lm, "fit", lambda counts, windows, shards: trained.append(windows.toPandas()) or attention_lm.starting(counts))
+    trained = []
+    docs = spark.range(300).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 60), x -> concat('word', id % 7 + x))) text")
+    assert attention_lm.score(docs).count() == 300
+    rows = np.frombuffer(b"".join(trained[0].data), "<u2").reshape(-1, attention_lm.WINDOW + 1)
+    targets = rows[:, attention_lm.CONTEXT + 1 :].ravel()
+    ranks = bpe.load_ranks(bpe.TOKENIZER)
+    encoding = attention_lm.Tokens("all", ranks).encoding
+    ids = [encoding.encode(r.text) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 10]
+    assert (targets <= max(ranks.values()) + 1).sum() == sum(len(i) + 1 for i in ids)  # each token once, and each text's end
+
+
 def test_words_of_a_pattern_are_told_apart_by_the_unigram(spark):
     one, two = _turned_words(2048)
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10]
