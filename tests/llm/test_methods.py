@@ -446,6 +446,30 @@ def test_every_window_of_the_training_part_trains(spark, monkeypatch):
     assert (targets <= max(ranks.values()) + 1).sum() == sum(len(i) + 1 for i in ids)  # each token once, and each text's end
 
 
+def test_each_record_moves_to_its_shard_once(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "LEAST", 64)
+    monkeypatch.setattr(attention_lm, "SHARD", 512)
+    rng, n_ids = np.random.default_rng(6), 50
+    kind = attention_lm.id_type(n_ids)
+    seqs = [rng.integers(0, n_ids, rng.integers(0, 200)) for _ in range(400)]
+    tokens = spark.createDataFrame([(i, False, len(s), bytearray(s.astype(kind).tobytes())) for i, s in enumerate(seqs)], "doc_id long, held_out boolean, n_ids long, ids binary")
+    _, windows, shards = attention_lm.gathered(tokens, n_ids, 1)
+    cells = Counter()
+    for r in windows.collect():
+        for row in np.frombuffer(r.data, kind).reshape(-1, attention_lm.WINDOW + 1):
+            cells[r.shard, r.turn, tuple(row.tolist())] += 1
+    want = Counter()
+    for i, s in enumerate(seqs):
+        chosen, number = attention_lm.drawn(i, -(-(len(s) + 1) // attention_lm.HOP), 1)
+        for x, row in zip(number.tolist(), attention_lm.records(s, chosen, n_ids).tolist(), strict=True):
+            want[x % shards, x // shards % attention_lm.ROUNDS, tuple(row)] += 1
+    assert shards > 1 and cells == want
+    assert {t for _, t, _ in cells} == set(range(attention_lm.ROUNDS))
+    # A round's plan reads and shuffles the records of its own turn alone.
+    plan = windows.where("turn = 1 or turn is null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+
+
 def test_words_of_a_pattern_are_told_apart_by_the_unigram(spark):
     one, two = _turned_words(2048)
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10]
