@@ -157,11 +157,14 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     x_blocks, q_blocks = -(-n // BLOCK), -(-n_queries // QUERIES)
     x = _pack(vectors.withColumn("x_block", F.pmod(F.xxhash64("vec_id"), F.lit(x_blocks))), "x_block", "x")
     q = _pack(queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks))), "q_block", "q")
-    # Every block pair is stated by an equi-join on its two numbers; a task scans neighbouring blocks of vectors for its queries.
-    x = _cells(x).withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
-    q = q.withColumn("x_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x_blocks - 1).cast("long")))).drop("q_keys")
+    # Every block pair is stated by an equi-join: a block of vectors goes to each block of queries, a block of queries to each group
+    # of blocks of vectors, which one task scans. The join is a merge join, as Spark takes exploded rows for as small as they were
+    # before, and would send all copies of them through the driver to broadcast them.
     groups = max(1, min(x_blocks, -(-TASKS // q_blocks)))
-    pairs = x.join(q, ["dim", "x_block", "q_block"]).repartition(q_blocks * groups, "q_block", F.col("x_block") % groups)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    x = _cells(x).withColumns({"q_block": each(q_blocks), "x_group": F.col("x_block") % groups})
+    q, keys = q.withColumn("x_group", each(groups)).drop("q_keys"), ["dim", "q_block", "x_group"]
+    pairs = x.repartition(q_blocks * groups, *keys).join(q.repartition(q_blocks * groups, *keys).hint("merge"), keys)
     found = cut(pairs.mapInPandas(_scan(k), "query_id long, vec_id long, key long, low double, high double"))
 
     # A window keeps k rows of each task before its shuffle, so many blocks make no long group.

@@ -175,6 +175,20 @@ def test_an_outlier_and_equal_vectors_leave_few_bounds(spark, monkeypatch):
         assert read[0] < 20 * 41 + 41 * 5 * (len(more) == 1500) * 2, more[:1]
 
 
+def test_copies_of_blocks_are_not_broadcast(spark, monkeypatch):
+    """Every block meets every other, with more blocks than tasks too, and the copies of blocks that this needs don't go through the driver."""
+    import numpy as np
+
+    draw = np.random.default_rng(6)
+    rows = [(i, (draw.standard_normal(8 if i % 3 else 4) / 4).tolist()) for i in range(1500)]
+    plans, cut = [], vafile.cut
+    monkeypatch.setattr(vafile, "cut", lambda df: (lambda out: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if "low" in out.columns else None, out)[1])(cut(df)))
+    for name, n in (("BLOCK", 100), ("QUERIES", 8), ("TASKS", 12)):
+        monkeypatch.setattr(vafile, name, n)
+    assert _found(spark, rows) == _nearest(rows)
+    assert len(plans) == 1 and "isFinalPlan=true" in plans[0] and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([-3.0, -1.0, 0.0, 1.0, 2.0, 1e6, -1e15, 2.0**54]), min_size=3, max_size=3), min_size=1, max_size=40), st.lists(st.sampled_from([-2.0, 0.0, 1.0, 1e9]), min_size=3, max_size=3))
 def test_bounds_hold(vectors, query):
