@@ -4,7 +4,7 @@ Every block of vectors is kept twice: as whole numbers, and as cells, one byte a
 sets for each of its dimensions at equal shares of its values, so one far-off vector widens one cell only. A query's scores
 with all cells of a block are bounded by matrix products; vectors whose upper bound is below the k-th lower bound are out.
 Exact vectors are then read in the order of their upper bounds, some more each round, until the k-th exact score of every
-query is above the bounds of all that it has not read.
+query is above the bounds of all that it has not read, or what is left is few enough to be read at once.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ CELLS = 256
 BLOCK, QUERIES = 8192, 4096
 #: Tasks that a scan is dealt to, if it has as many pairs of blocks; each keeps its queries' best bounds from block to block.
 TASKS = 4096
+#: Blocks of vectors that a task scans in a row where this leaves each core so many tasks, as the bounds of earlier blocks spare rows of later ones.
+RUN, WAVES = 8, 4
 #: Exact vectors that a query reads in the first round; each later round reads so many times more than the one before.
 FIRST_READ, MORE = 2 * K, 4
 #: Sums of products below this are exact in a double.
@@ -148,8 +150,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     empty = queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     queries = cut(queries.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("m")).select("vec_id", "m.dim", "m.v", F.lit(0).cast("long").alias("key")))
     # Of equal vectors only the k + 1 smallest ids can be among a query's best; tasks drop the others before the shuffle.
-    same = Window.partitionBy("v").orderBy("vec_id")
-    vectors = vectors.groupBy("vec_id", "dim", "v").agg(F.lit(0)).select("vec_id", "dim", "v").withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+    same = Window.partitionBy("v_hash", "v").orderBy("vec_id")  # the hash first, as comparing it costs less
+    vectors = vectors.groupBy("vec_id", "dim", "v").agg(F.lit(0)).select("vec_id", "dim", "v", F.xxhash64("v").alias("v_hash")).withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
     vectors = cut(vectors.select("vec_id", "dim", "v", F.xxhash64("vec_id", "v").alias("key")))
     n, n_queries = vectors.count(), queries.count()
     if not n or not n_queries:
@@ -160,7 +162,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     # Every block pair is stated by an equi-join: a block of vectors goes to each block of queries, a block of queries to each group
     # of blocks of vectors, which one task scans. The join is a merge join, as Spark takes exploded rows for as small as they were
     # before, and would send all copies of them through the driver to broadcast them.
-    groups = max(1, min(x_blocks, -(-TASKS // q_blocks)))
+    busy = WAVES * queries.sparkSession.sparkContext.defaultParallelism
+    groups = min(x_blocks, -(-TASKS // q_blocks), max(-(-busy // q_blocks), -(-x_blocks // RUN)))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     x = _cells(x).withColumns({"q_block": each(q_blocks), "x_group": F.col("x_block") % groups})
     q, keys = q.withColumn("x_group", each(groups)).drop("q_keys"), ["dim", "q_block", "x_group"]
@@ -178,16 +181,18 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     one, other = vectors.select("vec_id", "key", "v"), queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
     read, exact = FIRST_READ, None
     while True:
-        next_ones = left.withColumn("r", F.row_number().over(by_high)).where(F.col("r") <= read)
+        # What is no more than a first round may read is read at once: a round costs a shuffle of all vectors, however few it reads.
+        last = left.count() <= FIRST_READ * n_queries
+        next_ones = left if last else left.withColumn("r", F.row_number().over(by_high)).where(F.col("r") <= read)
         scores = next_ones.join(one, ["vec_id", "key"]).join(other, "query_id").select("query_id", "vec_id", "qv", "v").mapInPandas(_products, "query_id long, vec_id long, score long, size double, digits string")
         exact = scores if exact is None else exact.unionByName(scores)
         exact = cut(exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+        if last:
+            break
         # What a query has not read stays if its bound reaches the k-th exact score; a little below it, as doubles round.
         sure = exact.groupBy("query_id").agg(F.min("size").alias("least"), F.count("*").alias("n"))
         sure = sure.select("query_id", F.when(F.col("n") == k, F.col("least") - F.abs("least") * 1e-12).otherwise(float("-inf")).alias("least"))
         left = cut(left.join(next_ones.select("query_id", "vec_id", "key"), ["query_id", "vec_id", "key"], "left_anti").join(sure, "query_id").where("high >= least").drop("least"))
-        if left.isEmpty():
-            break
         read *= MORE
     held = F.when(F.col("score").isNull(), F.raise_error(F.lit("a score fits no long"))).otherwise(F.col("score"))
     return exact.withColumn("rank", F.row_number().over(best)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", held.cast("long").alias("score"))

@@ -189,6 +189,22 @@ def test_copies_of_blocks_are_not_broadcast(spark, monkeypatch):
     assert len(plans) == 1 and "isFinalPlan=true" in plans[0] and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
 
 
+def test_leftovers_are_read_at_once_where_they_are_few(spark, monkeypatch):
+    """Few vectors left are read in one round, many in rounds that grow; the rows are the same."""
+    import numpy as np
+
+    draw = np.random.default_rng(7)
+    rows = [(i, (draw.standard_normal(12) / 4).tolist()) for i in range(1200)]
+    rounds, cut = [], vafile.cut
+    monkeypatch.setattr(vafile, "cut", lambda df: (rounds.append(1) if "digits" in df.columns else None, cut(df))[1])
+    monkeypatch.setattr(vafile, "BLOCK", 100)
+    want = _nearest(rows)
+    for first, least, most in ((40, 1, 1), (1, 2, 4)):
+        rounds.clear()
+        monkeypatch.setattr(vafile, "FIRST_READ", first)
+        assert _found(spark, rows) == want and least <= len(rounds) <= most, (first, len(rounds))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([-3.0, -1.0, 0.0, 1.0, 2.0, 1e6, -1e15, 2.0**54]), min_size=3, max_size=3), min_size=1, max_size=40), st.lists(st.sampled_from([-2.0, 0.0, 1.0, 1e9]), min_size=3, max_size=3))
 def test_bounds_hold(vectors, query):
